@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from tidewell.llm.line_dedup import op9_line_dedup, op9_sql
+from tidewell.llm.mixing import op7_mix, op7_sql
+from tidewell.llm.sharding import op10_shard, op10_sql
 from tidewell.llm.simhash import op5_simhash
 
 QUERIES = {
     "op5_simhash": op5_simhash,
+    "op7_mix": op7_mix,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_shard": op10_shard,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_mix": op7_sql(), "op9_line_dedup": op9_sql(), "op10_shard": op10_sql()}
