@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidewell.llm.decontamination import op6_decontam, op6_sql
 from tidewell.llm.line_dedup import op9_line_dedup, op9_sql
 from tidewell.llm.mixing import op7_mix, op7_sql
 from tidewell.llm.sharding import op10_shard, op10_sql
@@ -9,9 +10,10 @@ from tidewell.llm.simhash import op5_simhash
 
 QUERIES = {
     "op5_simhash": op5_simhash,
+    "op6_decontam": op6_decontam,
     "op7_mix": op7_mix,
     "op9_line_dedup": op9_line_dedup,
     "op10_shard": op10_shard,
 }
 
-ORACLES = {"op7_mix": op7_sql(), "op9_line_dedup": op9_sql(), "op10_shard": op10_sql()}
+ORACLES = {"op6_decontam": op6_sql(), "op7_mix": op7_sql(), "op9_line_dedup": op9_sql(), "op10_shard": op10_sql()}
