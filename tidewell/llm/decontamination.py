@@ -81,17 +81,17 @@ def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sql() -> str:
     """The same by comparing spans that share the tokens of a mask, as text."""
     token = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
-    keys = ", ".join("concat_ws(' ', " + ", ".join([f"'{n}'", *[f"t[at + {p + 1}]" for p in mask]]) + ")" for n, mask in enumerate(MASKS))
-    agree = " + ".join(f"CAST(d.t[d.at + {p + 1}] = b.t[b.at + {p + 1}] AS INTEGER)" for p in range(SPAN))
+    keys = ", ".join("concat_ws(' ', " + ", ".join([f"'{n}'", *[f"t[pos + {p + 1}]" for p in mask]]) + ")" for n, mask in enumerate(MASKS))
+    agree = " + ".join(f"CAST(d.t[d.pos + {p + 1}] = b.t[b.pos + {p + 1}] AS INTEGER)" for p in range(SPAN))
     return f"""
 WITH b0 AS (SELECT item_id, {token} AS t FROM benchmark),
-b1 AS (SELECT item_id, t, CAST(unnest(range(0, len(t) - {SPAN - 1})) AS INTEGER) AS at FROM b0 WHERE len(t) >= {SPAN}),
-b AS (SELECT item_id, t, at, unnest([{keys}]) AS seed FROM b1),
+b1 AS (SELECT item_id, t, CAST(unnest(range(0, len(t) - {SPAN - 1})) AS INTEGER) AS pos FROM b0 WHERE len(t) >= {SPAN}),
+b AS (SELECT item_id, t, pos, unnest([{keys}]) AS seed FROM b1),
 d0 AS (SELECT doc_id, {token} AS t FROM documents),
-d1 AS (SELECT doc_id, t, CAST(unnest(range(0, len(t) - {SPAN - 1})) AS INTEGER) AS at FROM d0 WHERE len(t) >= {SPAN}),
-d AS (SELECT doc_id, t, at, unnest([{keys}]) AS seed FROM d1),
-spans AS (SELECT array_to_string(b.t[b.at + 1:b.at + {SPAN}], ' ') AS s, d.doc_id, d.at, min(b.item_id) AS item_id FROM d JOIN b ON b.seed = d.seed WHERE {agree} >= {SPAN - SUBSTITUTED} GROUP BY ALL),
-e AS (SELECT doc_id, item_id, min(at) AS f, max(at) + {SPAN - 1} AS l FROM spans GROUP BY ALL)
+d1 AS (SELECT doc_id, t, CAST(unnest(range(0, len(t) - {SPAN - 1})) AS INTEGER) AS pos FROM d0 WHERE len(t) >= {SPAN}),
+d AS (SELECT doc_id, t, pos, unnest([{keys}]) AS seed FROM d1),
+spans AS (SELECT array_to_string(b.t[b.pos + 1:b.pos + {SPAN}], ' ') AS s, d.doc_id, d.pos, min(b.item_id) AS item_id FROM d JOIN b ON b.seed = d.seed WHERE {agree} >= {SPAN - SUBSTITUTED} GROUP BY ALL),
+e AS (SELECT doc_id, item_id, min(pos) AS f, max(pos) + {SPAN - 1} AS l FROM spans GROUP BY ALL)
 SELECT doc_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids, count(*) AS n_items, min(f) AS first_token, max(l) AS last_token
 FROM e GROUP BY doc_id
 """
