@@ -5,10 +5,12 @@ from __future__ import annotations
 from tidewell.llm.decontamination import op6_decontam, op6_sql
 from tidewell.llm.line_dedup import op9_line_dedup, op9_sql
 from tidewell.llm.mixing import op7_mix, op7_sql
+from tidewell.llm.quality import op2_quality
 from tidewell.llm.sharding import op10_shard, op10_sql
 from tidewell.llm.simhash import op5_simhash
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op5_simhash": op5_simhash,
     "op6_decontam": op6_decontam,
     "op7_mix": op7_mix,
