@@ -1,6 +1,6 @@
 """Toxicity by a counterfactually regularised classifier.
 
-A logistic model over the presence of words. Each training text also comes with its identity terms
+A logistic model over the presence of words and of their beginnings, which inflected forms share. Each training text also comes with its identity terms
 swapped, and one without any with a neutral mention put in; what the swap changes in the score is
 penalised, so that naming a group doesn't make a text toxic.
 """
@@ -8,6 +8,7 @@ penalised, so that naming a group doesn't make a text toxic.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +19,12 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import cut, read, small_batches
 
 #: Labelled texts on which the model is fitted at most, words it keeps at most, texts that a word must be in.
-SAMPLE, WORDS, LEAST = 12_000, 4096, 5
-#: Strength of the counterfactual penalty and of the weights' own.
-FAIRNESS, RIDGE = 1.0, 1e-3
-ROUNDS = 400
+SAMPLE, WORDS, LEAST = 12_000, 1024, 5
+#: Strength of the counterfactual penalty and of the weights' own, which drops words of few toxic texts.
+FAIRNESS, SPARSE = 1.0, 0.004
+ROUNDS = 1500
+#: Lengths of the beginnings; one is written as itself and a star.
+PREFIXES = (4, 5, 6)
 
 #: Identity terms by kind: a fixed list. A term is swapped for the next one of its kind.
 IDENTITY = {
@@ -46,14 +49,23 @@ def swapped(found: set[str], mention: str) -> set[str]:
     return (found - named) | {SWAP[t] for t in named} if named else found | {mention}
 
 
+def features_of(found: set[str]) -> set[str]:
+    """Words, the beginnings of longer ones, and the beginnings that two or three of them share."""
+    out = set(found)
+    for k in PREFIXES:
+        for start, n in Counter([w[:k] for w in found if len(w) > k]).items():
+            out.update([start + "*", start + "**", start + "***"][:n])
+    return out
+
+
 class Model:
-    """Weights of words, for a logistic score."""
+    """Weights of words and beginnings, for a logistic score."""
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
 
     def score(self, text: str | None) -> float:
-        z = self.bias + sum(self.weights[w] for w in sorted(self.weights.keys() & words(text)))
+        z = self.bias + sum(self.weights[w] for w in sorted(self.weights.keys() & features_of(words(text))))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -62,23 +74,26 @@ def _dense(rows: list[list[int]], width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([j for r in rows for j in r], dtype=np.int64)
 
 
-def fit(texts: list[list[int]], twins: list[list[int]], y: np.ndarray, width: int, fairness: float = FAIRNESS, ridge: float = RIDGE, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise log loss + fairness * mean (z - z of the twin) ** 2 + ridge * |w| ** 2, by Adam."""
+def fit(texts: list[list[int]], twins: list[list[int]], y: np.ndarray, width: int, sparse: float = SPARSE, balanced: bool = True, fairness: float = FAIRNESS, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise log loss (balanced: with both labels weighing the same) + fairness * mean (z - z of the twin) ** 2 + sparse * |w|, by accelerated proximal steps."""
     n = len(y)
     (i, j), (k, m) = _dense(texts, width), _dense(twins, width)
-    w, b = np.zeros(width), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
-    balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-    first, second, rate = np.zeros(width + 1), np.zeros(width + 1), 0.1
-    for t in range(1, rounds + 1):
-        z = np.bincount(i, w[j], minlength=n)
-        gap = z - np.bincount(k, w[m], minlength=n)
-        g = balance * (1 / (1 + np.exp(-np.clip(z + b, -30, 30))) - y) / n
+    w, b = np.zeros(width), 0.0
+    balance = np.ones(n) if not balanced else np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    most = max([1, *map(len, texts)]) + max([1, *map(len, twins)])
+    step = 1 / (0.25 * most + 2 * fairness * most + 1)
+    ahead, ahead_b, pace = w, b, 1.0
+    for _ in range(rounds):
+        z = np.bincount(i, ahead[j], minlength=n)
+        gap = z - np.bincount(k, ahead[m], minlength=n)
+        g = balance * (1 / (1 + np.exp(-np.clip(z + ahead_b, -30, 30))) - y) / n
         pull = 2 * fairness * gap / n
-        grad = np.bincount(j, (g + pull)[i], minlength=width) - np.bincount(m, pull[k], minlength=width) + 2 * ridge * w
-        grad = np.append(grad, g.sum())
-        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-        step = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        grad = np.bincount(j, (g + pull)[i], minlength=width) - np.bincount(m, pull[k], minlength=width)
+        moved = ahead - step * grad
+        new, new_b = np.sign(moved) * np.maximum(np.abs(moved) - step * sparse, 0), ahead_b - step * g.sum()
+        nextp = (1 + np.sqrt(1 + 4 * pace**2)) / 2
+        ahead, ahead_b = new + (pace - 1) / nextp * (new - w), new_b + (pace - 1) / nextp * (new_b - b)
+        w, b, pace = new, new_b, nextp
     return w, float(b)
 
 
@@ -92,12 +107,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     cutoff = int(min(1.0, sample / max(n, 1)) * (1 << 20))
     chosen = marked.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) < cutoff)
     some = cut(docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("toxic", "text"))
-    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
     total = some.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     rate = total["t"] / total["n"] if total["n"] else 0.5
     if not 0 < rate < 1:
         return Model({}, float(np.log((rate + 1e-3) / (1 - rate + 1e-3))))
-    each = some.select("toxic", F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(features_of(words(t))) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], names=["toxic", "words"])
+
+    spelt = some.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(spell, "toxic int, words array<string>")
+    each = spelt.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
     identity = F.col("word").isin(sorted(SWAP))
     spread = F.abs(F.col("t") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
     kept = each.where((F.col("n") >= LEAST) & (spread >= 4) & ~identity).orderBy(F.desc(spread), "word").limit(WORDS).select("word")
@@ -111,13 +131,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             for text in b.column(1).to_pylist():
                 have = words(text)
                 twin = swapped(have, mentions[len(text) % len(mentions)])
-                own.append(sorted(at[w] for w in have & at.keys()))
-                other.append(sorted(at[w] for w in twin & at.keys()))
+                own.append(sorted(at[w] for w in features_of(have) & at.keys()))
+                other.append(sorted(at[w] for w in features_of(twin) & at.keys()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], names=["toxic", "own", "twin"])
 
     rows = some.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(features, "toxic int, own array<int>, twin array<int>").toPandas()
     rows = rows.assign(key=rows["own"].map(lambda v: tuple(v)), other=rows["twin"].map(lambda v: tuple(v))).sort_values(["toxic", "key", "other"])
-    w, b = fit([list(r) for r in rows["key"]], [list(r) for r in rows["other"]], rows["toxic"].to_numpy(float), len(names))
+    own, twin, y = list(rows["key"]), list(rows["other"]), rows["toxic"].to_numpy(float)
+    first, _ = fit(own, twin, y, len(names))  # which words count; then how much
+    on = {int(k): n for n, k in enumerate(np.flatnonzero(np.abs(first) > 1e-6))}
+    names = [names[k] for k in on]
+    w, b = fit([[on[k] for k in r if k in on] for r in own], [[on[k] for k in r if k in on] for r in twin], y, len(names), sparse=1e-5, balanced=False)
     return Model({t: float(v) for t, v in zip(names, w) if abs(v) > 1e-4}, b)
 
 
