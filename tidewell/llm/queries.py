@@ -8,6 +8,7 @@ from tidewell.llm.line_dedup import op9_line_dedup, op9_sql
 from tidewell.llm.mixing import op7_mix, op7_sql
 from tidewell.llm.pii import op1_pii
 from tidewell.llm.quality import op2_quality
+from tidewell.llm.secrets import op3_secrets
 from tidewell.llm.sharding import op10_shard, op10_sql
 from tidewell.llm.simhash import op5_simhash
 from tidewell.llm.toxicity import op8_toxicity
@@ -15,6 +16,7 @@ from tidewell.llm.toxicity import op8_toxicity
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
+    "op3_secrets": op3_secrets,
     "op4_embed_dedup": op4_embed_dedup,
     "op5_simhash": op5_simhash,
     "op6_decontam": op6_decontam,
