@@ -172,9 +172,10 @@ def scored(docs: DataFrame, of: DataFrame, head_rows: int = HEAD) -> DataFrame:
             least = 0
         least = least or 1001
     in_head = (F.col("c") >= least) | (F.col("n") == 1)
-    head = of.where(in_head).select((_tag(F.col("n")) + F.col("key")).alias("k"), "total").toPandas()
-    sent = spark.sparkContext.broadcast(Head(head["k"].to_numpy(np.int64), head["total"].to_numpy(np.float64)))
-    tails = total_rows > len(head)
+    head = of.where(in_head).select((_tag(F.col("n")) + F.col("key")).alias("k"), F.col("total").cast("float").alias("total")).toArrow()
+    sent = spark.sparkContext.broadcast(Head(head["k"].to_numpy(), head["total"].to_numpy()))
+    tails = total_rows > head.num_rows
+    del head
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
