@@ -129,8 +129,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     n = classes.count()
     lists = int(min(LISTS, max(1, n**0.5)))
     share = min(1.0, SAMPLE / n)
-    sample = classes.where(F.pmod("h2", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("e").toPandas()["e"]
-    x = np.stack([np.asarray(v, dtype=float) for v in sample]) if len(sample) else np.ones((1, dim))
+    sample = classes.where(F.pmod("h2", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("e").toArrow()
+    x = sample["e"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) if sample.num_rows else np.ones((1, dim))
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     q = Quantiser(x, lists)
     sent = spark.sparkContext.broadcast(q)

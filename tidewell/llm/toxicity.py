@@ -135,9 +135,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 other.append(sorted(at[w] for w in features_of(twin) & at.keys()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], names=["toxic", "own", "twin"])
 
-    rows = some.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(features, "toxic int, own array<int>, twin array<int>").toPandas()
-    rows = rows.assign(key=rows["own"].map(lambda v: tuple(v)), other=rows["twin"].map(lambda v: tuple(v))).sort_values(["toxic", "key", "other"])
-    own, twin, y = list(rows["key"]), list(rows["other"]), rows["toxic"].to_numpy(float)
+    rows = some.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(features, "toxic int, own array<int>, twin array<int>").toArrow()
+    rows = sorted(zip(rows["toxic"].to_pylist(), rows["own"].to_pylist(), rows["twin"].to_pylist()))
+    own, twin, y = [r[1] for r in rows], [r[2] for r in rows], np.array([r[0] for r in rows], dtype=float)
     first, _ = fit(own, twin, y, len(names))  # which words count; then how much
     on = {int(k): n for n, k in enumerate(np.flatnonzero(np.abs(first) > 1e-6))}
     names = [names[k] for k in on]
