@@ -1,0 +1,6 @@
+"""Operators by subject; importing this registers all of them."""
+
+from tidewell.sources import relations  # isort: skip  the operators need these
+from tidewell.operators import backtest, indicators
+
+__all__ = ["backtest", "indicators", "relations"]
