@@ -39,7 +39,7 @@ def relation(*needs: str, covers: str = ""):
             raise ValueError(f"{f.__name__} is registered twice")
         RELATIONS[f.__name__] = Relation(f.__name__, f, needs, covers)
         if covers:
-            registry.query(f.__name__, compose(f.__name__, DUCK))(lambda spark, sf_dir, name=f.__name__: run(spark, sf_dir, name))
+            registry.query(f.__name__, lambda: compose(f.__name__, DUCK))(lambda spark, sf_dir, name=f.__name__: run(spark, sf_dir, name))
         return f
 
     return put

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
+_ORACLES: dict[str, Callable[[], str]] = {}
 
 
-def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, oracle: Callable[[], str] | None = None) -> Callable[[Query], Query]:
     """Register a function (spark, sf_dir) under name, with the SQL to hold it against."""
 
     def put(f: Query) -> Query:
@@ -30,4 +30,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLES
+    return {name: text() for name, text in _ORACLES.items()}
