@@ -82,11 +82,11 @@ def _discounts(n: list[int]) -> list[float]:
 
 
 def model(texts: DataFrame) -> DataFrame:
-    """n, key, c, total, step of each n-gram of texts, for n of 1 to ORDER. n = 1, key = 0: an unseen character."""
+    """n, key, c, total, step of each n-gram of texts, for n of 1 to ORDER. n = 1, key = 0: an unseen character; n = 0: what a text has from its begin."""
     orders = {ORDER: cut(gram_counts(texts))}
     for n in range(ORDER - 1, 0, -1):
         orders[n] = cut(orders[n + 1].groupBy(F.col("key").bitwiseAND((1 << BITS * n) - 1).alias("key")).agg(F.count("*").alias("c")))
-    of, below = {}, None
+    of, below, begin = {}, None, 0.0
     for n in range(1, ORDER + 1):
         first = [F.count(F.when(F.col("c") == k, 1)) for k in (1, 2, 3, 4)]
         d = _discounts(list(orders[n].agg(*first).first()))
@@ -102,6 +102,8 @@ def model(texts: DataFrame) -> DataFrame:
             lower = of[n - 1].select(F.col("key").alias("suffix"), F.col("p").alias("q"))
             joined = grams_.withColumn("suffix", F.col("key").bitwiseAND((1 << BITS * (n - 1)) - 1)).join(ctx, "ctx").join(lower, "suffix")
             p = joined.select("key", "c", ((F.col("c") - F.col("d")) / F.col("s") + F.col("gamma") * F.col("q")).alias("p"), (F.log("gamma") + F.log("q")).alias("rest"))
+            only_begin = sum(BEGIN << BITS * k for k in range(n - 1))
+            begin += next((r[0] for r in ctx.where(F.col("ctx") == only_begin).select(F.log("gamma")).collect()), 0.0)
             backoff = ctx.select(F.col("ctx").alias("key"), F.log("gamma").alias("bo"))
             of[n - 1] = cut(of[n - 1].join(backoff, "key", "left").na.fill(0.0, ["bo"]))
         of[n] = cut(p)
@@ -119,7 +121,8 @@ def model(texts: DataFrame) -> DataFrame:
         out = below if out is None else out.union(below)
     for x in [*orders.values(), *of.values()]:
         forget(x)
-    return out
+    zero = out.sparkSession.range(1).select(F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("c"), F.lit(begin).alias("total"), F.lit(begin).alias("step"))
+    return out.union(zero)
 
 
 def _tag(n: Column | int) -> Column:
@@ -171,9 +174,10 @@ def scored(docs: DataFrame, of: DataFrame, head_rows: int = HEAD) -> DataFrame:
         else:
             least = 0
         least = least or 1001
-    in_head = (F.col("c") >= least) | (F.col("n") == 1)
+    in_head = (F.col("c") >= least) | (F.col("n") <= 1)
     head = of.where(in_head).select((_tag(F.col("n")) + F.col("key")).alias("k"), F.col("total").cast("float").alias("total")).toArrow()
     sent = spark.sparkContext.broadcast(Head(head["k"].to_numpy(), head["total"].to_numpy()))
+    begin = float(head["total"].to_numpy()[head["k"].to_numpy() == 0].sum())
     tails = total_rows > head.num_rows
     del head
 
@@ -198,6 +202,7 @@ def scored(docs: DataFrame, of: DataFrame, head_rows: int = HEAD) -> DataFrame:
                             tail.append((q & masks[order]) | order << BITS * ORDER)
                     else:
                         nats -= len(q) * float(table.find(np.array([1 << BITS * ORDER]))[1][0])
+                nats -= begin if n else 0.0
                 k, c = np.unique(np.concatenate(tail), return_counts=True) if tail else ([], [])
                 out.append((n, nats, k, c))
             cols = [b.column(i) for i, name in enumerate(b.schema.names) if name != "text"]

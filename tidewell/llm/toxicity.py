@@ -109,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     some = cut(docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("toxic", "text"))
     total = some.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     rate = total["t"] / total["n"] if total["n"] else 0.5
-    if not 0 < rate < 1:
+    if not total["n"] or not 0 < rate < 1:
         return Model({}, float(np.log((rate + 1e-3) / (1 - rate + 1e-3))))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
