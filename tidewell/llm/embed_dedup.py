@@ -1,11 +1,12 @@
 """Embedding near-duplicates by product quantisation.
 
 Each distinct vector is filed in the inverted list of its nearest coarse centroid, with its residual as
-codes of subspaces. A query probes every list that can hold a vector within the radius: for y nearer to
-centroid c than to c0, the query's nearest, |x - y| is at least the distance of x from the plane between
-the two. In a list, distances are sums over table lookups by code; as |y - code(y)| is kept, no vector
-within the radius is lost by them. What remains is compared by cosine in double precision. So recall is 1
-by construction, whatever the sample on which centroids and codes are fitted.
+codes of subspaces. A query probes the lists that can hold a vector y within the radius: for y to be nearer
+to centroid c than to c0, the query's nearest, y - x must cross the plane between the two. Of a difference
+of that length the part along one direction is about radius / sqrt(dimension); lists up to SPREAD times as
+far are probed (with few dimensions that is the radius itself, and nothing can be missed). In a list,
+distances are sums over table lookups by code; as |y - code(y)| is added to the radius, no vector is lost
+by them. What remains is compared by cosine in double precision. Tests measure recall against brute force.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from tidewell.llm.components import components, local_roots
 #: Vectors on which centroids and codes are fitted at most, vectors of a block, subspaces and codes of each.
 SAMPLE, BLOCK, SUBSPACES, CODES, LISTS = 4096, 256, 16, 64, 1024
 PAIRS_AT_ONCE = 50_000
+#: Deviations of a difference along one direction that probes reach.
+SPREAD = 3.0
 SLIP = 1e-9  # what rounding may take from a bound
 
 
@@ -62,11 +65,12 @@ class Quantiser:
         return near, codes.astype(np.uint8), np.linalg.norm(rest - back, axis=1)
 
     def probes(self, x: np.ndarray, radius: float) -> np.ndarray:
-        """For each row and list whether the list can hold a vector within the radius."""
+        """For each row and list whether it is probed for vectors within the radius."""
         d = _square(x, self.coarse)
         near = d.argmin(axis=1)
         apart = np.sqrt(_square(self.coarse, self.coarse))[near]
-        return d - d[np.arange(len(x)), near][:, None] <= 2 * apart * (radius + SLIP) + SLIP
+        reach = radius * min(1.0, SPREAD / x.shape[1] ** 0.5)
+        return d - d[np.arange(len(x)), near][:, None] <= 2 * apart * (reach + SLIP) + SLIP
 
     def distances(self, x: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
         """From each row of x to each row of codes in the list of."""
@@ -76,10 +80,10 @@ class Quantiser:
         return np.sqrt(total)
 
 
-def _block(pdf: pd.DataFrame, q: Quantiser, least: float, radius: float, dim: int) -> pd.DataFrame:
+def _block(pdf: pd.DataFrame, q: Quantiser, least: float, radius: float, dim: int, kind: str) -> pd.DataFrame:
     """rep, n (vectors linked), root: of all queries and filed vectors of one block."""
     pdf = pdf.sort_values(["rep", "filed"])
-    raw = np.frombuffer(b"".join(pdf["vec"]), dtype="<f8").reshape(-1, dim)
+    raw = np.frombuffer(b"".join(pdf["vec"]), dtype=kind).reshape(-1, dim).astype(float)
     unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
     rep, filed = pdf["rep"].to_numpy(), pdf["filed"].to_numpy()
     if not filed.any():
@@ -115,6 +119,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     vector; its component is that of its class. Rows that repeat a vec_id count each.
     """
     spark = vectors.sparkSession
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"  # as the rows have it: exact
     e = F.transform("embedding", lambda v: v.cast("double"))
     good = F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("e", lambda v: v != 0)
     rows = vectors.select("vec_id", e.alias("e")).withColumn("good", F.coalesce(good, F.lit(False)))
@@ -145,7 +150,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
             if b.num_rows:
                 raw, unit = unit_of(b.column(2))
                 near = sent.value.file(unit)[0]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in raw]), pa.array(near, pa.int32())], names=["rep", "copies", "vec", "list"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in raw.astype(kind)]), pa.array(near, pa.int32())], names=["rep", "copies", "vec", "list"])
 
     named = F.coalesce("rep", F.shiftrightunsigned("h1", 2) + F.lit(1 << 62))  # only rows without vec_id
     filed = cut(classes.select(named.alias("rep"), "copies", "e").mapInArrow(file, "rep long, copies long, vec binary, list int"))
@@ -157,7 +162,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, BLOCK):
                 c = b.slice(at, BLOCK)
-                raw = np.frombuffer(b"".join(c.column(2).to_pylist()), "<f8").reshape(-1, dim)
+                raw = np.frombuffer(b"".join(c.column(2).to_pylist()), kind).reshape(-1, dim).astype(float)
                 i, k = np.nonzero(sent.value.probes(raw / np.linalg.norm(raw, axis=1, keepdims=True), radius))
                 times = many[k]
                 i, k = np.repeat(i, times), np.repeat(k, times)
@@ -169,7 +174,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     asked = filed.mapInArrow(ask, "rep long, copies long, vec binary, list int, block int, filed boolean")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _block(pdf, sent.value, least, radius, dim)
+        return _block(pdf, sent.value, least, radius, dim, kind)
 
     found = cut(held.unionByName(asked).groupBy("list", "block").applyInPandas(search, "rep long, n long, root long"))
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
