@@ -205,7 +205,8 @@ def replay_stream(scored: DataFrame) -> DataFrame:
         pdf = pd.concat(list(batches))
         out = list(rounds(a, pdf))
         state.update((a.dump(),))
-        yield pd.DataFrame([{"account": key[0], **o} for o in out], columns=["account", "day", "place", "symbol", "side", "qty", "mechanism", "cash"])
+        if out:
+            yield pd.DataFrame([{"account": key[0], **o} for o in out], columns=["account", "day", "place", "symbol", "side", "qty", "mechanism", "cash"])
 
     return scored.groupBy("account").applyInPandasWithState(fold, ORDERS, "state string", "append", "NoTimeout")
 
@@ -216,6 +217,6 @@ def scored_rounds(bars: DataFrame) -> DataFrame:
 
     w = W.partitionBy("symbol").orderBy("day")
     score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("close") / F.lag("close", 20).over(w) - 1) * 12))
-    rows = bars.withColumn("score", F.round(score, 6)).where("score is not null")
+    rows = bars.withColumn("before", F.lag("close", 20).over(w)).withColumn("score", F.round(score, 6)).where("before is not null")
     account = F.concat(F.lit("A"), (F.abs(F.hash("symbol")) % 5).cast("string"))
     return rows.select(account.alias("account"), "day", "symbol", "score", F.col("close").alias("price"), F.round(F.col("close") * 0.03, 6).alias("unit"), F.lit("risk_on").alias("regime"))
