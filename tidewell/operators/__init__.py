@@ -1,6 +1,6 @@
 """Operators by subject; importing this registers all of them."""
 
 from tidewell.sources import relations  # isort: skip  the operators need these
-from tidewell.operators import backtest, flows, indicators, ledger, research, risk
+from tidewell.operators import backtest, flows, indicators, ledger, misc, research, risk
 
-__all__ = ["backtest", "flows", "indicators", "ledger", "relations", "research", "risk"]
+__all__ = ["backtest", "flows", "indicators", "ledger", "misc", "relations", "research", "risk"]

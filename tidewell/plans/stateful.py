@@ -86,3 +86,11 @@ def regime_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
       case when x.score >= case when size(a) = 0 then 55 when element_at(a, -1).regime = 'risk_on' then 50 else 60 end then 'risk_on'
            when x.score < case when size(a) = 0 then 45 when element_at(a, -1).regime = 'risk_off' then 50 else 40 end then 'risk_off' else 'neutral' end)))"""
     return score.groupBy().agg(F.sort_array(F.collect_list(F.struct("day", "score"))).alias("d")).select(F.inline(F.expr(step)))
+
+
+@registry.query("deflated_sharpe")
+def deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MOD-15: the probability that the basket's relative Sharpe ratio beats the best of 20 trials by chance."""
+    r = run(spark, sf_dir, "momentum_confound").first()
+    p = portfolio.deflated_sharpe(r["sharpe"], r["n"], r["skew"], r["kurt"], 20, 1 / r["n"] ** 0.5)
+    return spark.createDataFrame([(r["n"], round(p, 6))], "n long, probability double")
