@@ -107,7 +107,7 @@ def filled_pair(d):
 @relation("journal", "bars", covers="JOI-07")
 def reactions(d):
     """The last close up to an event's day and the first after it."""
-    return f"SELECT e.event, {d.r('b.close', 4)} AS before, {d.r('b.next_close', 4)} AS after, {d.r('b.next_close / b.close - 1')} AS move FROM journal e JOIN (SELECT symbol, day, close, lead(day) OVER ({W}) AS next_, lead(close) OVER ({W}) AS next_close FROM bars) b ON b.symbol = e.symbol AND b.day <= e.day AND (b.next_ > e.day OR b.next_ IS NULL) WHERE e.event % 10 = 1"
+    return f"SELECT e.event, {d.r('b.close', 4)} AS before, {d.r('b.next_close', 4)} AS after, {d.r('b.next_close / b.close - 1')} AS move FROM journal e JOIN (SELECT symbol, day, close, lead(day) OVER ({W}) AS next_, lead(close) OVER ({W}) AS next_close FROM bars) b ON b.symbol = e.symbol AND b.day <= e.day AND (b.next_ > e.day OR b.next_ IS NULL)"
 
 
 @relation("daily_gate", covers="JOI-16")

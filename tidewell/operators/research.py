@@ -108,7 +108,7 @@ def dcf_grid(d, years=5, tax=0.21, rf=0.04, erp=0.05):
     g = "greatest(0e0, least(0.25e0, coalesce(revenue_growth, 0)))"
     m = "greatest(0.02e0, least(0.6e0, coalesce(fcf_margin, 0)))"
     return f"""SELECT symbol, dr, tg, CASE WHEN tg < dr THEN {d.r(f'(pv + last_ * (1 + tg) / (dr - tg) / power(1 + dr, {years} - 0.5e0)) / 1000', 4)} END AS value FROM (
-  SELECT symbol, dr, tg, sum(f / power(1 + dr, t - 0.5e0)) AS pv, max(CASE WHEN t = {years} THEN f END) AS last_ FROM (SELECT symbol, CAST(t AS DOUBLE) AS t, 1e6 * power(1 + {g}, t) * {m} AS f FROM fundamentals CROSS JOIN {d.series(1, years, 't')} y WHERE symbol < 40) p
+  SELECT symbol, dr, tg, sum(f / power(1 + dr, t - 0.5e0)) AS pv, max(CASE WHEN t = {years} THEN f END) AS last_ FROM (SELECT symbol, CAST(t AS DOUBLE) AS t, 1e6 * power(1 + {g}, t) * {m} AS f FROM fundamentals CROSS JOIN {d.series(1, years, 't')} y) p
   CROSS JOIN (VALUES (2e-2), (8e-2), (1e-1)) AS a(dr) CROSS JOIN (VALUES (1e-2), (2e-2), (3e-2)) AS b(tg) GROUP BY symbol, dr, tg) x"""
 
 

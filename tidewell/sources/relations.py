@@ -86,7 +86,7 @@ def holdings(d):
     """quarter (0 is the latest), holder, issuer, value, shares, put_call: positions of suppliers from two spans of line items."""
     return """SELECT CAST(CASE WHEN l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' THEN 0 ELSE 1 END AS BIGINT) AS quarter, s_nationkey AS holder, p_brand AS issuer, CASE WHEN l_linenumber = 7 THEN 'Put' END AS put_call,
        sum(l_extendedprice) AS value, sum(l_quantity) AS shares
-FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE (l_partkey + s_nationkey) % 7 < 5
+FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
 GROUP BY CASE WHEN l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' THEN 0 ELSE 1 END, s_nationkey, p_brand, CASE WHEN l_linenumber = 7 THEN 'Put' END"""
 
 
