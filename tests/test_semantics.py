@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from tidewell import operators  # noqa: F401
 from tidewell.operators import portfolio
-from tidewell.plans.compose import apply
+from tidewell.plans.compose import apply, run
+from tidewell.plans.suite import thesis
 from tidewell.sources import parsers
+from tidewell.sources.sinks import push
 from tidewell.streaming import alerts, engine
 
 
@@ -218,3 +220,25 @@ def test_parsers(spark):
     assert spark.createDataFrame([("verdict: buy ... Verdict: SELL",), ("none",)], "t string").select(parsers.last_verdict("t").alias("v")).collect()[0].v == "SELL"
     assert parsers.tickers(spark.createDataFrame([("看AAPL和TSLA abcDEF",)], "text string")).collect()[0].symbols == ["AAPL", "TSLA"]
     assert [r.t is None for r in spark.createDataFrame([("2024-01-02T03:04:05.678Z",), ("x",)], "s string").select(parsers.rfc3339("s").alias("t")).collect()] == [False, True]
+
+
+def test_bracket_needs_a_cent_between_its_prices(spark):
+    rows = [(1, "A", "buy", 5, 100.0), (2, "A", "buy", 0, 100.0), (3, "A", "buy", 5, None), (4, "A", "buy", 5, 0.1), (5, "A", "sell", 5, 9.0)]
+    journal = spark.createDataFrame(rows, "event long, symbol string, side string, qty long, price double")
+    got = {r.event: (r.limit_, r.stop, r.target, r.reject) for r in apply(spark, "brackets", {"journal": journal}).collect()}
+    assert got == {1: (100.0, 98.0, 104.0, None), 2: (100.0, 98.0, 104.0, "qty"), 3: (None, None, None, "price"), 4: (0.1, 0.098, 0.104, "stop")}
+
+
+def test_thesis_with_another_basket(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")  # the smallest tables have too few days that many symbols share
+    bars, orders = run(spark, sf, "bars").cache(), spark.read.parquet(f"{sf}/orders.parquet")
+    got = {r.test: (r.n, r.survived) for r in thesis(spark, {"bars": bars, "orders": orders}, {"same": {"bars": bars}}, least=60).collect()}
+    assert sorted(k[:2] for k in got) == [f"T{k}" for k in range(1, 9)]
+    assert got["T8 same"] == got["T1 drift"] and got["T1 drift"][0] > 0
+
+
+def test_alerts_are_pushed_by_batch(spark, sf, tmp_path):
+    events, sent = spark.read.parquet(f"{sf}/events.parquet"), []
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/event*.parquet").where("value > 0")
+    q = push(stream, lambda df, number: sent.append((number, df.count())), str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120) and sum(n for _, n in sent) == events.where("value > 0").count()

@@ -14,6 +14,16 @@ def trade_validation(d):
     return f"SELECT event, symbol, day, side, qty, price, CASE WHEN price IS NULL THEN 'price' WHEN qty <= 0 THEN 'qty' END AS reject, CAST(row_number() OVER (PARTITION BY symbol ORDER BY day, side, event) AS BIGINT) AS place FROM journal"
 
 
+@relation("journal", covers="SNK-01")
+def brackets(d, stop=0.98, target=1.04):
+    """Bracket orders for the buys, in ticks of a cent (below 1 of a hundredth of one), with what makes one invalid: stop, limit and target must be a cent apart at least."""
+    tick = lambda x: f"CASE WHEN {x} >= 1 THEN {d.bround(x, 2)} ELSE {d.bround(x, 4)} END"
+    cents = lambda x: f"CAST(round({x} * 100) AS BIGINT)"
+    wrong = f"CASE WHEN price IS NULL THEN 'price' WHEN qty <= 0 THEN 'qty' WHEN {cents('stop')} > {cents('price')} - 1 THEN 'stop' WHEN {cents('target')} < {cents('price')} + 1 THEN 'target' END"
+    return f"""SELECT event, symbol, qty, price AS limit_, stop, target, {wrong} AS reject FROM (
+  SELECT event, symbol, qty, {tick('price')} AS price, {tick(f'(price * {stop}e0)')} AS stop, {tick(f'(price * {target}e0)')} AS target FROM journal WHERE side = 'buy') x"""
+
+
 @relation("journal", "bars")
 def priced(d):
     """journal with the last close on or before its day, the first on or after it, and the close ten rows after the former."""

@@ -88,6 +88,13 @@ def sessions_kept(d):
     return f"SELECT s.symbol, s.session FROM (SELECT DISTINCT symbol, session FROM bars_1h) s LEFT JOIN (SELECT event_type AS symbol, max_by(CAST(ts AS DATE), value + event_id / 1e9) AS day FROM events GROUP BY event_type) e ON e.symbol = s.symbol AND abs({d.days('s.session', 'e.day')}) <= 1 WHERE e.symbol IS NULL"
 
 
+@relation("bars_1h", covers="SRC-05")
+def plan_history(d, bars=50, days=20):
+    """Intraday bars of the symbols that have more than so many of them, on more than so many days (60 where a year is at hand)."""
+    enough = f"SELECT symbol FROM bars_1h GROUP BY symbol HAVING count(*) > {bars} AND count(DISTINCT session) > {days}"
+    return f"SELECT symbol, session, ts, {d.r('open')} AS open, {d.r('high')} AS high, {d.r('low')} AS low, {d.r('close')} AS close, volume FROM bars_1h WHERE symbol IN ({enough})"
+
+
 @relation("bench_close", covers="FIL-12")
 def open_days(d):
     """Whether the market is open by weekday and fixed holidays of a calendar table."""

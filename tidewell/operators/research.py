@@ -155,6 +155,23 @@ def block_bootstrap(d, draws=200, block=21, seed=7):
     return f"SELECT n, {d.r('obs', 9)} AS observed, {d.r(f'greatest(avg(CASE WHEN mean >= obs THEN 1e0 ELSE 0e0 END), 1e0 / {draws})', 4)} AS p FROM ({means}) y GROUP BY n, obs"
 
 
+@relation("block_bootstrap", "date_robustness", "late_entry", "cost_survival", "event_car", "regime_split", "momentum_confound", "excess", covers="MOD-16")
+def thesis_tests(d, least=252):
+    """All tests of one thesis as rows: observations, the figure that decides, and whether it survived (null: too few to tell; least is for the tests on daily returns)."""
+    one = "SELECT '{0}' AS test, CAST(coalesce({1}, 0) AS BIGINT) AS n, {2} AS figure, {3} AS survived FROM {4}".format
+    windows = "(SELECT count(*) AS k, avg(CASE WHEN exc > 0 THEN 1e0 ELSE 0e0 END) AS win FROM excess) w"
+    losing = "(SELECT avg(CASE WHEN mean < 0 THEN 1e0 ELSE 0e0 END) AS lost FROM date_robustness) y"
+    return " UNION ALL ".join([
+        one("T1 drift", "max(n)", "max(p)", f"CASE WHEN max(n) >= {least} THEN max(p) < 0.05 END", "block_bootstrap"),
+        one("T2 dates", "k", d.r("win"), "CASE WHEN k > 0 THEN win >= 0.5 AND lost <= 0.4 END", f"{windows} CROSS JOIN {losing}"),
+        one("T3 late entry", "max(n)", "max(mean)", "CASE WHEN max(n) >= 20 THEN max(mean) > 0 END", "late_entry"),
+        one("T4 costs", "max(k)", "max(net)", "CASE WHEN max(k) > 0 THEN max(net) > 0 END", f"cost_survival CROSS JOIN {windows}"),
+        one("T5 events", "max(n)", "max(mean)", "CASE WHEN max(n) >= 4 THEN max(mean) > 0 AND max(t) > 1 END", "event_car"),
+        one("T6 regimes", "sum(n)", "min(mean)", "CASE WHEN count(*) >= 2 AND sum(n) >= 120 THEN min(mean) > 0 END", "regime_split"),
+        one("T7 momentum", "max(n)", "max(alpha)", f"CASE WHEN max(n) >= {least} THEN max(alpha) > 0 AND max(t) > 1 END", "momentum_confound"),
+    ])
+
+
 @relation("bars_1h", covers="WIN-31, STR-13")
 def intraday_metrics(d, first=3):
     """By session: volume-weighted price, range of the first bars, gap to the session before, volume against the mean of the last 20."""
