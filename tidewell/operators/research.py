@@ -60,7 +60,7 @@ def rate_cycle(d):
 
 
 @relation("excess", covers="MOD-13")
-def cost_survival(d, cost=0.004):
+def cost_survival(d, cost=0.001):
     return f"SELECT {d.r('avg(exc)')} AS gross, {d.r(f'avg(exc) - {cost}')} AS net, avg(exc) > {cost} AS survived FROM excess"
 
 
