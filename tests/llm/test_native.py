@@ -72,6 +72,34 @@ def test_mix(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in got if r.in_mix)
 
 
+def test_mix_order_keeps_all_rows(spark):
+    """A hot source and one of 10 rows: every row stays, and while a source lasts it has its share."""
+    import corpus_pipeline
+
+    sizes = {"hot": 4000, "tiny": 10} | {f"s{k}": 400 for k in range(10)}
+    rows, n = [], 0
+    for s, size in sizes.items():
+        rows += [(n + k, f"text {n + k}", "en", None if s == "tiny" else s, 1) for k in range(size)]
+        n += size
+    got = [(r.doc_id, r.source or "tiny") for r in mixing.in_mix_order(docs(spark, rows), block_rows=4).collect()]
+    assert sorted(i for i, _ in got) == list(range(n))
+    assert corpus_pipeline.mixing(spark, docs(spark, rows), "").count() == n
+    total = sum(size**0.5 for size in sizes.values())
+    for at in range(200, 3500, 300):
+        for s, size in sizes.items():
+            seen, want = sum(x == s for _, x in got[:at]), at * size**0.5 / total
+            assert abs(min(want, size) - seen) <= 4 * 2 + 0.1 * want or seen == size
+    share = mixing.shares(w := {s: size**0.5 for s, size in sizes.items()}, mixing.fine_period(w))
+    assert all(abs(k / sum(share.values()) / (w[s] / total) - 1) <= 0.1 for s, k in share.items())
+
+
+def test_mix_order_bears_all_cases(spark):
+    got = mixing.in_mix_order(wide(spark))
+    assert got.columns == wide(spark).columns and sorted(map(str, got.collect())) == sorted(map(str, wide(spark).collect()))
+    assert mixing.in_mix_order(docs(spark).where("false")).count() == 0
+    assert mixing.in_mix_order(docs(spark), weights={"a": 1.0}).count() == len(ROWS)
+
+
 def test_mix_bears_all_cases(spark):
     got = mixing.mix(wide(spark)).collect()
     assert len(got) == len(ROWS) and mixing.NO_SOURCE in {r.source for r in got}

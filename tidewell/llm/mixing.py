@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -20,6 +21,8 @@ from tidewell.llm.common import cut, read
 #: Slots of a period at least, rows of a block, and the power of a source's rows that is its default weight.
 PERIOD, BLOCK_ROWS, POWER = 1000, 20, 0.5
 NO_SOURCE = "(none)"
+#: Slots of the least weight in a fine period, so that no share is rounded up by much, and most slots of such a period.
+LEAST_SLOTS, MOST_SLOTS = 10, 200_000
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -50,18 +53,29 @@ def schedule(share: dict[str, int]) -> list[tuple[str, int, int]]:
     return out
 
 
-def _ranked(docs: DataFrame) -> DataFrame:
-    """doc_id, source, md5, rank of each row within its source in the order of md5, doc_id.
+def _ranked(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source, md5, rank of each row within its source in the order of md5, doc_id; and more columns.
 
     Rows are numbered within each of 4,096 ranges of md5, and the ranges' counts are added up: no task
     holds a whole source.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), "text"), F.lit("text "))
-    slim = docs.select("doc_id", F.coalesce("source", F.lit(NO_SOURCE)).alias("source"), F.md5(key).alias("md5")).withColumn("part", F.substring("md5", 1, 3))
+    slim = docs.select("doc_id", F.coalesce("source", F.lit(NO_SOURCE)).alias("source"), F.md5(key).alias("md5"), *more).withColumn("part", F.substring("md5", 1, 3))
     parts = slim.groupBy("source", "part").agg(F.count("*").alias("n"))
     before = parts.select("source", "part", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     at = F.row_number().over(W.partitionBy("source", "part").orderBy("md5", "doc_id"))
-    return slim.withColumn("at", at).join(before, ["source", "part"]).select("doc_id", "source", "md5", (F.col("before") + F.col("at") - 1).alias("rank"))
+    out = slim.withColumn("at", at).join(before, ["source", "part"]).withColumn("rank", F.col("before") + F.col("at") - 1)
+    return out.drop("part", "at", "before")
+
+
+def _placed(ranked: DataFrame, share: dict[str, int], slots: list[tuple[str, int, int]], block_rows: int) -> DataFrame:
+    """ranked with block, k (the source's share), at, slot: null where the source has no share."""
+    spark, period = ranked.sparkSession, len(slots)
+    table = json.dumps([{"source": s, "j": j, "at": slot} for s, j, slot in slots])
+    table = spark.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<source:string,j:long,at:long>>")))
+    k = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"source": s, "k": n} for s, n in share.items()])), "array<struct<source:string,k:long>>")))
+    blocks = ranked.withColumn("block", F.floor(F.col("rank") / block_rows)).join(F.broadcast(k), "source", "left").withColumn("j", F.expr("block % k"))
+    return blocks.join(F.broadcast(table), ["source", "j"], "left").withColumn("slot", F.expr(f"block div k * {period} + at"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD, block_rows: int = BLOCK_ROWS, power: float = POWER) -> DataFrame:
@@ -87,11 +101,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int =
     at = {(s, j): slot for s, j, slot in slots}
     empty = {s: -(-rows[s] // block_rows) for s in share}  # the first block without rows
     horizon = min(empty[s] // k * period + at[s, empty[s] % k] for s, k in share.items())
-    table = json.dumps([{"source": s, "j": j, "at": slot, "k": share[s]} for s, j, slot in slots])
-    table = spark.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<source:string,j:long,at:long,k:long>>")))
-    k = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([{"source": s, "k": n} for s, n in share.items()])), "array<struct<source:string,k:long>>")))
-    blocks = ranked.withColumn("block", F.floor(F.col("rank") / block_rows)).join(F.broadcast(k), "source", "left").withColumn("j", F.expr("block % k"))
-    placed = blocks.join(F.broadcast(table.drop("k")), ["source", "j"], "left").withColumn("slot", F.expr(f"block div k * {period} + at"))
+    placed = _placed(ranked, share, slots, block_rows)
     return placed.select(
         "doc_id", "source", "md5",
         F.when(F.col("slot").isNotNull(), F.col("block")).alias("block"),
@@ -115,6 +125,30 @@ def keep_mix(docs: DataFrame, **how) -> DataFrame:
     return at.where(place <= F.col("_last")).select(*docs.columns)
 
 
+def fine_period(weights: dict[str, float]) -> int:
+    """Slots of a period in which each source has LEAST_SLOTS or more, MOST_SLOTS in all at most."""
+    fine = math.ceil(LEAST_SLOTS * sum(weights.values()) / min(weights.values()))
+    return max(PERIOD, 2 * len(weights), min(MOST_SLOTS, fine))
+
+
+def in_mix_order(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, power: float = POWER) -> DataFrame:
+    """All rows of docs in the order of the mix: sorted by slot over the partitions.
+
+    A source that runs out leaves the schedule: the slots it would have had stay empty, and the others go on
+    in their proportions. Rows of a source without weight come last. weights as in mix(). The driver gets one
+    row a source and makes one period.
+    """
+    rows = {r["source"]: r["n"] for r in docs.groupBy(F.coalesce("source", F.lit(NO_SOURCE)).alias("source")).agg(F.count("*").alias("n")).toLocalIterator()}
+    if weights is None:
+        weights = {s: n**power for s, n in rows.items()}
+    weights = {s: w for s, w in weights.items() if s in rows and w > 0}
+    if not weights:
+        return docs
+    share = shares(weights, fine_period(weights))
+    placed = _placed(_ranked(docs, F.struct(*docs.columns).alias("row")), share, schedule(share), block_rows)
+    return placed.orderBy(F.col("slot").asc_nulls_last(), "source", "rank").select("row.*")
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "block", "release", "deadline", "slot", "position", "in_mix")
 
