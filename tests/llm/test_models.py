@@ -159,6 +159,27 @@ def test_embeddings_against_all_pairs(spark):
     assert max(w[1] for w in want) > 5
 
 
+@pytest.mark.parametrize("dim, spread", [(64, 2), (128, 1), (64, 6)])
+def test_dense_group_of_low_rank_loses_no_link(spark, dim, spread):
+    """A hot third around one direction whose members differ in few directions, with centroids inside it."""
+    rng = np.random.default_rng(4)
+    middle, ways = rng.normal(size=dim), np.linalg.qr(rng.normal(size=(dim, spread)))[0].T
+    hot = middle / np.linalg.norm(middle) + rng.normal(size=(700, spread)) @ ways * 0.4 / spread**0.5
+    e = np.concatenate([rng.normal(size=(1400, dim)), hot]).astype(np.float32)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(e)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in embed_dedup.near_duplicates(table).collect()}
+    unit = e.astype(float) / np.linalg.norm(e.astype(float), axis=1, keepdims=True)
+    on = unit @ unit.T >= 0.95
+    root = np.arange(len(e))
+    for _ in range(len(e)):
+        low = np.where(on, root[None], len(e)).min(axis=1)
+        if (low == root).all():
+            break
+        root = low
+    assert [got[k].n_links for k in range(len(e))] == (on.sum(axis=1) - 1).tolist() and on.sum() > 3 * len(e)
+    assert [got[k].component_id for k in range(len(e))] == root.tolist()
+
+
 def test_no_embeddings(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embed_dedup.near_duplicates(empty).count() == 0

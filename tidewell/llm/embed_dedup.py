@@ -1,12 +1,12 @@
 """Embedding near-duplicates by product quantisation.
 
 Each distinct vector is filed in the inverted list of its nearest coarse centroid, with its residual as
-codes of subspaces. A query probes the lists that can hold a vector y within the radius: for y to be nearer
-to centroid c than to c0, the query's nearest, y - x must cross the plane between the two. Of a difference
-of that length the part along one direction is about radius / sqrt(dimension); lists up to SPREAD times as
-far are probed (with few dimensions that is the radius itself, and nothing can be missed). In a list,
+codes of subspaces. A query probes all lists that can hold a vector y within the radius: for y to be nearer
+to centroid c than to c0, the query's nearest, y - x must cross the plane between the two, and y is no
+farther from c than the farthest vector filed there. Both bounds are exact: no list that holds a partner is
+left out. Lists near each other form bins, and a query is sent once to each bin it probes. In a list,
 distances are sums over table lookups by code; as |y - code(y)| is added to the radius, no vector is lost
-by them. What remains is compared by cosine in double precision. Tests measure recall against brute force.
+by them. What remains is compared by cosine in double precision.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ from tidewell.llm.components import components, local_roots
 
 #: Vectors on which centroids and codes are fitted at most, vectors of a block, subspaces and codes of each.
 SAMPLE, BLOCK, SUBSPACES, CODES, LISTS = 4096, 256, 16, 64, 1024
-PAIRS_AT_ONCE = 50_000
-#: Deviations of a difference along one direction that probes reach.
-SPREAD = 3.0
+PAIRS_AT_ONCE, PAIRS_KEPT = 50_000, 500_000
+#: Bytes of the vectors filed in a bin at most, and fewest bins.
+BIN_BYTES, BINS = 4 << 20, 6
 SLIP = 1e-9  # what rounding may take from a bound
 
 
@@ -56,21 +56,25 @@ class Quantiser:
         self.parts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
         self.words = [kmeans(rest[:, p], CODES) for p in self.parts]
 
-    def file(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each row its list, its codes and how far they are from it."""
+    def file(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row its list and how far it is from the centroid."""
         near = _square(x, self.coarse).argmin(axis=1)
         rest = x - self.coarse[near]
+        return near, np.linalg.norm(rest, axis=1)
+
+    def code(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each residual its codes and how far it is from them."""
         codes = np.stack([_square(rest[:, p], w).argmin(axis=1) for p, w in zip(self.parts, self.words)], axis=1)
         back = np.concatenate([w[codes[:, k]] for k, w in enumerate(self.words)], axis=1)
-        return near, codes.astype(np.uint8), np.linalg.norm(rest - back, axis=1)
+        return codes.astype(np.uint8), np.linalg.norm(rest - back, axis=1)
 
-    def probes(self, x: np.ndarray, radius: float) -> np.ndarray:
-        """For each row and list whether it is probed for vectors within the radius."""
+    def probes(self, x: np.ndarray, radius: float, far: np.ndarray) -> np.ndarray:
+        """For each row and list whether the list, whose vectors are up to far from its centroid, can hold one within the radius."""
         d = _square(x, self.coarse)
         near = d.argmin(axis=1)
         apart = np.sqrt(_square(self.coarse, self.coarse))[near]
-        reach = radius * min(1.0, SPREAD / x.shape[1] ** 0.5)
-        return d - d[np.arange(len(x)), near][:, None] <= 2 * apart * (reach + SLIP) + SLIP
+        crosses = d - d[np.arange(len(x)), near][:, None] <= 2 * apart * (radius + SLIP) + SLIP
+        return crosses & (np.sqrt(d) <= far + radius + 1e-6)
 
     def distances(self, x: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
         """From each row of x to each row of codes in the list of."""
@@ -80,31 +84,76 @@ class Quantiser:
         return np.sqrt(total)
 
 
-def _block(pdf: pd.DataFrame, q: Quantiser, least: float, radius: float, dim: int, kind: str) -> pd.DataFrame:
-    """rep, n (vectors linked), root: of all queries and filed vectors of one block."""
+class Bins:
+    """Blocks of about BLOCK vectors, each of one list, dealt to at least BINS bins, lists near each other together."""
+
+    def __init__(self, q: Quantiser, sizes: dict[int, int], dim: int):
+        of = np.zeros(len(q.coarse), dtype=np.int64)
+        of[list(sizes)] = list(sizes.values())
+        self.blocks = -(-of // BLOCK)
+        self.n = max(BINS, -(-int(of.sum()) * 4 * dim // BIN_BYTES))
+        middle = kmeans(q.coarse, self.n)
+        order = np.argsort(_square(q.coarse, middle).argmin(axis=1), kind="stable")
+        self.first = np.zeros(len(of), dtype=np.int64)
+        self.first[order] = np.cumsum(self.blocks[order]) - self.blocks[order]
+        lists = np.repeat(np.arange(len(of)), self.blocks)
+        at = np.repeat(self.first, self.blocks) + np.arange(len(lists)) - np.repeat(np.cumsum(self.blocks) - self.blocks, self.blocks)
+        rows = np.repeat(of / np.maximum(1, self.blocks), self.blocks)
+        self.bin = np.zeros(len(lists), dtype=np.int64)
+        by = np.argsort(at)
+        self.bin[at[by]] = np.minimum(self.n - 1, (np.cumsum(rows[by]) - rows[by]) * self.n / max(1, of.sum()))
+        self.has = np.zeros((len(of), self.n), dtype=np.float32)
+        self.has[lists, self.bin[at]] = 1
+
+    def of(self, lists: np.ndarray, rep: np.ndarray) -> np.ndarray:
+        """The bin in which a vector of the list is filed."""
+        return self.bin[self.first[lists] + _mixed(rep) % self.blocks[lists]]
+
+
+def _mixed(rep: np.ndarray) -> np.ndarray:
+    h = rep.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)).astype(np.int64)
+
+
+def _forest(n: int, pairs: list[np.ndarray]) -> np.ndarray:
+    pair = np.concatenate(pairs)
+    return local_roots(n, pair >> 32, pair & 0xFFFFFFFF)
+
+
+def _search(pdf: pd.DataFrame, q: Quantiser, least: float, radius: float, far: np.ndarray, dim: int, kind: str) -> pd.DataFrame:
+    """rep, n (vectors linked), root: of the queries and filed vectors of one bin."""
     pdf = pdf.sort_values(["rep", "filed"])
     raw = np.frombuffer(b"".join(pdf["vec"]), dtype=kind).reshape(-1, dim).astype(float)
     unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-    rep, filed = pdf["rep"].to_numpy(), pdf["filed"].to_numpy()
-    if not filed.any():
-        return pd.DataFrame({"rep": rep[:0], "n": rep[:0], "root": rep[:0]})
-    of = int(pdf["list"].iloc[0])
+    rep, filed, lists = pdf["rep"].to_numpy(), pdf["filed"].to_numpy(), pdf["list"].to_numpy()
     ids, at = np.unique(rep, return_inverse=True)
-    y, ask = np.flatnonzero(filed), np.flatnonzero(~filed)
-    _, codes, off = q.file(unit[y])
-    copies = pdf["copies"].to_numpy()[y]
+    ask, copies = np.flatnonzero(~filed), pdf["copies"].to_numpy()
+    held = {}
+    for of in np.unique(lists[filed]):
+        y = np.flatnonzero(filed & (lists == of))
+        rest = unit[y] - q.coarse[of]
+        held[int(of)] = (y, *q.code(rest))
     linked = np.zeros(len(ids), dtype=np.int64)
-    pairs = [np.zeros(0, dtype=np.int64)]
+    pairs, kept = [np.zeros(0, dtype=np.int64)], 0
     for start in range(0, len(ask), BLOCK):
-        a = ask[start : start + BLOCK]
-        i, j = np.nonzero(q.distances(unit[a], of, codes) <= radius + off[None] + SLIP)
-        for s in range(0, len(i), PAIRS_AT_ONCE):
-            u, v = a[i[s : s + PAIRS_AT_ONCE]], y[j[s : s + PAIRS_AT_ONCE]]
-            on = (np.einsum("ij,ij->i", unit[u], unit[v]) >= least) & (rep[u] != rep[v])
-            linked += np.bincount(at[u[on]], copies[j[s : s + PAIRS_AT_ONCE]][on], minlength=len(ids)).astype(np.int64)
-            pairs.append(np.unique(at[u[on]] << 32 | at[v[on]]))
-    pair = np.concatenate(pairs)
-    root = local_roots(len(ids), pair >> 32, pair & 0xFFFFFFFF)
+        some = ask[start : start + BLOCK]
+        probed = q.probes(unit[some], radius, far)
+        for of, (y, codes, off) in held.items():
+            a = some[probed[:, of]]
+            if not len(a):
+                continue
+            for low in range(0, len(y), 4096):
+                i, j = np.nonzero(q.distances(unit[a], of, codes[low : low + 4096]) <= radius + off[None, low : low + 4096] + SLIP)
+                for s in range(0, len(i), PAIRS_AT_ONCE):
+                    u, v = a[i[s : s + PAIRS_AT_ONCE]], y[low + j[s : s + PAIRS_AT_ONCE]]
+                    on = (np.einsum("ij,ij->i", unit[u], unit[v]) >= least) & (rep[u] != rep[v])
+                    linked += np.bincount(at[u[on]], copies[v[on]], minlength=len(ids)).astype(np.int64)
+                    pairs.append(np.unique(at[u[on]] << 32 | at[v[on]]))
+                    kept += len(pairs[-1])
+                    if kept > PAIRS_KEPT:
+                        root, nodes = _forest(len(ids), pairs), np.arange(len(ids))
+                        pairs, kept = [(nodes << 32 | root)[root != nodes]], 0
+    root = _forest(len(ids), pairs)
     on = (linked > 0) | (root != np.arange(len(ids)))
     return pd.DataFrame({"rep": ids[on], "n": linked[on], "root": ids[root[on]]})
 
@@ -149,34 +198,41 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 raw, unit = unit_of(b.column(2))
-                near = sent.value.file(unit)[0]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in raw.astype(kind)]), pa.array(near, pa.int32())], names=["rep", "copies", "vec", "list"])
+                near, away = sent.value.file(unit)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in raw.astype(kind)]), pa.array(near, pa.int32()), pa.array(away)], names=["rep", "copies", "vec", "list", "away"])
 
     named = F.coalesce("rep", F.shiftrightunsigned("h1", 2) + F.lit(1 << 62))  # only rows without vec_id
-    filed = cut(classes.select(named.alias("rep"), "copies", "e").mapInArrow(file, "rep long, copies long, vec binary, list int"))
-    sizes = {r["list"]: r["count"] for r in filed.groupBy("list").count().toLocalIterator()}  # one row a list
-    blocks = {k: -(-c // BLOCK) for k, c in sizes.items()}
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many = np.array([blocks.get(k, 0) for k in range(len(sent.value.coarse))])
+    filed = cut(classes.select(named.alias("rep"), "copies", "e").mapInArrow(file, "rep long, copies long, vec binary, list int, away double"))
+    stats = list(filed.groupBy("list").agg(F.count("*").alias("n"), F.max("away").alias("far")).toLocalIterator())  # one row a list
+    far = np.full(len(q.coarse), -np.inf)
+    far[[r["list"] for r in stats]] = [r["far"] for r in stats]
+    bins = Bins(q, {r["list"]: r["n"] for r in stats}, dim)
+    placed = spark.sparkContext.broadcast((bins, far))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector as filed in its bin for each share of the queries, and as a query to each bin that it probes."""
+        bins, far = placed.value
         for b in batches:
-            for at in range(0, b.num_rows, BLOCK):
-                c = b.slice(at, BLOCK)
+            for start in range(0, b.num_rows, BLOCK):
+                c = b.slice(start, BLOCK)
                 raw = np.frombuffer(b"".join(c.column(2).to_pylist()), kind).reshape(-1, dim).astype(float)
-                i, k = np.nonzero(sent.value.probes(raw / np.linalg.norm(raw, axis=1, keepdims=True), radius))
-                times = many[k]
-                i, k = np.repeat(i, times), np.repeat(k, times)
-                block = np.arange(len(k)) - np.repeat(np.cumsum(times) - times, times)
-                yield pa.RecordBatch.from_arrays([c.column(0).take(pa.array(i)), pa.array(np.zeros(len(i), np.int64)), c.column(2).take(pa.array(i)), pa.array(k, pa.int32()), pa.array(block, pa.int32()), pa.array(np.zeros(len(i), bool))], names=["rep", "copies", "vec", "list", "block", "filed"])
-
-    count = F.element_at(F.create_map(*[F.lit(v) for k in sorted(blocks.items()) for v in k]), F.col("list"))
-    held = filed.withColumn("block", F.pmod(F.xxhash64("rep"), count).cast("int")).withColumn("filed", F.lit(True))
-    asked = filed.mapInArrow(ask, "rep long, copies long, vec binary, list int, block int, filed boolean")
+                rep, of = c.column(0).to_numpy(), c.column(3).to_numpy()
+                probed = sent.value.probes(raw / np.linalg.norm(raw, axis=1, keepdims=True), radius, far)
+                i, k = np.nonzero(probed.astype(np.float32) @ bins.has > 0)
+                share = _mixed(~rep) % bins.n
+                at = np.concatenate([np.repeat(np.arange(len(rep)), bins.n), i])
+                bin_ = np.concatenate([np.repeat(bins.of(of, rep), bins.n), k])
+                part = np.concatenate([np.tile(np.arange(bins.n), len(rep)), share[i]])
+                is_filed = np.arange(len(at)) < len(rep) * bins.n
+                cols = [c.column(m).take(pa.array(at)) for m in range(4)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(bin_, pa.int32()), pa.array(part, pa.int32()), pa.array(is_filed)], names=["rep", "copies", "vec", "list", "bin", "part", "filed"])
+
+    dealt = filed.mapInArrow(deal, "rep long, copies long, vec binary, list int, bin int, part int, filed boolean")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _block(pdf, sent.value, least, radius, dim, kind)
+        return _search(pdf, sent.value, least, radius, placed.value[1], dim, kind)
 
-    found = cut(held.unionByName(asked).groupBy("list", "block").applyInPandas(search, "rep long, n long, root long"))
+    found = cut(dealt.groupBy("bin", "part").applyInPandas(search, "rep long, n long, root long"))
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
     of = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     by_class = classes.select("h1", "h2", "copies", named.alias("rep")).join(links, "rep", "left").join(of, F.col("rep") == F.col("node"), "left")
