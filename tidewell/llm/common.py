@@ -56,6 +56,28 @@ def checked_broadcast(small: DataFrame, rows: int, limit: int = BROADCAST_ROWS)
     return F.broadcast(small) if rows <= limit else small
 
 
+def hot_keys(counts: DataFrame, total: int, n: str = "n") -> DataFrame:
+    """The rows of counts whose n is above a thousandth of total: fewer than a thousand, whatever the data."""
+    return counts.where(F.col(n) > max(1000, total // 1000))
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
+    """left join right on key where right has each key once, with n, its rows in left (total in all).
+
+    The rows of hot keys meet the few hot rows of right by broadcast and so stay where they are; all others
+    are dealt out by key. left is read twice and has to be a table.
+    """
+    hot = F.broadcast(hot_keys(right, total, n))
+    cold = right.where(F.col(n) <= max(1000, total // 1000))
+    rest = left.join(F.broadcast(hot_keys(right, total, n).select(key)), key, "left_anti")
+    return left.join(hot, key).unionByName(rest.join(cold, key))
+
+
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """docs as one column, row, with more columns: names inside can't clash with those of docs. select("row.*") undoes it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """doc_id, or where it is null a hash of the text above 2 ** 62, so that such a row comes after all others."""
     return F.coalesce(F.col(doc_id).cast("long"), F.shiftrightunsigned(F.xxhash64(F.lit("no id"), F.col(text)), 2) + F.lit(1 << 62))
