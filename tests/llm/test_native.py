@@ -40,7 +40,7 @@ def test_placement(spark):
     for r in placed:
         if r.doc_id is not None:
             slot = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16) % sharding.TABLE_SIZE
-            assert (r._slot, r._shard) == (slot, table[slot])
+            assert (r.slot, r.shard) == (slot, table[slot])
     assert sharding.place(docs(spark).where("false")).count() == 0
     assert not re.search(NATIVE, plan(sharding.place(docs(spark))))
 
@@ -89,10 +89,51 @@ def test_mix_order_keeps_all_rows(spark):
         for s, size in sizes.items():
             seen, want = sum(x == s for _, x in got[:at]), at * size**0.5 / total
             assert abs(min(want, size) - seen) <= 4 * 2 + 0.1 * want or seen == size
-    share = mixing.shares(w := {s: size**0.5 for s, size in sizes.items()}, mixing.fine_period(w))
+    w = {s: size**0.5 for s, size in sizes.items()}
+    share = mixing.whole(mixing.default_weights(sizes))
     assert all(abs(k / sum(share.values()) / (w[s] / total) - 1) <= 0.1 for s, k in share.items())
 
 
+@pytest.mark.parametrize("weights", [{"a": 2, "b": 1, "c": 4}, {"a": 0.1, "b": 0.2, "c": 0.137}, {"big": 100_000} | {f"s{k}": 1 for k in range(200)}])
+def test_targets_hold_to_within_a_block_at_every_slot(weights):
+    """The deviation from the target, as it was given, over 100,000 slots and more."""
+    from fractions import Fraction
+
+    share = mixing.whole(weights)
+    target = {s: Fraction(str(w)) / sum(Fraction(str(v)) for v in weights.values()) for s, w in weights.items()}
+    assert all(Fraction(k, sum(share.values())) == target[s] for s, k in share.items())
+    slots, done, period = mixing.schedule(share), Counter(), sum(share.values())
+    for slot in range(max(100_000, period)):
+        s = slots[slot % period][0]
+        done[s] += 1
+        for x in (s, next(iter(weights)), "c"):
+            assert x not in target or abs(done[x] - (slot + 1) * target[x]) < 1
+
+
+def test_shares_of_a_given_period():
+    share = mixing.shares({"big": 100_000} | {f"s{k}": 1 for k in range(200)}, 1000)
+    assert sum(share.values()) == 1000 and share["big"] == 800 and min(share.values()) == 1
+    assert mixing.whole({f"s{k}": 0.1 + k / 7 for k in range(9)}, most=100).keys() == {f"s{k}" for k in range(9)}
+
+
+def test_queries_equal_their_sql(spark):
+    """Every query of this folder that has SQL, over sf0.001, as DuckDB runs it."""
+    import duckdb
+
+    from tests.conftest import SF
+    from tidewell.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for name, sql in queries.ORACLES.items():
+        got = queries.QUERIES[name](spark, SF)
+        columns = sorted(got.columns)
+        want = con.sql(sql)
+        assert sorted(want.columns) == columns
+        assert sorted(map(str, got.select(columns).collect())) and sorted(tuple(map(str, r)) for r in got.select(columns).collect()) == sorted(tuple(map(str, r)) for r in want.select(*columns).fetchall()), name
+
+
 def test_mix_order_bears_all_cases(spark):
     got = mixing.in_mix_order(wide(spark))
     assert got.columns == wide(spark).columns and sorted(map(str, got.collect())) == sorted(map(str, wide(spark).collect()))
@@ -122,6 +163,9 @@ def test_seeds_find_passages_with_two_substitutions(spark):
     rows = [(1, words(40, 5) + " " + item.upper() + "! " + words(9, 6)), (2, "a b " + " ".join(w[5:17])), (3, " ".join(w[5:16])), (4, changed(*range(5, 30, 12), *range(6, 30, 12))), (5, changed(*range(2, 30, 3))), (6, words(200, 8))]
     got = decontamination.contaminated(spark.createDataFrame([(k, t) for k, t in rows], "doc long, text string"), bench).collect()
     assert {r.doc: r.item_ids for r in got} == {1: "0", 2: "0", 4: "0"}
+    twin = bench.union(spark.createDataFrame([(9, "other words " + item), (9, item)], bench.schema))
+    both = decontamination.contaminated(spark.createDataFrame([(k, t) for k, t in rows], "doc long, text string"), twin).collect()
+    assert {r.doc: (r.item_ids, r.n_items) for r in both} == {1: ("0,9", 2), 2: ("0,9", 2), 4: ("0,9", 2)}
     kept = decontamination.drop_contaminated(wide(spark, [*ROWS, (20, rows[0][1], "en", "a", 1), (None, rows[1][1], "en", "a", 1)]), bench)
     assert kept.count() == len(ROWS)
     assert decontamination.drop_contaminated(docs(spark).where("false"), bench).count() == 0

@@ -2,8 +2,9 @@
 
 The rows of a source form blocks. With weight w, block j is released at slot floor(j / w) and due at
 slot ceil((j + 1) / w); each slot goes to the released block with the earliest deadline. All windows are
-met as the weights sum to 1, so at any slot a source is within one block of its share. Weights are whole
-shares of a period, after which the schedule repeats: a block's slot follows from a table of one period.
+met as the weights sum to 1, so at any slot a source is within one block of its share. Weights are taken as
+the exact fractions they are, and so as whole numbers; their sum is a period, after which the schedule
+repeats: a block's slot follows from a table of one period, however many slots there are in all.
 """
 
 from __future__ import annotations
@@ -11,32 +12,60 @@ from __future__ import annotations
 import heapq
 import json
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewell.llm.common import cut, read
+from tidewell.llm.common import cut, packed, read
 
-#: Slots of a period at least, rows of a block, and the power of a source's rows that is its default weight.
-PERIOD, BLOCK_ROWS, POWER = 1000, 20, 0.5
+#: Rows of a block, and the power of a source's rows that is, as a whole number, its default weight.
+BLOCK_ROWS, POWER = 20, 0.5
 NO_SOURCE = "(none)"
-#: Slots of the least weight in a fine period, so that no share is rounded up by much, and most slots of such a period.
-LEAST_SLOTS, MOST_SLOTS = 10, 200_000
+#: Slots of a period at most. Whole weights with a greater sum are rounded to shares of so many slots.
+MOST_SLOTS = 200_000
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole shares of the period by largest remainder, one for each source at least."""
+    """Whole shares of the period by largest remainder; a source that would have none gets one from the largest."""
     if len(weights) > period:
         raise ValueError("the period must have a slot for each source")
-    total, spare = sum(weights.values()), period - len(weights)
-    exact = {s: w / total * spare for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(out.values())]:
+    total = sum(map(Fraction, weights.values()))
+    exact = {s: Fraction(w) * period / total for s, w in weights.items()}
+    out = {s: math.floor(x) for s, x in exact.items()}
+    for s in sorted(exact, key=lambda s: (out[s] - exact[s], s))[: period - sum(out.values())]:
         out[s] += 1
+    none = [s for s in sorted(out) if not out[s]]
+    for s in none:
+        out[s] += 1
+    large = [(-k, s) for s, k in out.items()]
+    heapq.heapify(large)
+    for _ in none:
+        k, s = heapq.heapreplace(large, (large[0][0] + 1, large[0][1]))
+        out[s] = -k - 1
     return out
 
 
+def whole(weights: dict[str, float], most: int = MOST_SLOTS) -> dict[str, int]:
+    """The weights as the least whole numbers in the same proportions, exactly, if their sum is at most most.
+
+    A weight is the decimal that it is written as. Beyond most slots shares are rounded, each by less than
+    a slot of most, which the sources must not outnumber.
+    """
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    scale = math.lcm(*[x.denominator for x in exact.values()])
+    ints = {s: int(x * scale) for s, x in exact.items()}
+    common = math.gcd(*ints.values())
+    ints = {s: k // common for s, k in ints.items()}
+    return ints if sum(ints.values()) <= most else shares(ints, most)
+
+
+def default_weights(rows: dict[str, int], power: float = POWER) -> dict[str, float]:
+    """The power of each source's rows, as a whole number from 1 on."""
+    return {s: max(1, round(n**power)) for s, n in rows.items()}
+
+
 def schedule(share: dict[str, int]) -> list[tuple[str, int, int]]:
     """source, block, slot for one period: earliest deadline first among the released blocks."""
     period = sum(share.values())
@@ -78,25 +107,24 @@ def _placed(ranked: DataFrame, share: dict[str, int], slots: list[tuple[str, int
     return blocks.join(F.broadcast(table), ["source", "j"], "left").withColumn("slot", F.expr(f"block div k * {period} + at"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD, block_rows: int = BLOCK_ROWS, power: float = POWER) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, period: int | None = None, block_rows: int = BLOCK_ROWS, power: float = POWER) -> DataFrame:
     """doc_id, source, md5, block, release, deadline, slot, position, in_mix of each row of docs.
 
-    weights: by source; None: the power of the source's rows. A source without weight takes no slot
-    (block and what follows it null, in_mix false). in_mix: the slot is before the first one whose
-    source has no row left for it, up to which the weights hold. Null sources are a source of their own; rows without
-    doc_id are ordered by their text; rows that repeat a doc_id take places one after the other.
-    The period is at least twice the number of sources, which is all that the driver gets.
+    weights: by source; None: the power of the source's rows, as a whole number. They hold exactly, to within a
+    block at every slot, unless a period is given, whose whole shares they are rounded to. A source without
+    weight takes no slot (block and what follows it null, in_mix false). in_mix: the slot is before the first
+    one whose source has no row left for it, up to which the weights hold. Null sources are a source of their
+    own; rows without doc_id are ordered by their text; rows that repeat a doc_id take places one after the
+    other. The driver gets one row a source and makes one period.
     """
     spark = docs.sparkSession
     ranked = cut(_ranked(docs))
     rows = {r["source"]: r["n"] for r in ranked.groupBy("source").agg(F.count("*").alias("n")).toLocalIterator()}
-    if weights is None:
-        weights = {s: n**power for s, n in rows.items()}
-    weights = {s: w for s, w in weights.items() if s in rows and w > 0}
+    weights = {s: w for s, w in (weights or default_weights(rows, power)).items() if s in rows and w > 0}
     if not weights:
         return ranked.select("doc_id", "source", "md5", *[F.lit(None).cast("long").alias(c) for c in ("block", "release", "deadline", "slot", "position")], F.lit(False).alias("in_mix"))
-    period = max(period, 2 * len(weights))
-    share = shares(weights, period)
+    share = shares(weights, max(period, 2 * len(weights))) if period else whole(weights)
+    period = sum(share.values())
     slots = schedule(share)
     at = {(s, j): slot for s, j, slot in slots}
     empty = {s: -(-rows[s] // block_rows) for s in share}  # the first block without rows
@@ -118,17 +146,11 @@ def keep_mix(docs: DataFrame, **how) -> DataFrame:
 
     The last ones are one row for each source, as many as the period's slots at most, and are broadcast.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), "text"), F.lit("text "))
-    place = F.struct(F.md5(key).alias("md5"), "doc_id")
-    last = mix(docs, **how).where("in_mix").groupBy(F.col("source").alias("_source")).agg(F.max(F.struct("md5", "doc_id")).alias("_last"))
-    at = docs.withColumn("_source", F.coalesce("source", F.lit(NO_SOURCE))).join(F.broadcast(last), "_source")
-    return at.where(place <= F.col("_last")).select(*docs.columns)
-
-
-def fine_period(weights: dict[str, float]) -> int:
-    """Slots of a period in which each source has LEAST_SLOTS or more, MOST_SLOTS in all at most."""
-    fine = math.ceil(LEAST_SLOTS * sum(weights.values()) / min(weights.values()))
-    return max(PERIOD, 2 * len(weights), min(MOST_SLOTS, fine))
+    key = F.coalesce(F.col("row.doc_id").cast("string"), F.concat(F.lit("text "), "row.text"), F.lit("text "))
+    place = F.struct(F.md5(key).alias("md5"), "row.doc_id")
+    last = mix(docs, **how).where("in_mix").groupBy("source").agg(F.max(F.struct("md5", "doc_id")).alias("last"))
+    at = packed(docs, F.coalesce("source", F.lit(NO_SOURCE)).alias("source")).join(F.broadcast(last), "source")
+    return at.where(place <= F.col("last")).select("row.*")
 
 
 def in_mix_order(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, power: float = POWER) -> DataFrame:
@@ -139,12 +161,10 @@ def in_mix_order(docs: DataFrame, weights: dict[str, float] | None = None, block
     row a source and makes one period.
     """
     rows = {r["source"]: r["n"] for r in docs.groupBy(F.coalesce("source", F.lit(NO_SOURCE)).alias("source")).agg(F.count("*").alias("n")).toLocalIterator()}
-    if weights is None:
-        weights = {s: n**power for s, n in rows.items()}
-    weights = {s: w for s, w in weights.items() if s in rows and w > 0}
+    weights = {s: w for s, w in (weights or default_weights(rows, power)).items() if s in rows and w > 0}
     if not weights:
         return docs
-    share = shares(weights, fine_period(weights))
+    share = whole(weights)
     placed = _placed(_ranked(docs, F.struct(*docs.columns).alias("row")), share, schedule(share), block_rows)
     return placed.orderBy(F.col("slot").asc_nulls_last(), "source", "rank").select("row.*")
 
@@ -161,17 +181,13 @@ WITH RECURSIVE ranked AS (
          row_number() OVER (PARTITION BY coalesce(source, '{NO_SOURCE}') ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rnk
   FROM documents
 ), size AS (
-  SELECT source, count(*) AS n, pow(count(*), {POWER}) AS w FROM ranked GROUP BY source
-), period AS (
-  SELECT greatest({PERIOD}, 2 * count(*)) AS q, count(*) AS s FROM size
-), exact AS (
-  SELECT source, n, w / (SELECT sum(w) FROM size) * (q - s) AS x, q FROM size, period
+  SELECT source, count(*) AS n, greatest(1, CAST(round(pow(count(*), {POWER})) AS BIGINT)) AS w FROM ranked GROUP BY source
+), common AS (
+  SELECT list_reduce(list(w), lambda x, y: gcd(x, y)) AS g, sum(w) // list_reduce(list(w), lambda x, y: gcd(x, y)) AS q FROM size
 ), share AS (
-  SELECT source, n, q, 1 + CAST(floor(x) AS BIGINT)
-         + CASE WHEN row_number() OVER (ORDER BY floor(x) - x, source) <= q - (SELECT sum(1 + floor(x)) FROM exact) THEN 1 ELSE 0 END AS k
-  FROM exact
+  SELECT source, n, q, w // g AS k FROM size, common
 ), lists AS (
-  SELECT list(k ORDER BY source) AS ks, list(source ORDER BY source) AS names, max(q) AS q FROM share
+  SELECT list(k ORDER BY source) AS ks, list(source ORDER BY source) AS names, CAST(max(q) AS BIGINT) AS q FROM share
 ), edf(slot, taken, pick) AS (
   SELECT CAST(-1 AS BIGINT), [CAST(0 AS BIGINT) FOR k IN ks], CAST(0 AS BIGINT) FROM lists
   UNION ALL

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewell.llm.common import checked_broadcast, cut, forget, read, row_key, small_batches
+from tidewell.llm.common import checked_broadcast, cut, forget, packed, read, row_key, small_batches
 
 ORDER, BITS = 5, 12
 BEGIN, END, CODES = 1, 2, (1 << BITS) - 3
@@ -284,10 +284,10 @@ def trusted_rows(labels: DataFrame) -> DataFrame:
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier keeps. Rows that repeat a doc_id go together if one is rejected."""
-    keyed = docs.withColumn("_key", row_key())
-    found = judged(keyed.select(F.col("_key").alias("key"), "lang", "text"), trusted_rows(labels))
-    gone = cut(found.where("not keep").select(F.col("key").alias("_key")).distinct())
-    return keyed.join(checked_broadcast(gone, gone.count()), "_key", "left_anti").drop("_key")
+    keyed = packed(docs, row_key().alias("key"))
+    found = judged(keyed.select("key", "row.lang", "row.text"), trusted_rows(labels))
+    gone = cut(found.where("not keep").select("key").distinct())
+    return keyed.join(checked_broadcast(gone, gone.count()), "key", "left_anti").select("row.*")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

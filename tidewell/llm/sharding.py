@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import read
+from tidewell.llm.common import packed, read
 
 #: A prime, so that every skip visits all slots; and the number of shards of the query.
 TABLE_SIZE, SHARDS = 65_537, 64
@@ -49,21 +49,22 @@ def slot_of(key: Column, size: int = TABLE_SIZE) -> Column:
 
 
 def place(docs: DataFrame, shards: int = SHARDS, size: int = TABLE_SIZE) -> DataFrame:
-    """docs with _slot and _shard. The table of size slots is broadcast: its bound is size, whatever the rows.
+    """docs with slot and shard. The table of size slots is broadcast: its bound is size, whatever the rows.
 
     A row without doc_id is placed by its text, one without either by the empty text. Rows that repeat a
-    doc_id get the same shard.
+    doc_id get the same shard. Columns named slot and shard are replaced.
     """
     spark = docs.sparkSession
     table = ",".join(map(str, lookup_table(names(shards), size)))
-    slots = spark.range(1).select(F.posexplode(F.split(F.lit(table), ",")).alias("_slot", "_shard")).select("_slot", F.col("_shard").cast("int"))
+    slots = spark.range(1).select(F.posexplode(F.split(F.lit(table), ",")).alias("slot", "shard")).select("slot", F.col("shard").cast("int"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), "text"), F.lit("text "))
-    return docs.withColumn("_slot", slot_of(key, size)).join(F.broadcast(slots), "_slot")
+    placed = packed(docs, slot_of(key, size).alias("slot")).join(F.broadcast(slots), "slot")
+    return placed.select(*[f"row.`{c}`" for c in docs.columns if c not in ("slot", "shard")], "slot", "shard")
 
 
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, slot, shard of every document."""
-    return place(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
+    return place(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "slot", "shard")
 
 
 def op10_sql() -> str:
