@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import pytest
 
@@ -227,6 +228,7 @@ LUHN = lambda d: sum(x if k % 2 == 0 else x * 2 - 9 * (x > 4) for k, x in enumer
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
+@lru_cache  # backtracks on the long texts
 def personal(text):
     out = []
     for k, (kind, pattern) in enumerate(PATTERNS.items()):
@@ -240,7 +242,8 @@ def personal(text):
 
 TEXTS = [
     "a@b.c_d@e.f.g x@y a.b@c..d@e.fr", "mail \U0001f600 é@x.com é.a@b.co.uk!", "1.2.3.4.5.6.7.8 256.1.1.1 0001.02.3.255 1..2.3.4.5", "4539 5787 6362 1486, 4539-5787-6362-1487 4539578763621486 0000000000000000",
-    "+1 (555) 123-4567 +12 +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 +49.30.123456- ++1234567890", "@@@ + +- 1 2", "call (555) 123-4567 or write me [at] corp [dot] com", "x" * 30_000 + "@" + "y" * 30_000, "1" * 30_000, None, "",
+    "+1 (555) 123-4567 +12 +1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 +49.30.123456- ++1234567890", "@@@ + +- 1 2", "call (555) 123-4567 or write me [at] corp [dot] com", "x" * 9_000 + "@" + "y" * 9_000, "1" * 30_000, None, "",
+    "0" * 61 + "1.2.3.4 and " + "0" * 300 + "9.00.0000.255x", "call 415-555-1234 or (415) 555-1234, not 1415-555-1234", "9 " * 5_000, "a@b.cd " * 3_000,
 ]
 
 
@@ -259,6 +262,29 @@ def test_personal_data_bears_all_cases(spark):
     assert not re.search(NATIVE, plan(pii.spans(docs(spark))))
 
 
+def test_votes_add_spans(spark):
+    """Local numbers and spelt-out addresses, which no pattern of the kinds finds, are added where the votes speak for them."""
+    rows = [(k, f"{words(9, k)} phone {200 + k}-555-{1000 + k} and mail joe{k} [at] corp [dot] com {words(5, 500 + k)}") for k in range(60)]
+    rows += [(100 + k, f"{words(9, k)} call +1 (555) 123-{1000 + k} mail a{k}@corp.com {words(5, 700 + k)}") for k in range(60)]
+    rows += [(200 + k, f"{words(9, k)} serial {k} order 123-45-{6000 + k} page {k}") for k in range(60)]
+    got = {r.doc_id: r for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        want = [f"phone:{t.index('-555-') - 3}:{t.index('-555-') + 9}", f"email:{t.index(f'joe{k} ')}:{t.index(' [dot] com') + 10}"] if k < 100 else personal(t)
+        assert [x.n for x in got[k]["all"]] == want and [x.n for x in got[k].base] == personal(t)
+
+
+def test_query_of_personal_data(spark, tmp_path):
+    rows = [(k, t) for k, t in enumerate(TEXTS)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = pii.op1_pii(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = personal(TEXTS[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x.startswith(k) for x in want) for k in PATTERNS]
+        assert r.n_added == len([x for x in r.spans.split(",") if x]) - len(want)
+
+
 def test_reliabilities_follow_the_labelers():
     counts = {("card", "1111"): 80, ("card", "0000"): 70, ("card", "011-"): 5, ("card", "1-11"): 40, ("card", "0-00"): 30}
     p = pii.reliabilities(counts)

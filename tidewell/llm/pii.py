@@ -28,7 +28,7 @@ CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Looser forms: an address that is spelt out, a number without its country.
 SPELT_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63}+){1,8}"
-LOCAL_PHONE = r"(?<![0-9+.() -])\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
+LOCAL_PHONE = r"(?<![0-9+./-])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])"
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 #: Gazetteers and cue words: fixed lists.
@@ -44,10 +44,11 @@ CUES = {
 AGAINST = ["version", "isbn", "issn", "order", "page", "figure", "section", "serial", "doi", "release"]
 
 
-def _found(text: str, pattern: str) -> str:
-    """SQL for array<struct<s, e, t, before>>: matches of a pattern in text, by code point, with the text before each.
+def _found(text: str, pattern: str, ok: str) -> str:
+    """SQL for array<struct<s, e, t, before>>: matches x.t of a pattern in text that are ok, by code point, with the text before each.
 
-    The pieces between matches and the matches themselves add up to the text, which gives the places.
+    The pieces between matches and the matches themselves add up to the text, which gives the places. A match
+    that is not ok only moves the place on: the work is in proportion to the text.
     """
     p = "r'" + pattern.replace("'", "\\'") + "'"
     empty = "cast(array() as array<struct<s:int,e:int,t:string,before:string>>)"
@@ -55,7 +56,7 @@ def _found(text: str, pattern: str) -> str:
         zip_with(slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))), regexp_extract_all({text}, {p}, 0), (p, t) -> struct(p, t)),
         struct(0 as upto, {empty} as found),
         (a, x) -> struct(a.upto + length(x.p) + length(x.t) as upto,
-                         concat(a.found, array(struct(a.upto + length(x.p) as s, a.upto + length(x.p) + length(x.t) as e, x.t as t, right(x.p, {CONTEXT}) as before))) as found),
+                         if({ok}, array_append(a.found, struct(a.upto + length(x.p) as s, a.upto + length(x.p) + length(x.t) as e, x.t as t, right(x.p, {CONTEXT}) as before)), a.found) as found),
         a -> a.found)"""
 
 
@@ -80,21 +81,20 @@ def _candidate(kind: str, base: str, gazetteer: str, shape: str, strict: str) ->
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, c: array of kind, s, e, base, votes, bucket, size for each row of docs; a null text counts as empty."""
-    d = _digits("c.t")
+    d, dx = _digits("c.t"), _digits("x.t")
     tld = "lower(element_at(split(c.t, '[.]|[(\\\\[]dot[)\\\\]] ?'), -1)) in (" + ", ".join(f"'{x}'" for x in DOMAINS) + ")"
     ip_ok = f"rlike(c.t, '^(?:0*{OCTET}[.]){{3}}0*{OCTET}$')"
     card_ok = f"length({d}) between 12 and 19 and {_luhn(d)}"
-    phone_ok = f"length({d}) between 9 and 15"
     yes_no = lambda x: f"case when {x} then '1' else '0' end"
     forms = [
         ("instr(t, '@') > 0", EMAIL, "true", _candidate("email", "true", tld, "length(substring_index(c.t, '@', 1)) <= 64", "'1'")),
-        ("instr(t, '.') > 0", IP, "length(c.t) <= 63", _candidate("ip", ip_ok, "not rlike(c.t, '^(?:0|127|255)[.]')", "not rlike(c.t, '(?:^|[.])0[0-9]')", yes_no(ip_ok))),
-        ("true", CARD, f"length({d}) between 12 and 19", _candidate("card", card_ok, f"rlike({d}, '{ISSUERS}')", f"length({d}) in (14, 15, 16)", yes_no(card_ok))),
-        ("instr(t, '+') > 0", PHONE, phone_ok, _candidate("phone", "true", f"rlike({d}, '{COUNTRIES}')", f"length({d}) between 10 and 13", "'1'")),
+        ("instr(t, '.') > 0", IP, "true", _candidate("ip", ip_ok, "not rlike(c.t, '^(?:0|127|255)[.]')", "not rlike(c.t, '(?:^|[.])0[0-9]')", yes_no(ip_ok))),
+        ("true", CARD, f"length({dx}) between 12 and 19", _candidate("card", card_ok, f"rlike({d}, '{ISSUERS}')", f"length({d}) in (14, 15, 16)", yes_no(card_ok))),
+        ("instr(t, '+') > 0", PHONE, f"length({dx}) between 9 and 15", _candidate("phone", "true", f"rlike({d}, '{COUNTRIES}')", f"length({d}) between 10 and 13", "'1'")),
         ("instr(t, 'at') > 0 and instr(t, 'dot') > 0", SPELT_EMAIL, "true", _candidate("email", "false", tld, "length(c.t) <= 80", "'-'")),
         ("true", LOCAL_PHONE, "true", _candidate("phone", "false", f"rlike({d}, '^[2-9]')", f"length({d}) = 10", "'-'")),
     ]
-    arrays = [f"transform(filter(if({when}, {_found('t', pattern)}, null), c -> {ok}), c -> {made})" for when, pattern, ok, made in forms]
+    arrays = [f"transform(if({when}, {_found('t', pattern, ok)}, null), c -> {made})" for when, pattern, ok, made in forms]
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     none = "cast(array() as array<struct<kind:string,s:int,e:int,base:boolean,votes:string,bucket:int,size:int>>)"
     each = text.select("doc_id", *[F.expr(f"if(rlike(t, '[0-9@]') or instr(t, 'dot') > 0, coalesce({a}, {none}), {none})").alias(f"c{k}") for k, a in enumerate(arrays)])
