@@ -1,11 +1,11 @@
 """Secrets by patterns and a character convolutional network.
 
 Candidates are the pattern matches and all long tokens of letters and digits. The network, in numpy, reads
-each candidate with the characters around it: one-hot characters and a mark of what is candidate and what
-context, a convolution, the maximum over places, a dense layer. It is trained on labelled findings: those
-that the patterns settle in a bounded sample of documents, and made-up ones of known formats and of
-look-alikes. Its scores are calibrated on a part held out, and the threshold is the highest that keeps the
-recall asked for there.
+each whole candidate with the characters before and after it: one-hot characters and a mark of what is
+candidate and what context on which side, a convolution, the maximum over all places, a dense layer. It is
+trained on labelled findings: those that the patterns settle in a bounded sample of documents, and made-up
+ones of known formats and of look-alikes. Its scores are calibrated on a part held out, and the threshold of
+each kind of candidate is the highest that keeps the recall asked for there.
 """
 
 from __future__ import annotations
@@ -24,11 +24,10 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import read, small_batches
 
 KINDS = ["assign", "access", "hex", "token"]
-#: Documents and candidates of the sample, made-up findings, and recall that the threshold keeps on held-out ones.
-SAMPLE_DOCS, SAMPLE_FINDINGS, MADE, RECALL = 4000, 2000, 2000, 0.98
-#: The lowest threshold, whatever the recall: adding a span needs this much.
-FLOOR = 0.9
-BEFORE, BODY, FILTERS, WIDTH, HIDDEN = 24, 40, 24, 5, 16
+#: Documents and candidates of the sample, made-up findings, and recall that a threshold keeps on held-out ones.
+SAMPLE_DOCS, SAMPLE_FINDINGS, MADE, RECALL = 4000, 2000, 4000, 0.98
+#: Characters of context on each side, filters, their width, hidden units; places that are convolved at once.
+AROUND, FILTERS, WIDTH, HIDDEN, PLACES = 24, 24, 5, 16, 1 << 16
 
 ASSIGN = re.compile(
     r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -59,61 +58,90 @@ SIZE = len(ALPHABET) + 3
 
 
 def coded(text: str, start: int, end: int) -> np.ndarray:
-    """Class of each of BEFORE + BODY characters, 0 where there is none; the first BEFORE are context."""
-    before, body = text[max(0, start - BEFORE) : start], text[start : min(end, start + BODY)]
-    x = np.zeros(BEFORE + BODY, dtype=np.int64)
-    x[BEFORE - len(before) : BEFORE] = [ALPHABET.get(c, 1) for c in before]
-    x[BEFORE : BEFORE + len(body)] = [ALPHABET.get(c, 1) for c in body]
+    """Class of each character of the candidate and its context, plus SIZE in the candidate and 2 * SIZE after it; 0 where there is no character."""
+    before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+    x = np.zeros(end - start + 2 * AROUND, dtype=np.uint16)
+    x[AROUND - len(before) : AROUND] = [ALPHABET.get(c, 1) for c in before]
+    x[AROUND : AROUND + end - start] = [ALPHABET.get(c, 1) + SIZE for c in text[start:end]]
+    x[AROUND + end - start : AROUND + end - start + len(after)] = [ALPHABET.get(c, 1) + 2 * SIZE for c in after]
     return x
 
 
 @dataclass
 class Network:
-    """Weights: an embedding of characters for each place in the filter, dense layers, calibration, threshold."""
+    """Weights: a filter for each place in it, class of character and side; dense layers, calibration, a threshold for each kind."""
 
-    filters: np.ndarray  # WIDTH, 2 (context or candidate), SIZE, FILTERS
+    filters: np.ndarray  # WIDTH, 3 * SIZE, FILTERS
     w1: np.ndarray
     b1: np.ndarray
     w2: np.ndarray
     b2: float = 0.0
     scale: float = 1.0
     shift: float = 0.0
-    threshold: float = 0.5
-
-    def forward(self, x: np.ndarray) -> tuple:
-        side = (np.arange(BEFORE + BODY) >= BEFORE).astype(int)
-        n = BEFORE + BODY - WIDTH + 1
-        conv = sum(self.filters[k, side[k : k + n], x[:, k : k + n]] for k in range(WIDTH))
-        best = conv.argmax(axis=1)
-        pooled = np.maximum(np.take_along_axis(conv, best[:, None], 1)[:, 0], 0)
+    thresholds: tuple[float, ...] = (0.5,) * len(KINDS)
+
+    def pool(self, xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The characters in a row, and for each candidate and filter the best value and its place among them."""
+        flat = np.concatenate(xs).astype(np.int64)
+        first = np.cumsum([0, *map(len, xs)])[:-1]
+        n = len(flat) - WIDTH + 1
+        conv = self.filters[0, flat[:n]]
+        for k in range(1, WIDTH):
+            conv = conv + self.filters[k, flat[k : k + n]]
+        sizes = np.array([len(x) - WIDTH + 1 for x in xs])
+        at = np.repeat(first, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # no window over two candidates
+        conv, starts = conv[at], np.cumsum(sizes) - sizes
+        best = np.maximum.reduceat(conv, starts)
+        place = np.where(conv == np.repeat(best, sizes, axis=0), np.arange(len(at))[:, None], len(at))
+        return flat, best, at[np.minimum.reduceat(place, starts)]
+
+    def dense(self, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pooled = np.maximum(best, 0)
         hidden = np.maximum(pooled @ self.w1 + self.b1, 0)
-        return best, pooled, hidden, hidden @ self.w2 + self.b2
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        if not len(x):
+        return pooled, hidden, hidden @ self.w2 + self.b2
+
+    def logits(self, xs: list[np.ndarray]) -> np.ndarray:
+        """The output for each candidate; long ones go in pieces that overlap, of which the maximum counts."""
+        pieces, of = [], []
+        for k, x in enumerate(xs):
+            for low in range(0, max(1, len(x) - WIDTH + 1), PLACES):
+                pieces.append(x[low : low + PLACES + WIDTH - 1])
+                of.append(k)
+        best = np.full((len(xs), FILTERS), -np.inf)
+        at = 0
+        while at < len(pieces):
+            upto, total = at, 0
+            while upto < len(pieces) and (upto == at or total + len(pieces[upto]) <= PLACES):
+                total += len(pieces[upto])
+                upto += 1
+            np.maximum.at(best, of[at:upto], self.pool(pieces[at:upto])[1])
+            at = upto
+        return self.dense(best)[2]
+
+    def score(self, xs: list[np.ndarray]) -> np.ndarray:
+        if not len(xs):
             return np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.forward(x)[3] + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(xs) + self.shift, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, epochs: int = 12, seed: int = 3) -> Network:
+def fit(xs: list[np.ndarray], y: np.ndarray, epochs: int = 12, seed: int = 3) -> Network:
     """The network with the least log loss, by Adam over shuffled batches."""
     rng = np.random.default_rng(seed)
-    net = Network(rng.normal(0, 0.1, (WIDTH, 2, SIZE, FILTERS)), rng.normal(0, 0.3, (FILTERS, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN))
+    net = Network(rng.normal(0, 0.1, (WIDTH, 3 * SIZE, FILTERS)), rng.normal(0, 0.3, (FILTERS, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN))
     names = ["filters", "w1", "b1", "w2", "b2"]
     first, second, t = {k: 0.0 for k in names}, {k: 0.0 for k in names}, 0
-    side = (np.arange(BEFORE + BODY) >= BEFORE).astype(int)
     for _ in range(epochs):
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), 64):
-            rows = order[at : at + 64]
-            best, pooled, hidden, z = net.forward(x[rows])
+        order = rng.permutation(len(xs))
+        for low in range(0, len(xs), 64):
+            rows = order[low : low + 64]
+            flat, best, place = net.pool([xs[r] for r in rows])
+            pooled, hidden, z = net.dense(best)
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows)
             d_hidden = np.outer(g, net.w2) * (hidden > 0)
             d_pooled = (d_hidden @ net.w1.T) * (pooled > 0)
             d_filters = np.zeros_like(net.filters)
             for k in range(WIDTH):
-                place = best + k
-                np.add.at(d_filters, (k, side[place], x[rows][np.arange(len(rows))[:, None], place], np.arange(FILTERS)[None]), d_pooled)
+                np.add.at(d_filters[k], (flat[place + k], np.arange(FILTERS)[None]), d_pooled)
             grads = {"filters": d_filters, "w1": pooled.T @ d_hidden, "b1": d_hidden.sum(0), "w2": hidden.T @ g, "b2": g.sum()}
             t += 1
             for k in names:
@@ -123,21 +151,35 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 12, seed: int = 3) -> Networ
     return net
 
 
-def calibrate(net: Network, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> Network:
-    """Scale and shift by logistic regression on held-out findings, then the highest threshold with that recall."""
-    z = net.forward(x)[3]
+def calibrate(net: Network, xs: list[np.ndarray], y: np.ndarray, kinds: np.ndarray, recall: float = RECALL) -> Network:
+    """Scale and shift by logistic regression on held-out findings, then for each kind the highest threshold with that recall.
+
+    A kind with fewer than 1 / (1 - recall) held-out secrets takes the threshold of all.
+    """
+    z = net.logits(xs)
     a, b = 1.0, 0.0
     for _ in range(300):
         g = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30))) - y
         a, b = a - 0.05 * float((g * z).mean() + 0.01 * (a - 1)), b - 0.05 * float(g.mean())
     net.scale, net.shift = max(a, 0.05), b
-    good = np.sort(net.score(x)[y == 1])
-    net.threshold = max(FLOOR, float(good[int((1 - recall) * len(good))])) if len(good) else 1.0
+    p = net.score(xs)
+
+    def least(of: np.ndarray) -> float | None:
+        good = np.sort(p[of & (y == 1)])
+        return float(good[int((1 - recall) * len(good))]) if len(good) * (1 - recall) >= 1 else None
+
+    every = least(np.ones(len(y), dtype=bool))
+    every = 1.0 if every is None else every
+    found = [least(kinds == k) for k in range(len(KINDS))]
+    net.thresholds = tuple(every if t is None else t for t in found)
     return net
 
 
 def made_up(n: int = MADE, seed: int = 5) -> list[tuple[str, int, int, int]]:
-    """text, start, end, label of made-up findings: half are secrets of common formats, half are look-alikes."""
+    """text, start, end, label of made-up findings: half are secrets of common formats, half are look-alikes.
+
+    A secret may stand late in a long path, or be told by what comes after it.
+    """
     rng = random.Random(seed)
     some = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
     b64, low, word = string.ascii_letters + string.digits + "+/", string.ascii_lowercase, ["alpha", "report", "user", "final", "data", "section", "image", "build", "draft", "version"]
@@ -154,12 +196,14 @@ def made_up(n: int = MADE, seed: int = 5) -> list[tuple[str, int, int, int]]:
                 lambda: "AKIA" + some(string.ascii_uppercase + string.digits, 16),
                 lambda: some("0123456789abcdef", rng.choice([32, 40, 64])),
             ])()
+            if rng.random() < 0.15:
+                body = "/" + "/".join(rng.choice(word) for _ in range(rng.randint(3, 30))) + "/" + body
             lead = rng.choice(["", "", rng.choice(names) + rng.choice(["=", ": ", ' = "', "='"])])
         else:
             body = rng.choice([
                 lambda: "-".join([*rng.sample(word, 4), str(rng.randint(1, 2030))]),
                 lambda: "_".join([*rng.sample(word, 3), str(rng.randint(1, 99)), "copy"]),
-                lambda: "/" + "/".join([*rng.sample(word, 4), str(rng.randint(1990, 2030))]),
+                lambda: "/" + "/".join([*(rng.choice(word) for _ in range(rng.randint(4, 30))), str(rng.randint(1990, 2030))]),
                 lambda: some(low, rng.randint(16, 24)) + str(rng.randint(1, 9)) * rng.randint(1, 3),
                 lambda: some(string.digits, 4) + "-" + some(string.digits, 2) + "-" + some(string.digits, 2) + "T" + some(string.digits, 6) + "-event",
                 lambda: "abc123" * rng.randint(4, 6),
@@ -177,70 +221,95 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, findings: int = SAMPL
     """The network from made-up findings and those of about sample_docs documents (chosen by a hash of their text).
 
     In the documents the patterns' secrets are labelled 1; of other tokens, those with few distinct
-    characters or no mix of kinds are labelled 0, and the rest are left out, as nothing settles them.
+    characters are labelled 0, and the rest are left out, as nothing settles them. findings bounds those of
+    documents, by a hash of them; ones of more than PLACES characters are not trained on.
     """
     share = min(1.0, sample_docs / max(1, docs.count()))
     some = docs.where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, label = [], []
+            at, kinds, label = [], [], []
             for text in b.column(0).to_pylist():
                 base = base_spans(text)
                 for start, kind, end in base:
-                    if kind:
-                        at.append(coded(text, start, end))
-                        label.append(1)
+                    at.append(coded(text, start, end))
+                    kinds.append(kind)
+                    label.append(1)
                 for start, end in tokens(text):
                     if not any(s < end and start < e for s, _, e in base) and len(set(text[start:end])) <= 8:
                         at.append(coded(text, start, end))
+                        kinds.append(3)
                         label.append(0)
-            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.uint8).tobytes() for x in at], pa.binary()), pa.array(label, pa.int32())], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in at], pa.binary()), pa.array(kinds, pa.int32()), pa.array(label, pa.int32())], names=["x", "kind", "y"])
 
-    real = some.mapInArrow(look, "x binary, y int").dropDuplicates().orderBy(F.xxhash64("x"), "y").limit(findings).toArrow()
+    seen = some.mapInArrow(look, "x binary, kind int, y int").where(F.length("x") <= 2 * PLACES).dropDuplicates()
+    real = seen.orderBy(F.xxhash64("x"), "y", "kind").limit(findings).toArrow()
     made = made_up()
-    x = np.stack([*(np.frombuffer(v, np.uint8).astype(np.int64) for v in real["x"].to_pylist()), *(coded(t, s, e) for t, s, e, _ in made)])
+    xs = [*(np.frombuffer(v, np.uint16) for v in real["x"].to_pylist()), *(coded(t, s, e) for t, s, e, _ in made)]
     y = np.array([*real["y"].to_pylist(), *(m[3] for m in made)], dtype=float)
-    held = np.random.default_rng(11).random(len(x)) < 0.25
-    return calibrate(fit(x[~held], y[~held]), x[held], y[held])
+    kinds = np.array([*real["kind"].to_pylist(), *[3] * len(made)])
+    held = np.random.default_rng(11).random(len(xs)) < 0.25
+    net = fit([x for x, h in zip(xs, held) if not h], y[~held])
+    return calibrate(net, [x for x, h in zip(xs, held) if h], y[held], kinds[held])
+
+
+def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans, and the tokens that overlap none of them: start, kind number, end."""
+    base, covered = base_spans(text), bytearray(len(text))
+    for s, _, e in base:
+        covered[s:e] = b"\1" * (e - s)
+    return base, [(s, 3, e) for s, e in tokens(text) if 1 not in covered[s:e]]
 
 
-def all_spans(text: str, net: Network) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and those with the tokens the network adds: from its threshold on, if they overlap no base span."""
-    base = base_spans(text)
-    more = [(s, 3, e) for s, e in tokens(text) if not any(b < e and s < f for b, _, f in base)]
-    score = net.score(np.stack([coded(text, s, e) for s, _, e in more])) if more else []
-    return base, sorted(base + [m for m, p in zip(more, score) if p >= net.threshold])
+def judged(texts: list[str], net: Network) -> list[list[tuple[int, int, int, bool, bool]]]:
+    """For each text start, kind number, end, whether base, whether the network takes it for a secret: base spans, and what it adds.
+
+    The candidates of several texts are scored together.
+    """
+    found, xs, out = [candidates(t) for t in texts], [], []
+    for t, (base, more) in zip(texts, found):
+        xs += [coded(t, s, e) for s, _, e in base + more]
+    score, at = net.score(xs), 0
+    for base, more in found:
+        rows = []
+        for n, (s, k, e) in enumerate(base + more):
+            yes = bool(score[at] >= net.thresholds[k])
+            at += 1
+            if n < len(base) or yes:
+                rows.append((s, k, e, n < len(base), yes))
+        out.append(sorted(rows))
+    return out
 
 
 def secrets(docs: DataFrame, net: Network) -> DataFrame:
-    """doc_id, starts, kinds, ends, base of all spans of each row of docs: arrays in order of start, then kind.
+    """doc_id, starts, kinds, ends, base, sure of all spans of each row of docs: arrays in order of start, then kind.
 
-    Null and empty texts have none; rows that repeat a doc_id are each returned.
+    All candidates are scored. base: the patterns found it, and it stays whatever its score; sure: its score
+    reaches the threshold of its kind. Null and empty texts have none; rows that repeat a doc_id are each
+    returned.
     """
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for t in b.column(1):
-                base, every = all_spans(t.as_py() or "", sent.value)
-                known = set(base)
-                rows.append(([s for s, _, _ in every], [k for _, k, _ in every], [e for _, _, e in every], [x in known for x in every]))
-            cols = [pa.array([r[k] for r in rows], pa.list_(t)) for k, t in enumerate([pa.int32(), pa.int32(), pa.int32(), pa.bool_()])]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "starts", "kinds", "ends", "base"])
+            for low in range(0, b.num_rows, 64):
+                part = b.slice(low, 64)
+                rows = judged([t.as_py() or "" for t in part.column(1)], sent.value)
+                cols = [pa.array([[x[k] for x in r] for r in rows], pa.list_(t)) for k, t in enumerate([pa.int32()] * 3 + [pa.bool_()] * 2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "starts", "kinds", "ends", "base", "sure"])
 
     of = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(look, f"doc_id {of}, starts array<int>, kinds array<int>, ends array<int>, base array<boolean>")
+    return docs.select("doc_id", "text").mapInArrow(look, f"doc_id {of}, starts array<int>, kinds array<int>, ends array<int>, base array<boolean>, sure array<boolean>")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex (base spans), base_sha256, spans (all), n_added of each document."""
+    """doc_id, n_assign, n_access, n_hex (base spans), base_sha256, spans (all), n_added, n_sure (by the network) of each document."""
     small_batches(spark)
     docs = read(spark, sf_dir, "documents")
-    found = secrets(docs, train(docs)).withColumn("x", F.arrays_zip("starts", "kinds", "ends", "base"))
+    found = secrets(docs, train(docs)).withColumn("x", F.arrays_zip("starts", "kinds", "ends", "base", "sure"))
     kinds = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
     named = f"transform(x, s -> concat_ws(':', element_at({kinds}, s.kinds + 1), s.starts, s.ends))"
     base = f"transform(filter(x, s -> s.base), s -> concat_ws(':', element_at({kinds}, s.kinds + 1), s.starts, s.ends))"
     counts = [F.expr(f"cast(size(filter(x, s -> s.base and s.kinds = {k})) as long)").alias(f"n_{KINDS[k]}") for k in range(3)]
-    return found.select("doc_id", *counts, F.sha2(F.array_join(F.expr(base), ","), 256).alias("base_sha256"), F.array_join(F.expr(named), ",").alias("spans"), F.expr("cast(size(filter(x, s -> not s.base)) as long)").alias("n_added"))
+    return found.select("doc_id", *counts, F.sha2(F.array_join(F.expr(base), ","), 256).alias("base_sha256"), F.array_join(F.expr(named), ",").alias("spans"), F.expr("cast(size(filter(x, s -> not s.base)) as long)").alias("n_added"), F.expr("cast(size(filter(x, s -> s.sure)) as long)").alias("n_sure"))
