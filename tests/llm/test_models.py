@@ -112,26 +112,60 @@ def test_secrets_against_plain_patterns():
 
 
 def test_network_tells_findings_from_look_alikes(spark):
+    """Recall and precision on made-up findings that it hasn't seen; no pattern finds the secrets among them but by their digits."""
     net = secrets.train(docs(spark))
-    held = secrets.made_up(600, seed=77)
-    p = net.score(np.stack([secrets.coded(t, s, e) for t, s, e, _ in held]))
+    held = secrets.made_up(1500, seed=77)
+    p = net.score([secrets.coded(t, s, e) for t, s, e, _ in held])
     y = np.array([m[3] for m in held])
-    assert (p[y == 1] >= net.threshold).mean() >= 0.85 and (p[y == 0] >= net.threshold).mean() <= 0.03
+    said = p >= net.thresholds[3]
+    assert said[y == 1].mean() >= 0.96 and said[y == 0].mean() <= 0.03
     got = secrets.secrets(wide(spark), net).collect()
     assert len(got) == len(ROWS)
     for r in spark.createDataFrame([r[:2] for r in ROWS], "doc_id long, text string").collect():
-        base, every = secrets.all_spans(r.text or "", net)
-        assert set(base) <= set(every)
+        every = secrets.judged([r.text or ""], net)[0]
+        assert {x[:3] for x in every if x[3]} == set(secrets.base_spans(r.text or ""))
     assert secrets.secrets(docs(spark).where("false"), net).count() == 0
 
 
+def test_whole_candidates_and_what_follows_them_count(spark):
+    """What tells a secret may stand last in a long token; and pieces of a very long one are as good as the whole."""
+    net = secrets.train(docs(spark))
+    path = "/srv/production/services/" + "billing/config/keys/" * 10
+    key = "ghp_0aB1c2D3e4F5g6H7i8J9k0L1m2N3o4P5q6R7"
+    with_key, without = f"see {path}{key} now", f"see {path}report/2024 now"
+    spans = {t: [x[:3] for x in secrets.judged([t], net)[0]] for t in (with_key, without)}
+    assert spans[with_key] == [(4, 3, 4 + len(path + key))] and spans[without] == []
+    x = secrets.coded(with_key, 4, 4 + len(path + key))
+    assert len(x) == len(path + key) + 2 * secrets.AROUND and (secrets.coded("ab", 0, 1)[-secrets.AROUND :] != 0).sum() == 1
+    whole = net.logits([x])
+    old, secrets.PLACES = secrets.PLACES, 50
+    try:
+        assert net.logits([x]) == pytest.approx(whole)
+    finally:
+        secrets.PLACES = old
+
+
+def test_query_of_secrets(spark, tmp_path):
+    import hashlib
+
+    texts = [*TEXTS, "key ghp_0aB1c2D3e4F5g6H7i8J9k0L1m2N3o4P5q6R7 here"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in secrets.op3_secrets(spark, str(tmp_path)).collect()}
+    for k, t in enumerate(texts):
+        want = [f"{secrets.KINDS[n]}:{s}:{e}" for s, n, e in plain_secrets(t)]
+        assert got[k].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [got[k].n_assign, got[k].n_access, got[k].n_hex] == [sum(x.startswith(n) for x in want) for n in secrets.KINDS[:3]]
+        assert set(want) <= set(got[k].spans.split(",")) | set() and got[k].n_added == len([x for x in got[k].spans.split(",") if x]) - len(want)
+    assert got[len(texts) - 1].n_added == 1
+
+
 def plain_links(rows, least=0.95):
     good = {}
     for n, (i, e) in enumerate(rows):
-        if e is not None and all(x is not None and math.isfinite(x) for x in e) and any(e) and len(e) == 8:
+        if e is not None and all(x is not None and math.isfinite(x) for x in e) and any(e):
             v = np.array(e, dtype=float)
             good[n] = v / np.linalg.norm(v)
-    return {(a, b) for a in good for b in good if a != b and good[a] @ good[b] >= least}
+    return {(a, b) for a in good for b in good if a != b and len(good[a]) == len(good[b]) and good[a] @ good[b] >= least}
 
 
 def test_embeddings_against_all_pairs(spark):
@@ -139,7 +173,7 @@ def test_embeddings_against_all_pairs(spark):
     base = rng.normal(size=(60, 8))
     e = [base[k % 60] + rng.normal(size=8) * (0.0 if k < 120 else 0.15) for k in range(400)]
     rows = [(k, [float(np.float32(x)) for x in v]) for k, v in enumerate(e)]
-    rows += [(500, None), (501, [0.0] * 8), (502, [1.0] * 7 + [None]), (503, [float("nan")] * 8), (504, [float("inf")] + [1.0] * 7), (505, [1.0, 2.0]), (506, []), (3, rows[3][1]), (507, [2 * x for x in rows[3][1]])]
+    rows += [(500, None), (501, [0.0] * 8), (502, [1.0] * 7 + [None]), (503, [float("nan")] * 8), (504, [float("inf")] + [1.0] * 7), (505, [1.0, 2.0]), (506, []), (508, [2.0, 4.0]), (509, [2.0, 1.0]), (510, [2.0, 1.1]), (511, [3.0]), (512, [1.0] * 30), (3, rows[3][1]), (507, [2 * x for x in rows[3][1]])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "vec_id as rep", "1 as n", "'x' as vec")
     got = sorted(embed_dedup.near_duplicates(table).collect(), key=lambda r: r.vec_id)
     links = plain_links(rows)

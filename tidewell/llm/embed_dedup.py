@@ -5,13 +5,14 @@ codes of subspaces. A query probes all lists that can hold a vector y within the
 to centroid c than to c0, the query's nearest, y - x must cross the plane between the two, and y is no
 farther from c than the farthest vector filed there. Both bounds are exact: no list that holds a partner is
 left out. Lists near each other form bins, and a query is sent once to each bin it probes. In a list,
-distances are sums over table lookups by code; as |y - code(y)| is added to the radius, no vector is lost
-by them. What remains is compared by cosine in double precision.
+distances are sums over table lookups by code, broken off where they are too great; as |y - code(y)| is
+added to the radius, no vector is lost by them. What remains is compared by cosine in double precision.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,8 @@ from tidewell.llm.components import components, local_roots
 
 #: Vectors on which centroids and codes are fitted at most, vectors of a block, subspaces and codes of each.
 SAMPLE, BLOCK, SUBSPACES, CODES, LISTS = 4096, 256, 16, 64, 1024
+#: Subspaces that are looked up for all pairs of a query and a list; the others only for pairs that are left.
+FIRST = 3
 PAIRS_AT_ONCE, PAIRS_KEPT = 50_000, 500_000
 #: Bytes of the vectors filed in a bin at most, and fewest bins.
 BIN_BYTES, BINS = 4 << 20, 6
@@ -76,12 +79,21 @@ class Quantiser:
         crosses = d - d[np.arange(len(x)), near][:, None] <= 2 * apart * (radius + SLIP) + SLIP
         return crosses & (np.sqrt(d) <= far + radius + 1e-6)
 
-    def distances(self, x: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
-        """From each row of x to each row of codes in the list of."""
-        rest, total = x - self.coarse[of], 0.0
-        for k, (p, w) in enumerate(zip(self.parts, self.words)):
-            total = total + _square(rest[:, p], w)[:, codes[:, k]]
-        return np.sqrt(total)
+    def near(self, x: np.ndarray, of: int, codes: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a row of x and a row of codes in the list of whose distance, by tables of subspaces, is at most the latter's limit.
+
+        Squares only add up: a pair leaves as soon as the subspaces so far are above its limit.
+        """
+        rest, most = x - self.coarse[of], (limit + 1e-6) ** 2
+        tables = [_square(rest[:, p], w) for p, w in zip(self.parts, self.words)]
+        total = sum(t[:, codes[:, k]] for k, t in enumerate(tables[:FIRST]))
+        i, j = np.nonzero(total <= most)
+        total = total[i, j]
+        for k in range(FIRST, len(tables)):
+            total = total + tables[k][i, codes[j, k]]
+            on = total <= most[j]
+            i, j, total = i[on], j[on], total[on]
+        return i, j
 
 
 class Bins:
@@ -143,7 +155,7 @@ def _search(pdf: pd.DataFrame, q: Quantiser, least: float, radius: float, far: n
             if not len(a):
                 continue
             for low in range(0, len(y), 4096):
-                i, j = np.nonzero(q.distances(unit[a], of, codes[low : low + 4096]) <= radius + off[None, low : low + 4096] + SLIP)
+                i, j = q.near(unit[a], of, codes[low : low + 4096], radius + off[low : low + 4096])
                 for s in range(0, len(i), PAIRS_AT_ONCE):
                     u, v = a[i[s : s + PAIRS_AT_ONCE]], y[low + j[s : s + PAIRS_AT_ONCE]]
                     on = (np.einsum("ij,ij->i", unit[u], unit[v]) >= least) & (rep[u] != rep[v])
@@ -161,26 +173,37 @@ def _search(pdf: pd.DataFrame, q: Quantiser, least: float, radius: float, far: n
 def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row of vectors: vec_id, embedding.
 
-    Two vectors are linked at a cosine of least or more. A null or zero vector, one with null or
-    non-finite components, and one whose length isn't the most frequent one links with nothing: its
-    component is itself. Copies are compared once: a class stands for all rows with its components (by
-    128 bits of hash), and each row counts the others of its class. A row without vec_id counts as a
-    vector; its component is that of its class. Rows that repeat a vec_id count each.
+    Two vectors are linked at a cosine of least or more. A null or zero vector and one with null or
+    non-finite components link with nothing: their component is themselves. Vectors of different lengths are
+    not linked; each length that occurs is searched by itself. Copies are compared once: a class stands for
+    all rows with its components (by 128 bits of hash), and each row counts the others of its class. A row
+    without vec_id counts as a vector; its component is that of its class. Rows that repeat a vec_id count
+    each.
     """
-    spark = vectors.sparkSession
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"  # as the rows have it: exact
     e = F.transform("embedding", lambda v: v.cast("double"))
     good = F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("e", lambda v: v != 0)
     rows = vectors.select("vec_id", e.alias("e")).withColumn("good", F.coalesce(good, F.lit(False)))
     rows = rows.select("vec_id", F.when(F.col("good"), F.col("e")).alias("e")).withColumn("h1", F.xxhash64("e")).withColumn("h2", F.xxhash64(F.lit(1), "e"))
-    valid = rows.where("e is not null")
-    dims = valid.groupBy(F.size("e").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not dims:
-        return alone
-    dim = dims["dim"]
-    classes = cut(valid.where(F.size("e") == dim).groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("e").alias("e")))
-    n = classes.count()
+    named = F.coalesce("rep", F.shiftrightunsigned("h1", 2) + F.lit(1 << 62))  # only rows without vec_id
+    by_class = rows.where("e is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("e").alias("e"))
+    classes = cut(by_class.withColumn("rep", named).withColumn("dim", F.size("e")))
+    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).toLocalIterator()}  # one row a length
+    if not sizes:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    found = reduce(DataFrame.union, [_found(classes.where(F.col("dim") == dim), n, dim, least, kind) for dim, n in sorted(sizes.items())])
+    links = found.groupBy("rep").agg(F.sum("n").alias("n"))
+    of = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
+    linked = classes.select("h1", "h2", "copies", "rep").join(links, "rep", "left").join(of, F.col("rep") == F.col("node"), "left")
+    linked = linked.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    out = rows.select("vec_id", "h1", "h2", F.col("e").isNotNull().alias("valid")).join(linked, ["h1", "h2"], "left").withColumn("linked", F.col("valid") & F.col("n_links").isNotNull())
+    component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("vec_id"))
+    return out.select("vec_id", F.when(F.col("linked"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _found(classes: DataFrame, n: int, dim: int, least: float, kind: str) -> DataFrame:
+    """rep, n (vectors of other classes linked), root of the n classes, whose vectors have dim components."""
+    spark = classes.sparkSession
     lists = int(min(LISTS, max(1, n**0.5)))
     share = min(1.0, SAMPLE / n)
     sample = classes.where(F.pmod("h2", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("e").toArrow()
@@ -201,8 +224,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
                 near, away = sent.value.file(unit)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in raw.astype(kind)]), pa.array(near, pa.int32()), pa.array(away)], names=["rep", "copies", "vec", "list", "away"])
 
-    named = F.coalesce("rep", F.shiftrightunsigned("h1", 2) + F.lit(1 << 62))  # only rows without vec_id
-    filed = cut(classes.select(named.alias("rep"), "copies", "e").mapInArrow(file, "rep long, copies long, vec binary, list int, away double"))
+    filed = cut(classes.select("rep", "copies", "e").mapInArrow(file, "rep long, copies long, vec binary, list int, away double"))
     stats = list(filed.groupBy("list").agg(F.count("*").alias("n"), F.max("away").alias("far")).toLocalIterator())  # one row a list
     far = np.full(len(q.coarse), -np.inf)
     far[[r["list"] for r in stats]] = [r["far"] for r in stats]
@@ -232,17 +254,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         return _search(pdf, sent.value, least, radius, placed.value[1], dim, kind)
 
-    found = cut(dealt.groupBy("bin", "part").applyInPandas(search, "rep long, n long, root long"))
-    links = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    of = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    by_class = classes.select("h1", "h2", "copies", named.alias("rep")).join(links, "rep", "left").join(of, F.col("rep") == F.col("node"), "left")
-    by_class = by_class.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("vec_id", "h1", "h2", F.col("e").isNotNull().alias("valid")).join(by_class, ["h1", "h2"], "left").withColumn("linked", F.col("valid") & F.col("n_links").isNotNull())
-    component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("vec_id"))
-    return out.select("vec_id", F.when(F.col("linked"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return cut(dealt.groupBy("bin", "part").applyInPandas(search, "rep long, n long, root long"))
 
 
 def op4_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector of the table."""
     return near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
