@@ -56,21 +56,17 @@ def checked_broadcast(small: DataFrame, rows: int, limit: int = BROADCAST_ROWS)
     return F.broadcast(small) if rows <= limit else small
 
 
-def hot_keys(counts: DataFrame, total: int, n: str = "n") -> DataFrame:
-    """The rows of counts whose n is above a thousandth of total: fewer than a thousand, whatever the data."""
-    return counts.where(F.col(n) > max(1000, total // 1000))
-
-
-def join_hot(left: DataFrame, right: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
     """left join right on key where right has each key once, with n, its rows in left (total in all).
 
-    The rows of hot keys meet the few hot rows of right by broadcast and so stay where they are; all others
-    are dealt out by key. left is read twice and has to be a table.
+    A key with more than a thousandth of the rows is hot. There are fewer than a thousand of them: their rows
+    of right are broadcast and those of left stay where they are. All others are dealt out by key.
     """
-    hot = F.broadcast(hot_keys(right, total, n))
-    cold = right.where(F.col(n) <= max(1000, total // 1000))
-    rest = left.join(F.broadcast(hot_keys(right, total, n).select(key)), key, "left_anti")
-    return left.join(hot, key).unionByName(rest.join(cold, key))
+    hot = right.where(F.col("n") > max(1000, total // 1000)).collect()
+    if not hot:
+        return left.join(right, key)
+    table = F.broadcast(left.sparkSession.createDataFrame(hot, right.schema))
+    return left.join(table, key).unionByName(left.join(table.select(key), key, "left_anti").join(right, key))
 
 
 def packed(docs: DataFrame, *more: Column) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut, forget
+from tidewell.llm.common import cut, forget, join_hot
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -31,23 +31,23 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
-    low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+    return join_hot(both.where("v > u"), low, "u", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    turned = edges.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    turned = join_hot(edges, low, "u", total).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return turned.union(low.select("u", F.col("m").alias("v")))
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, component of every node of links (u, v): long; component is the smallest node reachable.
 
-    Each round is two aggregations, whose partial sums take up hot nodes, and two joins, whose large
-    partitions Spark splits. Links are held as a table in the shared folder from round to round.
+    Each round is two aggregations, whose partial sums take up hot nodes, and two joins, which hot nodes
+    meet by broadcast. Links are held as a table in the shared folder from round to round.
     Null ends and loops are ignored; repeated links count once.
     """
     edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -57,9 +57,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == state or not now[0]:
             break
         state = now
-        star = _small_star(_large_star(edges)).distinct()
-        edges, old = cut(star), edges
-        forget(old)
+        large = cut(_large_star(edges, now[0]))
+        forget(edges)
+        edges = cut(_small_star(large, now[0]).distinct())
+        forget(large)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
