@@ -10,7 +10,7 @@ prefix emits the variants below it, in ranges that fit its memory.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import accumulate, combinations
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut, read, row_key, small_batches
+from tidewell.llm.common import cut, read, small_batches
 from tidewell.llm.components import components, local_roots
 
 #: Variants that a task holds at once, and fewest bits of a variant that deal it out.
@@ -29,20 +29,28 @@ VARIANTS_AT_ONCE, PREFIX_BITS = 2_000_000, 10
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """64 bits: bit i is 1 if set in over half of the shingles' hashes. No words: 0."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The XXH64 (seed 42) of each shingle of lower-cased words; fewer words are one shingle, none have none."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     line, ends = b" ".join(words), list(accumulate(map((1).__add__, map(len, words))))
     n = max(1, len(words) - shingle + 1)
     starts, stops = [0, *ends[: n - 1]], ends[min(shingle, len(words)) - 1 :]
     digest = xxhash.xxh64_digest
-    h = np.frombuffer(b"".join([digest(line[i : j - 1], 42) for i, j in zip(starts, stops)]), dtype=np.uint8).reshape(n, 8)
-    total = np.concatenate([np.bincount(h[:, k], minlength=256) @ BITS for k in range(8)])
-    return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
+    return np.frombuffer(b"".join([digest(line[i : j - 1], 42) for i, j in zip(starts, stops)]), dtype=">u8").astype(np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """64 bits: bit i is 1 if set in over half of the shingles' hashes. No words: 0."""
+    h = shingle_hashes(text, shingle)
+    if not len(h):
+        return 0
+    octets = h.astype(">u8").view(np.uint8).reshape(-1, 8)
+    total = np.concatenate([np.bincount(octets[:, k], minlength=256) @ BITS for k in range(8)])
+    return int.from_bytes(np.packbits(total * 2 > len(h)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -62,8 +70,8 @@ def _ball(bits: int, r: int) -> np.ndarray:
     return np.array([sum(1 << i for i in at) for k in range(r + 1) for at in combinations(range(bits), k)], dtype=np.uint64)
 
 
-def _meet(low: np.ndarray, who: np.ndarray, left: np.ndarray, bits: int, found: list) -> None:
-    """Put pairs of who that share a variant into found: left bits may still change among the lowest bits of low."""
+def meet(low: np.ndarray, who: np.ndarray, left: np.ndarray, bits: int, take: Callable[[np.ndarray, np.ndarray], None]) -> None:
+    """Give take the variants, sorted, and the who of each: left bits may still change among the lowest bits of low."""
     size = sum(int((left == r).sum()) * sum(math.comb(bits, k) for k in range(r + 1)) for r in np.unique(left))
     if size > VARIANTS_AT_ONCE and bits > 8:
         top = np.uint64(1 << (bits - 1))
@@ -71,7 +79,7 @@ def _meet(low: np.ndarray, who: np.ndarray, left: np.ndarray, bits: int, found:
             near = left - ((low & top) != bit)
             on = near >= 0
             if on.sum() > 1:
-                _meet(low[on], who[on], near[on], bits - 1, found)
+                meet(low[on], who[on], near[on], bits - 1, take)
         return
     mask = np.uint64((1 << bits) - 1)
     keys, owners = [], []
@@ -83,11 +91,7 @@ def _meet(low: np.ndarray, who: np.ndarray, left: np.ndarray, bits: int, found:
         return
     key, owner = np.concatenate(keys), np.concatenate(owners)
     order = np.argsort(key, kind="stable")
-    key, owner = key[order], owner[order]
-    same = np.flatnonzero(key[1:] == key[:-1])
-    if len(same):
-        a, b = owner[same], owner[same + 1]
-        found.append(np.unique(np.minimum(a, b) << 32 | np.maximum(a, b)))
+    take(key[order], owner[order])
 
 
 def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
@@ -111,7 +115,13 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
         pdf = pdf.sort_values(["rep", "fp"])
         fp, rep = pdf["fp"].to_numpy().view(np.uint64), pdf["rep"].to_numpy()
         found: list[np.ndarray] = []
-        _meet(fp, np.arange(len(fp)), pdf["left"].to_numpy(), 64 - bits, found)
+
+        def chain(key: np.ndarray, owner: np.ndarray) -> None:
+            same = np.flatnonzero(key[1:] == key[:-1])
+            a, b = owner[same], owner[same + 1]
+            found.append(np.unique(np.minimum(a, b) << 32 | np.maximum(a, b)))
+
+        meet(fp, np.arange(len(fp)), pdf["left"].to_numpy(), 64 - bits, chain)
         pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
         a, b = pairs >> 32, pairs & 0xFFFFFFFF
         near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
@@ -137,18 +147,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     return fps.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """The rows of docs that stay: of each group of near copies the one with the smallest doc_id.
-
-    Of rows that repeat a doc_id one stays. A row without doc_id stays if no row with one is near it.
-    """
-    keyed = docs.withColumn("_key", row_key())
-    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), radius, shingle)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    one = keyed.join(kept, "_key", "left_semi")
-    return one.dropDuplicates(["_key"]).drop("_key")
-
-
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every document."""
     small_batches(spark)
     return near_duplicates(read(spark, sf_dir, "documents"))
