@@ -5,8 +5,9 @@ codes of subspaces. A query probes all lists that can hold a vector y within the
 to centroid c than to c0, the query's nearest, y - x must cross the plane between the two, and y is no
 farther from c than the farthest vector filed there. Both bounds are exact: no list that holds a partner is
 left out. Lists near each other form bins, and a query is sent once to each bin it probes. In a list,
-distances are sums over table lookups by code, broken off where they are too great; as |y - code(y)| is
-added to the radius, no vector is lost by them. What remains is compared by cosine in double precision.
+codes are looked up in the tables of codewords, and the distances of the queries as they are from what the
+codes stand for come from one product of matrices; as |y - code(y)| is added to the radius, no vector is
+lost by them. What remains is compared by cosine in double precision.
 """
 
 from __future__ import annotations
@@ -25,12 +26,10 @@ from tidewell.llm.components import components, local_roots
 
 #: Vectors on which centroids and codes are fitted at most, vectors of a block, subspaces and codes of each.
 SAMPLE, BLOCK, SUBSPACES, CODES, LISTS = 4096, 256, 16, 64, 1024
-#: Subspaces that are looked up for all pairs of a query and a list; the others only for pairs that are left.
-FIRST = 3
 PAIRS_AT_ONCE, PAIRS_KEPT = 50_000, 500_000
 #: Bytes of the vectors filed in a bin at most, and fewest bins.
 BIN_BYTES, BINS = 4 << 20, 6
-SLIP = 1e-9  # what rounding may take from a bound
+SLIP, SINGLE_SLIP = 1e-9, 1e-4  # what rounding may take from a bound, and from one in single precision
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -79,21 +78,9 @@ class Quantiser:
         crosses = d - d[np.arange(len(x)), near][:, None] <= 2 * apart * (radius + SLIP) + SLIP
         return crosses & (np.sqrt(d) <= far + radius + 1e-6)
 
-    def near(self, x: np.ndarray, of: int, codes: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of a row of x and a row of codes in the list of whose distance, by tables of subspaces, is at most the latter's limit.
-
-        Squares only add up: a pair leaves as soon as the subspaces so far are above its limit.
-        """
-        rest, most = x - self.coarse[of], (limit + 1e-6) ** 2
-        tables = [_square(rest[:, p], w) for p, w in zip(self.parts, self.words)]
-        total = sum(t[:, codes[:, k]] for k, t in enumerate(tables[:FIRST]))
-        i, j = np.nonzero(total <= most)
-        total = total[i, j]
-        for k in range(FIRST, len(tables)):
-            total = total + tables[k][i, codes[j, k]]
-            on = total <= most[j]
-            i, j, total = i[on], j[on], total[on]
-        return i, j
+    def decoded(self, of: int, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes in the list of stand for, looked up in the tables of codewords."""
+        return np.concatenate([w[codes[:, k]] for k, w in enumerate(self.words)], axis=1) + self.coarse[of]
 
 
 class Bins:
@@ -143,19 +130,22 @@ def _search(pdf: pd.DataFrame, q: Quantiser, least: float, radius: float, far: n
     held = {}
     for of in np.unique(lists[filed]):
         y = np.flatnonzero(filed & (lists == of))
-        rest = unit[y] - q.coarse[of]
-        held[int(of)] = (y, *q.code(rest))
+        codes, off = q.code(unit[y] - q.coarse[of])
+        back = q.decoded(of, codes)
+        least_dot = (1 + (back**2).sum(axis=1) - (radius + off + SINGLE_SLIP) ** 2) / 2  # |x - back| <= radius + off, for |x| = 1
+        held[int(of)] = (y, back.astype(np.float32), least_dot.astype(np.float32))
+    single = unit.astype(np.float32)
     linked = np.zeros(len(ids), dtype=np.int64)
     pairs, kept = [np.zeros(0, dtype=np.int64)], 0
     for start in range(0, len(ask), BLOCK):
         some = ask[start : start + BLOCK]
         probed = q.probes(unit[some], radius, far)
-        for of, (y, codes, off) in held.items():
+        for of, (y, back, least_dot) in held.items():
             a = some[probed[:, of]]
             if not len(a):
                 continue
             for low in range(0, len(y), 4096):
-                i, j = q.near(unit[a], of, codes[low : low + 4096], radius + off[low : low + 4096])
+                i, j = np.nonzero(single[a] @ back[low : low + 4096].T >= least_dot[low : low + 4096])
                 for s in range(0, len(i), PAIRS_AT_ONCE):
                     u, v = a[i[s : s + PAIRS_AT_ONCE]], y[low + j[s : s + PAIRS_AT_ONCE]]
                     on = (np.einsum("ij,ij->i", unit[u], unit[v]) >= least) & (rep[u] != rep[v])
