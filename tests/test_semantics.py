@@ -49,6 +49,34 @@ def test_indicators_equal_pandas(spark, bars):
     assert np.allclose(band["upper_band"].astype(float), (c.rolling(20).mean() + 2 * c.rolling(20).std()).loc[band.index], atol=1e-5)
 
 
+def test_exponential_means_over_long_histories(spark):
+    """20,000 rows of 5 symbols: every indicator with an exponential mean equals pandas to the last row."""
+    frame = panel(20_000, tuple("ABCDE"), 7)
+    noise = np.random.default_rng(9).normal(0, 0.02, len(frame))
+    frame["close"] = 100 * np.exp(0.4 * np.sin(np.arange(len(frame)) / 300) + noise)
+    bars = spark.createDataFrame(frame)
+    got = {}
+    for name in ("rsi", "macd", "levels", "weekly_bias"):
+        got[name] = apply(spark, name, {"bars": bars}).toPandas()
+    for symbol, g in frame.groupby("symbol"):
+        c = g.set_index("day")["close"]
+        of = {name: df[df["symbol"] == symbol].set_index("week" if name == "weekly_bias" else "day").sort_index() for name, df in got.items()}
+        ema = lambda x, n, adjust: x.ewm(span=n, adjust=adjust).mean()
+        d = c.diff()
+        gain, loss = (x.clip(lower=0).ewm(alpha=1 / 14, min_periods=14).mean() for x in (d, -d))
+        rsi = (100 - 100 / (1 + gain / loss)).fillna(50)
+        assert len(of["rsi"]) == 19_999 and np.allclose(of["rsi"]["rsi_rules"].astype(float), rsi.loc[of["rsi"].index], atol=2e-6)
+        line = ema(c, 12, False) - ema(c, 26, False)
+        assert np.allclose(of["macd"]["macd_line"].astype(float), line, atol=2e-6) and np.allclose(of["macd"]["signal"].astype(float), ema(line, 9, False), atol=2e-6)
+        line = ema(c, 12, True) - ema(c, 26, True)
+        assert np.allclose(of["levels"]["ema10"].astype(float), ema(c, 10, True), atol=2e-6) and np.allclose(of["levels"]["signal"].astype(float), ema(line, 9, True), atol=2e-6)
+        w = c.set_axis(pd.to_datetime(c.index)).resample("W").last()
+        hist = (line := ema(w, 12, False) - ema(w, 26, False)) - ema(line, 9, False)
+        ma = w.rolling(10).mean()
+        want = np.where(ma.isna(), 0, np.where(w > ma, 1, -1)) + np.where(hist > 0, 1, -1)
+        assert of["weekly_bias"]["bias"].astype(int).tolist() == want.tolist()
+
+
 def test_no_look_ahead(spark, bars):
     """What the first rows give doesn't change when later rows come."""
     last = date(2020, 12, 1)

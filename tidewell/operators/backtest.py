@@ -88,7 +88,7 @@ def fold_entries(d):
     """The entries of each rule with all indicators restarted in each fold."""
     w = "PARTITION BY symbol, fold ORDER BY day"
     mean = lambda f, n: f"CASE WHEN i >= {n - 1} THEN {f} OVER ({w} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END"
-    a, b, c, e = (f"{x!r}e0" for x in (2 / 13, 2 / 27, 2 / 10, 1 / 14))
+    a, b, c, e = (2 / 13, 2 / 27, 2 / 10, 1 / 14)
     cols = "close ma20 ma50 ma200 up down line sig rsi".split()
     lagged = ", ".join(f"lag({x}) OVER ({w}) AS {x}_0" for x in cols)
     case = " ".join(f"WHEN '{r}' THEN {x}" for r, x, _ in RULES)

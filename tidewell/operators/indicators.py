@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from tidewell.plans.compose import relation
 
 W = "PARTITION BY symbol ORDER BY day"
@@ -17,12 +19,22 @@ def full(value: str, n: int, last: int = 0, x: str = "close") -> str:
     return f"CASE WHEN count({x}) OVER {rows(n, last)} = {n} THEN {value} OVER {rows(n, last)} END"
 
 
-def ewm(x: str, i: str, alpha: str, over: str, adjust: bool) -> str:
-    """Exponential mean in closed form: x from row i = 0 of its partition on, alpha as SQL or number."""
-    total = f"power(1 - {alpha}, {i}) * sum({x} * power(1 - {alpha}, -({i}))) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+def ewm(x: str, i: str, alpha: float, over: str, adjust: bool) -> str:
+    """Exponential mean of x from row i = 0 of its partition on, in closed form by blocks of rows. over: PARTITION BY and ORDER BY.
+
+    In a block powers stay in the range of a double; what the block before it leaves is added. Earlier ones
+    weigh less than 1e-60 by then.
+    """
+    part, order = over.split(" ORDER BY ")
+    keep = f"({1 - alpha!r}e0)"
+    size = math.ceil(60 * math.log(10) / -math.log(1 - alpha))
+    block, k = f"CAST(floor(({i}) / {size}e0) AS BIGINT)", f"(({i}) % {size})"
+    here = f"power({keep}, {k}) * sum({x} * power({keep}, -{k})) OVER ({part}, {block} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    before = f"power({keep}, {k} + 1) * coalesce(sum({x} * power({keep}, {size - 1} - {k})) OVER ({part} ORDER BY {block} RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING), 0)"
+    far = f"power({keep}, least(({i}) + 1, {5 * size}))"
     if adjust:
-        return f"({alpha} * {total} / (1 - power(1 - {alpha}, {i} + 1)))"
-    return f"({alpha} * {total} + power(1 - {alpha}, {i} + 1) * first_value({x}) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
+        return f"({alpha!r}e0 * ({here} + {before}) / (1 - {far}))"
+    return f"({alpha!r}e0 * ({here} + {before}) + {far} * first_value({x}) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
 
 
 @relation("numbered")
@@ -38,7 +50,7 @@ FROM numbered"""
 
 @relation("numbered")
 def macd_lines(d, fast=12, slow=26, signal=9):
-    a, b, c = (f"{2 / (n + 1)!r}e0" for n in (fast, slow, signal))
+    a, b, c = (2 / (n + 1) for n in (fast, slow, signal))
     return f"""SELECT symbol, day, i, close, line, {ewm('line', 'i', c, W, False)} AS sig
 FROM (SELECT symbol, day, i, close, {ewm('close', 'i', a, W, False)} - {ewm('close', 'i', b, W, False)} AS line FROM numbered) x"""
 
@@ -46,7 +58,7 @@ FROM (SELECT symbol, day, i, close, {ewm('close', 'i', a, W, False)} - {ewm('clo
 @relation("numbered")
 def rsi_parts(d, n=14):
     """Means of gains and losses with alpha = 1/n from the second row on, null before n of them."""
-    a = f"{1 / n!r}e0"
+    a = 1 / n
     return f"""SELECT symbol, day, i, CASE WHEN i >= {n} THEN {ewm('gain', '(i - 1)', a, W, True)} END AS gain, CASE WHEN i >= {n} THEN {ewm('loss', '(i - 1)', a, W, True)} END AS loss
 FROM (SELECT symbol, day, i, greatest(delta, 0) AS gain, greatest(-delta, 0) AS loss FROM (SELECT symbol, day, i, close - lag(close) OVER ({W}) AS delta FROM numbered) x WHERE delta IS NOT NULL) y"""
 
@@ -112,7 +124,7 @@ def weekly(d):
 def weekly_bias(d):
     """symbol, week, bias of -2 to 2: the close against its mean of 10 weeks and the sign of the MACD histogram."""
     w = "PARTITION BY symbol ORDER BY week"
-    a, b, c = (f"{2 / (n + 1)!r}e0" for n in (12, 26, 9))
+    a, b, c = (2 / (n + 1) for n in (12, 26, 9))
     return f"""SELECT symbol, week, CASE WHEN n < 12 THEN NULL ELSE (CASE WHEN ma IS NULL THEN 0 WHEN close > ma THEN 1 ELSE -1 END) + (CASE WHEN line > sig THEN 1 ELSE -1 END) END AS bias
 FROM (SELECT *, {ewm('line', 'i', c, w, False)} AS sig FROM (
   SELECT symbol, week, i, close, count(*) OVER (PARTITION BY symbol) AS n, CASE WHEN i >= 9 THEN avg(close) OVER ({w} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END AS ma, {ewm('close', 'i', a, w, False)} - {ewm('close', 'i', b, w, False)} AS line FROM weekly) x) y"""
@@ -120,10 +132,11 @@ FROM (SELECT *, {ewm('line', 'i', c, w, False)} AS sig FROM (
 
 @relation("bars", "weekly_bias", covers="WIN-08, JOI-05")
 def weekly_bias_daily(d):
-    """The bias of the last finished week for each day: shifted by a week, then carried forward."""
-    return f"""SELECT b.symbol, b.day, CAST(coalesce(w.bias, 0) AS BIGINT) AS bias FROM bars b LEFT JOIN (
-  SELECT symbol, week AS from_day, lead(week) OVER (PARTITION BY symbol ORDER BY week) AS to_day, lag(bias) OVER (PARTITION BY symbol ORDER BY week) AS bias FROM weekly_bias) w
-ON w.symbol = b.symbol AND w.from_day <= b.day AND (w.to_day IS NULL OR b.day < w.to_day)"""
+    """The bias of the last finished week for each day: shifted by a week, then carried forward in one window over both."""
+    both = f"""SELECT symbol, day, CAST(NULL AS BIGINT) AS bias, 1 AS is_day FROM bars
+  UNION ALL SELECT symbol, week AS day, CAST(coalesce(lag(bias) OVER (PARTITION BY symbol ORDER BY week), 0) AS BIGINT) AS bias, 0 AS is_day FROM weekly_bias"""
+    return f"""SELECT symbol, day, coalesce(bias, 0) AS bias FROM (
+  SELECT symbol, day, is_day, {d.last('bias', 'PARTITION BY symbol ORDER BY day, is_day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')} AS bias FROM ({both}) x) y WHERE is_day = 1"""
 
 
 @relation("averages", "macd_lines", "rsi_parts")

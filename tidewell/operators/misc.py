@@ -78,7 +78,7 @@ def trial_ledger(d, cap=50):
 @relation("numbered", covers="WIN-36")
 def levels(d):
     """Exponential mean of 10 rows, volume-weighted mean of 20, MACD, all with weights that sum to one from the first row on."""
-    a, b, c, s = (f"{2 / (n + 1)!r}e0" for n in (12, 26, 10, 9))
+    a, b, c, s = (2 / (n + 1) for n in (12, 26, 10, 9))
     return f"SELECT symbol, day, {d.r('ema10')} AS ema10, {d.r('vwma20')} AS vwma20, {d.r('line')} AS macd_line, {d.r(ewm('line', 'i', s, W, True))} AS signal FROM (SELECT symbol, day, i, {ewm('close', 'i', c, W, True)} AS ema10, {full('sum(close * volume)', 20)} / nullif({full('sum(volume)', 20)}, 0) AS vwma20, {ewm('close', 'i', a, W, True)} - {ewm('close', 'i', b, W, True)} AS line FROM numbered) x"
 
 
