@@ -117,12 +117,6 @@ def reactions(d):
     return f"SELECT e.event, {d.r('b.close', 4)} AS before, {d.r('b.next_close', 4)} AS after, {d.r('b.next_close / b.close - 1')} AS move FROM journal e JOIN (SELECT symbol, day, close, lead(day) OVER ({W}) AS next_, lead(close) OVER ({W}) AS next_close FROM bars) b ON b.symbol = e.symbol AND b.day <= e.day AND (b.next_ > e.day OR b.next_ IS NULL)"
 
 
-@relation("daily_gate", covers="JOI-16")
-def gate_before(d):
-    """The gate of the row before each day: nothing of the day itself."""
-    return f"SELECT symbol, day, lag(bias) OVER ({W}) AS bias FROM daily_gate"
-
-
 @relation("backtest_all", covers="SNK-05")
 def report_lines(d):
     """A line of text for each symbol's best rule."""

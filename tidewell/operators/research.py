@@ -172,45 +172,6 @@ def thesis_tests(d, least=252):
     ])
 
 
-@relation("bars_1h", covers="WIN-31, STR-13")
-def intraday_metrics(d, first=3):
-    """By session: volume-weighted price, range of the first bars, gap to the session before, volume against the mean of the last 20."""
-    return f"""SELECT symbol, session, {d.r('vwap')} AS vwap, {d.r('orb_high')} AS orb_high, {d.r('orb_low')} AS orb_low, {d.r('open_ / lag(close_) OVER (PARTITION BY symbol ORDER BY session) - 1')} AS gap, {d.r('volume / avg(volume) OVER (PARTITION BY symbol ORDER BY session ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)')} AS rvol
-FROM (SELECT symbol, session, sum((high + low + close) / 3 * volume) / sum(volume) AS vwap, max(CASE WHEN k <= {first} THEN high END) AS orb_high, min(CASE WHEN k <= {first} THEN low END) AS orb_low, max(CASE WHEN k = 1 THEN open END) AS open_, max_by(close, ts) AS close_, sum(volume) AS volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol, session ORDER BY ts) AS k FROM bars_1h) x GROUP BY symbol, session) y"""
-
-
-@relation("averages", "macd_lines", covers="WIN-32")
-def daily_gate(d):
-    """long, short or none by the means, the close and the histogram."""
-    return f"SELECT a.symbol, a.day, CASE WHEN ma20 > ma50 AND a.close > ma20 AND line > sig THEN 'long' WHEN ma20 < ma50 AND a.close < ma20 AND line < sig THEN 'short' ELSE 'none' END AS bias FROM averages a JOIN macd_lines m ON m.symbol = a.symbol AND m.day = a.day WHERE ma50 IS NOT NULL"
-
-
-@relation("bars_1h")
-def bars_x(d, orb=3):
-    """bars_1h with the number of the bar in its session and the high of the opening range."""
-    return f"SELECT *, max(CASE WHEN k <= {orb} THEN high END) OVER (PARTITION BY symbol, session) AS orb_high FROM (SELECT *, row_number() OVER (PARTITION BY symbol, session ORDER BY ts) AS k FROM bars_1h) x"
-
-
-@relation("bars_x")
-def plan_trades(d, orb=3, stop=0.5, target=1.0):
-    """By session the first bar after the opening range whose close is above its high: filled there, out at the stop (first) or the target or the last close, in units of risk."""
-    return f"""SELECT symbol, session, fill_ts, CASE WHEN hit IS NULL THEN (last_ - px) / (px * {stop}) WHEN hit % 2 = 0 THEN -1e0 ELSE {target} / {stop} END AS r, conf FROM (
-  SELECT f.symbol, f.session, f.ts AS fill_ts, f.close AS px, f.conf, max_by(j.close, j.k) AS last_, min(CASE WHEN j.low <= f.close * (1 - {stop}) THEN 2 * j.k WHEN j.high >= f.close * (1 + {target}) THEN 2 * j.k + 1 END) AS hit FROM
-  (SELECT * FROM (SELECT *, 2 + k % 3 AS conf, row_number() OVER (PARTITION BY symbol, session ORDER BY ts) AS first_ FROM bars_x WHERE k > {orb} AND close > orb_high * 0.8) q WHERE first_ = 1) f JOIN bars_x j ON j.symbol = f.symbol AND j.session = f.session AND j.k >= f.k GROUP BY f.symbol, f.session, f.ts, f.close, f.conf) x"""
-
-
-@relation("plan_trades", covers="AGG-02, AGG-03, STR-14, MOD-23")
-def plan_stats(d):
-    """Trades, share that win, mean and total of the risk units: over all, by symbol and by confidence."""
-    return f"SELECT coalesce(symbol, 'all') AS symbol, CAST(coalesce(conf, 0) AS BIGINT) AS conf, CAST(count(*) AS BIGINT) AS n, {d.r('avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END)')} AS win_rate, {d.r('avg(r)', 5)} AS avg_r, {d.r('sum(r)', 4)} AS total_r FROM plan_trades GROUP BY GROUPING SETS ((), (symbol), (conf))"
-
-
-@relation("plan_trades", covers="WIN-41, MOD-24")
-def plan_walk_forward(d):
-    """The same by date: half to train, a quarter each to validate and to hold out, by the order of distinct sessions."""
-    return f"SELECT split_, CAST(count(*) AS BIGINT) AS n, {d.r('avg(r)', 5)} AS avg_r FROM (SELECT r, CASE WHEN k <= 0.5 * most THEN 'train' WHEN k <= 0.75 * most THEN 'valid' ELSE 'hold' END AS split_ FROM (SELECT *, max(k) OVER () AS most FROM (SELECT r, dense_rank() OVER (ORDER BY session) AS k FROM plan_trades) a) x) y GROUP BY split_"
-
-
 @relation("bars", "journal", covers="SET-01, SET-02, SET-05")
 def watch_symbols(d):
     """Symbols with bars and those traded, each once."""
