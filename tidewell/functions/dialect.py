@@ -16,6 +16,9 @@ class Spark:
     def days(self, later: str, earlier: str) -> str:
         return f"CAST(datediff({later}, {earlier}) AS BIGINT)"
 
+    def seconds(self, later: str, earlier: str) -> str:
+        return f"CAST(timestampdiff(SECOND, {earlier}, {later}) AS BIGINT)"
+
     def plus(self, day: str, n: str | int) -> str:
         return f"date_add({day}, CAST({n} AS INT))"
 
@@ -74,6 +77,11 @@ class Spark:
         """The k-th part of x, from 1."""
         return f"try_element_at(split({x}, '[{by}]'), {k})"
 
+    def erfc(self, x: str) -> str:
+        """The complementary error function of x >= 0, to 1.5e-7 (a rational approximation with fixed coefficients)."""
+        t = f"(1 / (1 + 0.3275911e0 * ({x})))"
+        return f"({t} * (0.254829592e0 + {t} * (-0.284496736e0 + {t} * (1.421413741e0 + {t} * (-1.453152027e0 + {t} * 1.061405429e0)))) * exp(-({x}) * ({x})))"
+
     def g1(self, x: str) -> str:
         """Skewness as pandas has it."""
         return f"skewness({x}) * sqrt(CAST(count({x}) AS DOUBLE) * (count({x}) - 1)) / nullif(count({x}) - 2, 0)"
@@ -93,6 +101,9 @@ class Duck(Spark):
     def days(self, later: str, earlier: str) -> str:
         return f"date_diff('day', {earlier}, {later})"
 
+    def seconds(self, later: str, earlier: str) -> str:
+        return f"date_sub('second', {earlier}, {later})"
+
     def plus(self, day: str, n: str | int) -> str:
         return f"CAST(({day} + CAST({n} AS INTEGER)) AS DATE)"
 

@@ -5,36 +5,12 @@ from __future__ import annotations
 from tidewell.plans.compose import relation
 
 
-@relation("chain", "bars", covers="AGG-14, MOD-21")
-def options_summary(d):
-    """Put/call ratios over all expiries; at the money (within 10 %) implied volatility of the nearest one, weighted by open interest; skew; sentiment."""
-    near = "expiry = first_ AND abs(strike / spot - 1) <= 0.1 AND iv > 0 AND iv < 3"
-    iv = lambda cp: f"coalesce(sum(CASE WHEN {near} AND cp {cp} THEN iv * oi END) / nullif(sum(CASE WHEN {near} AND cp {cp} THEN oi END), 0), avg(CASE WHEN {near} AND cp {cp} THEN iv END))"
-    clip = lambda x: f"greatest(-1e0, least(1e0, {x}))"
-    pcr = "sum(CASE WHEN cp = 'P' THEN volume END) / nullif(sum(CASE WHEN cp = 'C' THEN volume END), 0)"
-    skew = f"{iv(chr(61) + ' ' + chr(39) + 'P' + chr(39))} - {iv(chr(61) + ' ' + chr(39) + 'C' + chr(39))}"
-    return f"""SELECT symbol, {d.r(pcr)} AS pcr_volume, {d.r("sum(CASE WHEN cp = 'P' THEN oi END) / nullif(sum(CASE WHEN cp = 'C' THEN oi END), 0)")} AS pcr_oi, {d.r(iv("IN ('P', 'C')"))} AS atm_iv, {d.r(skew)} AS skew,
-  {d.r(f"(0.6 * {clip(f'(0.9 - {pcr}) / 0.5')} + 0.4 * coalesce({clip(f'-({skew}) / 0.1')}, 0)) / (0.6 + CASE WHEN {skew} IS NULL THEN 0 ELSE 0.4 END)")} AS sentiment
-FROM (SELECT c.*, b.close AS spot, min(expiry) OVER (PARTITION BY c.symbol) AS first_ FROM chain c JOIN (SELECT symbol, max_by(close, day) AS close FROM bars GROUP BY symbol) b ON b.symbol = c.symbol) x GROUP BY symbol"""
-
-
 @relation("chain", covers="SRC-11, SRC-12")
 def option_symbols(d):
     """Contracts by name: root, expiry, right, strike in thousandths on eight digits; the first three expiries of each symbol."""
     return f"SELECT symbol, name, CAST(substr(name, 10, 8) AS BIGINT) / 1000e0 AS strike, substr(name, 9, 1) AS cp, CAST(place AS BIGINT) AS place FROM (SELECT symbol, concat('RT', lpad(CAST(260000 + expiry AS VARCHAR(10)), 6, '0'), cp, lpad(CAST(CAST(strike * 1000 AS BIGINT) AS VARCHAR(10)), 8, '0')) AS name, dense_rank() OVER (PARTITION BY symbol ORDER BY expiry) AS place FROM chain) x WHERE place <= 3"
 
 
-@relation("insider", covers="AGG-15, FIL-04")
-def insider_summary(d):
-    """Open-market buys (P, A) and sells (S, D) of 1997 on: counts, values, distinct owners, a cluster of two buyers or more, a label."""
-    buy, sell = "code = 'P' AND ad = 'A'", "code = 'S' AND ad = 'D'"
-    cond = lambda c, x: f"sum(CASE WHEN {c} THEN {x} ELSE 0 END)"
-    return f"""SELECT symbol, CAST({cond(buy, '1')} AS BIGINT) AS buys, CAST({cond(sell, '1')} AS BIGINT) AS sells, {d.r(cond(buy, 'shares * price'), 2)} AS buy_value, {d.r(cond(sell, 'shares * price'), 2)} AS sell_value,
-  CAST(count(DISTINCT CASE WHEN {buy} THEN owner END) AS BIGINT) AS buyers, CAST(count(DISTINCT CASE WHEN {sell} THEN owner END) AS BIGINT) AS sellers, count(DISTINCT CASE WHEN {buy} THEN owner END) >= 2 AS cluster,
-  CASE WHEN count(DISTINCT CASE WHEN {buy} THEN owner END) >= 2 THEN 'cluster_buy' WHEN {cond(buy, '1')} > 0 THEN 'buy' WHEN count(DISTINCT CASE WHEN {sell} THEN owner END) >= 3 THEN 'sell' ELSE 'none' END AS label
-FROM insider WHERE day >= DATE '1997-01-01' GROUP BY symbol"""
-
-
 @relation("insider", covers="AGG-15 (recent), SRC-15, SRT-05")
 def insider_recent(d, k=5):
     return f"SELECT symbol, side, day, owner, CAST(place AS BIGINT) AS place FROM (SELECT symbol, CASE WHEN code = 'P' THEN 'buy' ELSE 'sell' END AS side, day, owner, row_number() OVER (PARTITION BY symbol, code ORDER BY day DESC, owner, shares, price) AS place FROM insider WHERE code = 'P' AND ad = 'A' OR code = 'S' AND ad = 'D') x WHERE place <= {k}"
@@ -108,8 +84,9 @@ def ratings(d):
 
 @relation("events", covers="AGG-42")
 def health(d):
-    """Runs, longest duration and longest gap by day and source, over the turn of the day."""
-    return f"SELECT symbol, day, CAST(count(*) AS BIGINT) AS runs, {d.r('max(value)', 4)} AS longest, max(gap) AS most_gap FROM (SELECT event_type AS symbol, CAST(ts AS DATE) AS day, value, event_id - lag(event_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS gap FROM events) x GROUP BY symbol, day"
+    """Runs, longest duration and longest gap in seconds by day and source; a gap over the turn of the day counts for the later day."""
+    gap = d.seconds("ts", "lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id)")
+    return f"SELECT symbol, day, CAST(count(*) AS BIGINT) AS runs, {d.r('max(value)', 4)} AS longest, max(gap) AS most_gap FROM (SELECT event_type AS symbol, CAST(ts AS DATE) AS day, value, {gap} AS gap FROM events) x GROUP BY symbol, day"
 
 
 @relation("events", covers="SRC-08, STR-15")
@@ -132,13 +109,19 @@ def page_summaries(d):
     return f"SELECT page_id, substr({d.replaced('html', '<[^>]+>', '')}, 1, 400) AS summary FROM pages"
 
 
-@relation("conversations", covers="2.8 keyword counts, AGG-41")
+@relation("conversations", covers="2.8 keyword counts")
 def intents(d):
     """Turns by role with some words, and their share."""
     any_ = "lower(text) LIKE '%the %' OR lower(text) LIKE '% der %'"
     return f"SELECT role, CAST(count(*) AS BIGINT) AS turns, CAST(sum(CASE WHEN {any_} THEN 1 ELSE 0 END) AS BIGINT) AS found, {d.r(f'avg(CASE WHEN {any_} THEN 1e0 ELSE 0e0 END)')} AS share FROM conversations GROUP BY role"
 
 
+@relation("labels", "documents", covers="AGG-41")
+def mean_sentiment(d):
+    """The mean sentiment of each source's scored texts (here 1 for good, -1 for toxic ones) and its label, from 0.15 on either side."""
+    return f"SELECT source, n, mean, CASE WHEN mean > 0.15 THEN 'positive' WHEN mean < -0.15 THEN 'negative' ELSE 'neutral' END AS label FROM (SELECT d.source, CAST(count(*) AS BIGINT) AS n, {d.r('avg(CAST(l.quality - 2 * l.toxic AS DOUBLE))')} AS mean FROM labels l JOIN documents d ON d.doc_id = l.doc_id GROUP BY d.source) x"
+
+
 @relation("events", covers="STR-12, STR-13, D3")
 def hourly_windows(d):
     """Tumbling windows of an hour by type of event."""

@@ -15,13 +15,23 @@ def trade_validation(d):
 
 
 @relation("journal", covers="SNK-01")
-def brackets(d, stop=0.98, target=1.04):
-    """Bracket orders for the buys, in ticks of a cent (below 1 of a hundredth of one), with what makes one invalid: stop, limit and target must be a cent apart at least."""
-    tick = lambda x: f"CASE WHEN {x} >= 1 THEN {d.bround(x, 2)} ELSE {d.bround(x, 4)} END"
+def brackets(d, stop=98, target=104):
+    """Bracket orders for the buys, in ticks of a cent (below 1 of a hundredth of one), with what makes one invalid: stop, limit and target must be a cent apart at least.
+
+    stop and target are hundredths of the price. Prices are whole ten-thousandths and all products whole
+    numbers; ticks are the nearest, half to even.
+    """
+    part = "CAST(round(price * 10000) AS BIGINT)"
+
+    def tick(hundredths: int) -> str:
+        x, unit = f"({part} * {hundredths})", f"CASE WHEN {part} >= 10000 THEN 10000 ELSE 100 END"
+        q, rest = d.whole(x, unit), f"({x} % {unit})"
+        scale = f"CASE WHEN {part} >= 10000 THEN 100e0 ELSE 10000e0 END"
+        return f"({q} + CASE WHEN 2 * {rest} > {unit} OR 2 * {rest} = {unit} AND {q} % 2 = 1 THEN 1 ELSE 0 END) / {scale}"
+
     cents = lambda x: f"CAST(round({x} * 100) AS BIGINT)"
     wrong = f"CASE WHEN price IS NULL THEN 'price' WHEN qty <= 0 THEN 'qty' WHEN {cents('stop')} > {cents('price')} - 1 THEN 'stop' WHEN {cents('target')} < {cents('price')} + 1 THEN 'target' END"
-    return f"""SELECT event, symbol, qty, price AS limit_, stop, target, {wrong} AS reject FROM (
-  SELECT event, symbol, qty, {tick('price')} AS price, {tick(f'(price * {stop}e0)')} AS stop, {tick(f'(price * {target}e0)')} AS target FROM journal WHERE side = 'buy') x"""
+    return f"SELECT event, symbol, qty, price AS limit_, stop, target, {wrong} AS reject FROM (SELECT event, symbol, qty, {tick(100)} AS price, {tick(stop)} AS stop, {tick(target)} AS target FROM journal WHERE side = 'buy') x"
 
 
 @relation("journal", "bars")
@@ -171,5 +181,5 @@ def rebalance(d, total=1000000):
     """Orders to equal weights: drift under 1 % is left, buys are whole shares, sells rounded and held at most; sells first."""
     return f"""SELECT symbol, side, qty, CAST(row_number() OVER (ORDER BY CASE side WHEN 'sell' THEN 0 ELSE 1 END, qty * close DESC, symbol) AS BIGINT) AS place FROM (
   SELECT symbol, close, CASE WHEN gap > 0 THEN 'buy' ELSE 'sell' END AS side, CASE WHEN gap > 0 THEN CAST(floor(gap / close) AS BIGINT) ELSE least(CAST(floor(-gap / close + 0.5) AS BIGINT), CAST(held AS BIGINT)) END AS qty FROM (
-    SELECT coalesce(p.symbol, l.symbol) AS symbol, l.close, coalesce(p.held, 0) AS held, {total} / 25e0 - coalesce(p.held, 0) * l.close AS gap FROM (SELECT symbol, max_by(close, day) AS close FROM bars GROUP BY symbol) l
+    SELECT coalesce(p.symbol, l.symbol) AS symbol, l.close, coalesce(p.held, 0) AS held, {total} / CAST(count(*) OVER () AS DOUBLE) - coalesce(p.held, 0) * l.close AS gap FROM (SELECT symbol, max_by(close, day) AS close FROM bars GROUP BY symbol) l
     FULL OUTER JOIN (SELECT symbol, greatest(0, sum(qty * CASE WHEN side = 'buy' THEN 1 ELSE -1 END)) AS held FROM journal GROUP BY symbol) p ON p.symbol = l.symbol) x WHERE abs(gap) >= {total} * 0.01) y WHERE qty > 0"""

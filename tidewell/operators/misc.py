@@ -63,12 +63,6 @@ def stalest(d, k=4):
     return f"SELECT symbol, last_ FROM (SELECT symbol, max(day) AS last_, row_number() OVER (ORDER BY max(day), symbol) AS k FROM journal GROUP BY symbol) x WHERE k <= {k}"
 
 
-@relation("bars", covers="STR-03")
-def thesis_triggers(d):
-    """For each symbol a target and a stop around the close of its 100th row, armed there: the first later row past either."""
-    return f"SELECT symbol, armed, min(CASE WHEN close >= level * 1.05 OR close <= level * 0.95 THEN day END) AS fired, min_by(CASE WHEN close >= level * 1.05 THEN 'target' ELSE 'stop' END, CASE WHEN close >= level * 1.05 OR close <= level * 0.95 THEN day END) AS side FROM (SELECT symbol, day, close, k, max(CASE WHEN k = 100 THEN close END) OVER (PARTITION BY symbol) AS level, max(CASE WHEN k = 100 THEN day END) OVER (PARTITION BY symbol) AS armed FROM (SELECT *, row_number() OVER ({W}) AS k FROM bars) a) x WHERE k > 100 GROUP BY symbol, armed"
-
-
 @relation("fold_stats", covers="STR-17")
 def trial_ledger(d, cap=50):
     """The last trials with how many there were up to each and the spread of their results so far."""
@@ -95,14 +89,6 @@ def plan_history(d, bars=50, days=20):
     return f"SELECT symbol, session, ts, {d.r('open')} AS open, {d.r('high')} AS high, {d.r('low')} AS low, {d.r('close')} AS close, volume FROM bars_1h WHERE symbol IN ({enough})"
 
 
-@relation("bench_close", covers="FIL-12")
-def open_days(d):
-    """Whether the market is open by weekday and fixed holidays of a calendar table."""
-    holiday = f"{d.part('month', 'day')} * 100 + {d.part('day', 'day')} IN (101, 619, 704, 1225)"
-    weekend = f"day = {d.sunday('day')} OR day = {d.plus(d.sunday('day'), -1)}"
-    return f"SELECT day, CASE WHEN {weekend} THEN 'weekend' WHEN {holiday} THEN 'holiday' ELSE 'open' END AS status FROM bench_close"
-
-
 @relation("bars", covers="JOI-02")
 def filled_pair(d):
     """Two symbols on the days of either, each carried forward."""

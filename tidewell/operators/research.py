@@ -64,19 +64,18 @@ def cost_survival(d, cost=0.001):
     return f"SELECT {d.r('avg(exc)')} AS gross, {d.r(f'avg(exc) - {cost}')} AS net, avg(exc) > {cost} AS survived FROM excess"
 
 
-@relation("aligned", "orders", covers="MOD-13 (events), FIL-05")
-def event_car(d, h=10):
-    """The excess of the h rows from the first day after each event; four events at least, with t."""
-    return f"SELECT CAST(count(*) AS BIGINT) AS n, {d.r('avg(car)')} AS mean, {d.r('avg(car) / nullif(stddev_samp(car) / sqrt(CAST(count(*) AS DOUBLE)), 0)', 4)} AS t FROM (SELECT e.k, min_by(x.exc, x.day) AS car FROM (SELECT k, CAST(o_orderdate AS DATE) AS day FROM (SELECT o_orderdate, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) o WHERE k <= 12) e JOIN (SELECT day, lead(b, {h}) OVER (ORDER BY day) / b - lead(m, {h}) OVER (ORDER BY day) / m AS exc FROM aligned) x ON x.day >= e.day WHERE x.exc IS NOT NULL GROUP BY e.k) y HAVING count(*) >= 4"
+@relation("orders")
+def thesis_events(d):
+    """day: each day of an event once; here those of urgent orders."""
+    return "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderpriority = '1-URGENT'"
 
 
-@relation("aligned", covers="MOD-14, AGG-38")
-def momentum_confound(d):
-    """Alpha of the basket over the benchmark with its t value, and the moments of the relative returns."""
-    n, res = "CAST(count(*) AS DOUBLE)", "(var_samp(y) - power(covar_samp(x, y), 2) / var_samp(x)) * (count(*) - 1)"
-    beta = "covar_samp(x, y) / var_samp(x)"
-    se = f"sqrt({res} / ({n} - 2) * (1 / {n} + power(avg(x), 2) / (var_samp(x) * ({n} - 1))))"
-    return f"SELECT CAST(count(*) AS BIGINT) AS n, {d.r(beta)} AS beta, {d.r(f'avg(y) - {beta} * avg(x)', 8)} AS alpha, {d.r(f'(avg(y) - {beta} * avg(x)) / {se}', 4)} AS t, {d.r('avg(y - x) / stddev_samp(y - x)')} AS sharpe, {d.r(d.g1('(y - x)'), 4)} AS skew, {d.r(d.g2('(y - x)') + ' + 3', 4)} AS kurt FROM (SELECT b / lag(b) OVER (ORDER BY day) - 1 AS y, m / lag(m) OVER (ORDER BY day) - 1 AS x FROM aligned) q WHERE x IS NOT NULL"
+@relation("aligned", "thesis_events", covers="MOD-13 (events)")
+def event_car(d, h=10):
+    """The excess of the h rows from the first day after each event; four events at least, with t. Days and events meet in one window over both."""
+    rows = f"SELECT day, exc, 0 AS event FROM (SELECT day, lead(b, {h}) OVER (ORDER BY day) / b - lead(m, {h}) OVER (ORDER BY day) / m AS exc FROM aligned) x WHERE exc IS NOT NULL UNION ALL SELECT day, CAST(NULL AS DOUBLE) AS exc, 1 AS event FROM thesis_events"
+    next_ = d.last("exc", "ORDER BY day DESC, event ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+    return f"SELECT CAST(count(*) AS BIGINT) AS n, {d.r('avg(car)')} AS mean, {d.r('avg(car) / nullif(stddev_samp(car) / sqrt(CAST(count(*) AS DOUBLE)), 0)', 4)} AS t FROM (SELECT event, {next_} AS car FROM ({rows}) y) z WHERE event = 1 AND car IS NOT NULL HAVING count(*) >= 4"
 
 
 @relation("bars", covers="PRJ-05")
@@ -85,16 +84,6 @@ def periods_per_year(d):
     return f"SELECT symbol, CAST(CASE WHEN {gap} >= 25 THEN 12 WHEN {gap} BETWEEN 5 AND 9 THEN 52 ELSE 252 END AS BIGINT) AS periods FROM (SELECT symbol, {d.days('day', 'lag(day) OVER (PARTITION BY symbol ORDER BY day)')} AS gap FROM bars) x GROUP BY symbol"
 
 
-@relation("fundamentals", covers="MOD-19, PRJ-09, FIL-08")
-def health_score(d):
-    """Five parts of 20 by bands, over those there are, as of 100; flags of what is dear or weak."""
-    band = lambda x, *b: f"CASE WHEN {x} IS NULL THEN NULL " + " ".join(f"WHEN {x} >= {t} THEN {s}" for t, s in b) + " ELSE 0 END"
-    parts = [band("roe", (0.2, 20), (0.12, 14), (0.05, 8)), band("revenue_growth", (0.2, 20), (0.1, 14), (0, 8)), band("earnings_growth", (0.2, 20), (0.1, 14), (0, 8)), band("current_ratio", (2, 20), (1.5, 14), (1, 8)), band("fcf_margin", (0.15, 20), (0.08, 14), (0, 8))]
-    have = " + ".join(f"CASE WHEN {p} IS NULL THEN 0 ELSE 20 END" for p in parts)
-    got = " + ".join(f"coalesce({p}, 0)" for p in parts)
-    return f"SELECT symbol, {d.r(f'100e0 * ({got}) / nullif({have}, 0)', 4)} AS score, concat_ws(',', CASE WHEN pe > 40 THEN 'dear' END, CASE WHEN peg > 2 THEN 'peg' END, CASE WHEN debt_to_equity > 100 THEN 'debt' END, CASE WHEN fcf < 0 THEN 'cash' END) AS flags FROM fundamentals"
-
-
 @relation("fundamentals", covers="AGG-21")
 def comparables(d):
     """Quantiles of positive multiples and, from two on, the value that their medians imply."""
@@ -102,29 +91,11 @@ def comparables(d):
     return f"SELECT {one('pe')}, {one('peg')}, CASE WHEN count(CASE WHEN pe > 0 THEN 1 END) >= 2 THEN {d.r(d.pct('CASE WHEN pe > 0 THEN pe END', 0.5) + ' * 1000', 2)} END AS implied FROM fundamentals"
 
 
-@relation("fundamentals", covers="MOD-17, SRC-40, SRC-34")
-def dcf_grid(d, years=5, tax=0.21, rf=0.04, erp=0.05):
-    """Value a share over a grid of discount rates and growth: mid-year discounting, null where growth isn't below the rate."""
-    g = "greatest(0e0, least(0.25e0, coalesce(revenue_growth, 0)))"
-    m = "greatest(0.02e0, least(0.6e0, coalesce(fcf_margin, 0)))"
-    return f"""SELECT symbol, dr, tg, CASE WHEN tg < dr THEN {d.r(f'(pv + last_ * (1 + tg) / (dr - tg) / power(1 + dr, {years} - 0.5e0)) / 1000', 4)} END AS value FROM (
-  SELECT symbol, dr, tg, sum(f / power(1 + dr, t - 0.5e0)) AS pv, max(CASE WHEN t = {years} THEN f END) AS last_ FROM (SELECT symbol, CAST(t AS DOUBLE) AS t, 1e6 * power(1 + {g}, t) * {m} AS f FROM fundamentals CROSS JOIN {d.series(1, years, 't')} y) p
-  CROSS JOIN (VALUES (2e-2), (8e-2), (1e-1)) AS a(dr) CROSS JOIN (VALUES (1e-2), (2e-2), (3e-2)) AS b(tg) GROUP BY symbol, dr, tg) x"""
-
-
 @relation("fundamentals", covers="MOD-17 (WACC), SRC-38")
 def wacc(d, rf=0.04, erp=0.05, tax=0.21):
     """Cost of capital by market weights; without net debt the cost of equity."""
     coe, cda = f"({rf} + beta * {erp})", f"({rf} + 0.015) * (1 - {tax})"
-    return f"SELECT symbol, {d.r(f'CASE WHEN debt - cash <= 0 OR cap <= 0 THEN {coe} ELSE ({coe} * cap + {cda} * (debt - cash)) / (cap + debt - cash) END')} AS wacc FROM (SELECT symbol, 1 + net_margin AS beta, pe * 1000 AS cap, debt_to_equity * 50 AS debt, coalesce(fcf, 0) / 20 AS cash FROM fundamentals) x"
-
-
-@relation("bench_close", "breadth", covers="MOD-20, PRJ-08, WIN-34, SRC-10")
-def weather(d):
-    """A composite of 0 to 100 by day: breadth, momentum of 20 rows, distance from the mean of 50; what is missing counts 50, fewer than two parts give none."""
-    lin = lambda x, lo, hi: f"greatest(0e0, least(100e0, ({x} - {lo}) / ({hi} - {lo}) * 100))"
-    return f"""SELECT day, CASE WHEN have >= 2 THEN {d.r('0.4 * coalesce(b, 50) + 0.3 * coalesce(m, 50) + 0.3 * coalesce(t, 50)', 2)} END AS weather FROM (SELECT day, b, m, t, (CASE WHEN b IS NULL THEN 0 ELSE 1 END) + (CASE WHEN m IS NULL THEN 0 ELSE 1 END) + (CASE WHEN t IS NULL THEN 0 ELSE 1 END) AS have FROM (
-  SELECT c.day, {lin('share', '0e0', '1e0')} AS b, {lin('(c.close / c.back - 1)', '-0.05e0', '0.05e0')} AS m, {lin('(c.close / c.ma - 1)', '-0.05e0', '0.05e0')} AS t FROM (SELECT day, close, lag(close, 20) OVER (ORDER BY day) AS back, CASE WHEN row_number() OVER (ORDER BY day) >= 50 THEN avg(close) OVER (ORDER BY day ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) END AS ma FROM bench_close) c LEFT JOIN breadth s ON s.day = c.day) q) x"""
+    return f"SELECT symbol, {d.r(f'CASE WHEN debt - cash <= 0 OR cap <= 0 THEN {coe} ELSE ({coe} * cap + {cda} * (debt - cash)) / (cap + debt - cash) END')} AS wacc FROM (SELECT symbol, 1 + net_margin AS beta, pe * 1000 AS cap, debt_to_equity * 5000 AS debt, coalesce(fcf, 0) / 20 AS cash FROM fundamentals) x"
 
 
 @relation("bench_close", covers="WIN-33, MOD-25")
@@ -134,12 +105,6 @@ def macro_changes(d):
     return f"SELECT month, {d.r('v')} AS value, {d.r(f'v - lag(v) OVER ({w})')} AS change, {d.r(f'v / lag(v, 12) OVER ({w}) - 1')} AS yoy, {d.r(f'lag(v) OVER ({w}) / lag(v, 13) OVER ({w}) - 1')} AS yoy_before, coalesce(v / lag(v, 12) OVER ({w}) > lag(v) OVER ({w}) / lag(v, 13) OVER ({w}), false) AS rising FROM (SELECT {d.month_start('day')} AS month, max_by(close, day) AS v FROM bench_close GROUP BY {d.month_start('day')}) x"
 
 
-@relation("composite_score", "insider_summary", "options_summary", covers="MOD-22, JOI-14")
-def overlays(d):
-    """The score with what options and insiders add, within 0.15; without either it is unchanged."""
-    return f"SELECT c.symbol, c.score, {d.r('greatest(-1e0, least(1e0, c.score + greatest(-0.15e0, least(0.15e0, coalesce(o.sentiment, 0) * 0.1 + coalesce(i.lift, 0)))))')} AS adjusted FROM (SELECT symbol, score, row_number() OVER (ORDER BY symbol) - 1 AS k FROM composite_score) c LEFT JOIN (SELECT symbol, sentiment FROM options_summary) o ON o.symbol = c.symbol LEFT JOIN (SELECT symbol, CASE label WHEN 'cluster_buy' THEN 0.08e0 WHEN 'buy' THEN 0.04e0 WHEN 'sell' THEN -0.04e0 ELSE 0e0 END AS lift FROM insider_summary) i ON i.symbol = c.k"
-
-
 @relation("aligned")
 def relative_rows(d):
     """v, i, n, m: relative log returns with their number, how many there are, and their mean."""
@@ -185,7 +150,7 @@ def upcoming(d, days=7):
     return f"SELECT DISTINCT o_custkey AS id, CAST(o_orderdate AS DATE) AS day, {d.days('CAST(o_orderdate AS DATE)', today)} AS ahead FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN {today} AND {d.plus(today, days)}"
 
 
-@relation("nation", "region", covers="WIN-40, MOD-26, MOD-27")
+@relation("nation", "region", covers="WIN-40")
 def compound_plan(d, years=10, rate=0.06, monthly=100):
-    """The balance at the end of each year of monthly savings, with expected move, reward to risk and break-even."""
-    return f"SELECT n_nationkey AS k, t, {d.r(f'{monthly}e0 * (1 + n_nationkey) * (power(1 + {rate} / 12e0, 12 * t) - 1) / ({rate} / 12e0)', 2)} AS balance, {d.r('0.85e0 * (n_nationkey + 1)', 4)} AS expected_move, {d.r('1 / (1 + (1e0 + n_nationkey) / 2)')} AS break_even FROM nation JOIN region ON r_regionkey = n_regionkey CROSS JOIN {d.series(1, years, 't')} y"
+    """The balance at the end of each year of monthly savings."""
+    return f"SELECT n_nationkey AS k, t, {d.r(f'{monthly}e0 * (1 + n_nationkey) * (power(1 + {rate} / 12e0, 12 * t) - 1) / ({rate} / 12e0)', 2)} AS balance FROM nation JOIN region ON r_regionkey = n_regionkey CROSS JOIN {d.series(1, years, 't')} y"

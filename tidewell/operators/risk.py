@@ -82,9 +82,11 @@ def rolling_var(d, n=250):
 
 @relation("rolling_var", "portfolio", covers="MOD-10")
 def kupiec(d, p=0.05):
-    """Days below the value at risk of the day, and the likelihood ratio that their share is p; null for none or all."""
-    return f"""SELECT n, x, {d.r(f'-2 * ((n - x) * ln(1 - {p}e0) + x * ln({p}e0) - (n - x) * ln(1 - x / nullif(CAST(n AS DOUBLE), 0)) - x * ln(x / nullif(CAST(n AS DOUBLE), 0)))', 4)} AS lr
-FROM (SELECT CAST(count(*) AS BIGINT) AS n, CASE WHEN sum(CASE WHEN p.r < v.var_ THEN 1 ELSE 0 END) BETWEEN 1 AND count(*) - 1 THEN CAST(sum(CASE WHEN p.r < v.var_ THEN 1 ELSE 0 END) AS BIGINT) END AS x FROM portfolio p JOIN rolling_var v ON v.day = p.day AND v.var_ IS NOT NULL) q"""
+    """Days below the value at risk of the day, the likelihood ratio that their share is p, and its p-value (chi-square, one degree); null for none or all."""
+    share = "(x / nullif(CAST(n AS DOUBLE), 0))"
+    lr = f"-2 * ((n - x) * ln(1 - {p}e0) + x * ln({p}e0) - (n - x) * ln(1 - {share}) - x * ln({share}))"
+    counts = "SELECT CAST(count(*) AS BIGINT) AS n, CASE WHEN sum(CASE WHEN p.r < v.var_ THEN 1 ELSE 0 END) BETWEEN 1 AND count(*) - 1 THEN CAST(sum(CASE WHEN p.r < v.var_ THEN 1 ELSE 0 END) AS BIGINT) END AS x FROM portfolio p JOIN rolling_var v ON v.day = p.day AND v.var_ IS NOT NULL"
+    return f"SELECT n, x, {d.r(f'n * {p}e0', 4)} AS expected, {d.r('lr', 4)} AS lr, {d.r(d.erfc('sqrt(greatest(lr, 0e0) / 2)'), 5)} AS p_value FROM (SELECT n, x, {lr} AS lr FROM ({counts}) q) y"
 
 
 @relation("paired", covers="AGG-34, PRJ-02")

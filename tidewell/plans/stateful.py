@@ -74,17 +74,17 @@ def average_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query(
     "regime_hysteresis",
     lambda: """WITH RECURSIVE m AS (SELECT CAST(ts AS DATE) AS day, avg(value) AS v FROM events GROUP BY CAST(ts AS DATE)), c AS (SELECT day, greatest(0e0, least(100e0, 50 + (v - avg(v) OVER ()) * 4)) AS score, row_number() OVER (ORDER BY day) AS k FROM m),
-r AS (SELECT day, k, score, CASE WHEN score >= 55 THEN 'risk_on' WHEN score < 45 THEN 'risk_off' ELSE 'neutral' END AS regime FROM c WHERE k = 1
-UNION ALL SELECT c.day, c.k, c.score, CASE WHEN c.score >= CASE WHEN regime = 'risk_on' THEN 50 ELSE 60 END THEN 'risk_on' WHEN c.score < CASE WHEN regime = 'risk_off' THEN 50 ELSE 40 END THEN 'risk_off' ELSE 'neutral' END FROM r JOIN c ON c.k = r.k + 1)
+r AS (SELECT day, k, score, CASE WHEN score >= 60 THEN 'risk_on' WHEN score <= 40 THEN 'risk_off' ELSE 'neutral' END AS regime FROM c WHERE k = 1
+UNION ALL SELECT c.day, c.k, c.score, CASE WHEN c.score >= CASE WHEN regime = 'risk_on' THEN 55 ELSE 60 END THEN 'risk_on' WHEN c.score <= CASE WHEN regime = 'risk_off' THEN 45 ELSE 40 END THEN 'risk_off' ELSE 'neutral' END FROM r JOIN c ON c.k = r.k + 1)
 SELECT day, regime FROM r""",
 )
 def regime_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-09, STR-10: a regime by a score of 0 to 100 that must pass its limits by five to change; one row a day, folded in order."""
+    """STR-09: a regime by a score of 0 to 100, risk on from 60 and off from 40, that is left only five beyond its limit; one row a day, folded in order."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("ts").cast("date").alias("day")).agg(F.avg("value").alias("v"))
     score = e.crossJoin(e.agg(F.avg("v").alias("m"))).select("day", F.greatest(F.lit(0.0), F.least(F.lit(100.0), 50 + (F.col("v") - F.col("m")) * 4)).alias("score"))
     step = """aggregate(d, cast(array() as array<struct<day:date,regime:string>>), (a, x) -> array_append(a, named_struct('day', x.day, 'regime',
-      case when x.score >= case when size(a) = 0 then 55 when element_at(a, -1).regime = 'risk_on' then 50 else 60 end then 'risk_on'
-           when x.score < case when size(a) = 0 then 45 when element_at(a, -1).regime = 'risk_off' then 50 else 40 end then 'risk_off' else 'neutral' end)))"""
+      case when x.score >= case when size(a) > 0 and element_at(a, -1).regime = 'risk_on' then 55 else 60 end then 'risk_on'
+           when x.score <= case when size(a) > 0 and element_at(a, -1).regime = 'risk_off' then 45 else 40 end then 'risk_off' else 'neutral' end)))"""
     return score.groupBy().agg(F.sort_array(F.collect_list(F.struct("day", "score"))).alias("d")).select(F.inline(F.expr(step)))
 
 

@@ -110,6 +110,6 @@ def flows(d):
 def fundamentals(d):
     """symbol and the ratios of a company, from customers' figures by segment and nation."""
     return """SELECT CAST(c_custkey % 200 AS BIGINT) AS symbol, avg(c_acctbal) / 20000 AS roe, avg(c_acctbal) / 40000 - 0.02e0 AS net_margin, avg(o_totalprice) / 1000000 - 0.05e0 AS revenue_growth,
-       CASE WHEN c_custkey % 200 % 17 = 0 THEN NULL ELSE max(c_acctbal) / 30000 - 0.1e0 END AS earnings_growth, avg(c_nationkey) * 8e0 AS debt_to_equity, 0.5e0 + avg(c_nationkey) / 9 AS current_ratio,
-       CASE WHEN c_custkey % 200 % 13 = 0 THEN NULL ELSE sum(c_acctbal) END AS fcf, avg(c_acctbal) / 50000 AS fcf_margin, 5 + avg(o_totalprice) / 6000 AS pe, CASE WHEN c_custkey % 200 % 11 = 0 THEN NULL ELSE avg(o_totalprice) / 80000 END AS peg
+       CASE WHEN c_custkey % 200 % 17 = 0 THEN NULL ELSE max(c_acctbal) / 30000 - 0.1e0 END AS earnings_growth, avg(c_nationkey) / 8e0 AS debt_to_equity, 0.5e0 + avg(c_nationkey) / 9 AS current_ratio,
+       CASE WHEN c_custkey % 200 % 13 = 0 THEN NULL ELSE sum(c_acctbal) END AS fcf, avg(c_acctbal) / 50000 AS fcf_margin, 5 + avg(o_totalprice) / 6000 AS pe, CASE WHEN c_custkey % 200 % 11 = 0 THEN NULL ELSE avg(o_totalprice) / 80000 END AS peg, avg(c_acctbal) / 1500 AS pb, CASE WHEN c_custkey % 200 % 7 = 0 THEN NULL ELSE avg(o_totalprice) / 10000 END AS ev_ebitda
 FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey % 200"""
