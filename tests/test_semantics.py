@@ -154,6 +154,9 @@ def test_portfolio_solvers():
     assert all(grad[k] >= grad[w > 1e-6].min() - 1e-7 for k in range(5))
     s = portfolio.best_sharpe(mean, cov)
     assert mean @ s / np.sqrt(s @ cov @ s) >= mean @ equal / np.sqrt(equal @ cov @ equal) - 1e-9
+    for _ in range(300):  # no random long-only portfolio does better
+        v = rng.dirichlet(np.full(5, 0.5))
+        assert mean @ s / np.sqrt(s @ cov @ s) >= mean @ v / np.sqrt(v @ cov @ v) - 1e-9
     e = portfolio.equal_risk(cov)
     share = e * (cov @ e)
     assert share / share.sum() == pytest.approx(equal, abs=1e-6)
@@ -270,3 +273,39 @@ def test_alerts_are_pushed_by_batch(spark, sf, tmp_path):
     stream = spark.readStream.schema(events.schema).parquet(f"{sf}/event*.parquet").where("value > 0")
     q = push(stream, lambda df, number: sent.append((number, df.count())), str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(120) and sum(n for _, n in sent) == events.where("value > 0").count()
+
+
+def test_shrinkage_equals_the_formula_and_frontier_rises(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 0.01, (120, 4)) @ (np.eye(4) + 0.4)
+    rows = [(f"S{j}", date(2024, 1, 1) + timedelta(days=i), float(x[i, j])) for i in range(120) for j in range(4) if (i, j) != (7, 2)]
+    table = spark.createDataFrame(rows, "symbol string, day date, r double")
+    got = {(r.s, r.t): r["cov"] for r in portfolio.shrinkage(table).collect()}
+    want = portfolio.shrunk(np.delete(x, 7, axis=0))
+    assert all(got[f"S{i}", f"S{j}"] == pytest.approx(want[i, j], abs=1e-9) for i in range(4) for j in range(4))
+    line = portfolio.efficient_frontier(table).orderBy("point").collect()
+    assert all(b.deviation >= a.deviation - 1e-6 and b.expected >= a.expected - 1e-6 for a, b in zip(line, line[1:]))
+
+
+def test_grid_equals_the_barrier_of_each_set(spark, bars):
+    """The shared paths give what a loop over closes gives for each of the 27 sets."""
+    got = {(r.symbol, r.rule, round(float(r.tp), 3), round(float(r.sl), 3), r.h): r for r in apply(spark, "grid", {"bars": bars}).collect()}
+    entries = apply(spark, "entries", {"bars": bars}).collect()
+    closes = {s: g["close"].to_numpy() for s, g in panel().groupby("symbol")}
+    for tp in (0.03, 0.05, 0.08):
+        for sl in (0.02, 0.03, 0.05):
+            for h in (5, 10, 20):
+                rets = {}
+                for e in entries:
+                    px, at, sign = closes[e.symbol], e.i + 1, -1 if e.short else 1
+                    if at + 1 >= len(px):
+                        continue
+                    for held in range(1, min(h, len(px) - 1 - at) + 1):
+                        move = sign * (px[at + held] / px[at] - 1)
+                        if move >= tp - 1e-15 or move <= -sl + 1e-15:
+                            move = tp if move > 0 else -sl
+                            break
+                    rets.setdefault((e.symbol, e.rule), []).append((move - 0.001, held))
+                for (s, rule), of in rets.items():
+                    r = got[s, rule, tp, sl, h]
+                    assert (r.trades, r.expectancy, r.avg_held) == pytest.approx((len(of), np.mean([x for x, _ in of]), np.mean([k for _, k in of])))

@@ -146,11 +146,30 @@ def calibration(d):
     return f"SELECT symbol, part, {d.r('greatest(0.5e0, least(1.5e0, 1 + avg(edge)))')} AS multiplier FROM edges JOIN (VALUES {values}) AS parts(rule, part) USING (rule) GROUP BY symbol, part"
 
 
-@relation("entries", "numbered", "consistency")
+TARGETS, STOPS, HORIZONS = (0.03, 0.05, 0.08), (0.02, 0.03, 0.05), (5, 10, 20)
+
+
+@relation("entries", "numbered")
+def paths(d):
+    """One row an entry: the first row that meets each target and each stop, and the last close of each horizon. All sets of parameters share one look ahead."""
+    move = "(j.close / p.close - 1) * CASE WHEN short THEN -1 ELSE 1 END"
+    win = lambda t: f"CASE WHEN short THEN j.close <= p.close * (1 - {t}e0) ELSE j.close >= p.close * (1 + {t}e0) END"
+    loss = lambda t: f"CASE WHEN short THEN j.close >= p.close * (1 + {t}e0) ELSE j.close <= p.close * (1 - {t}e0) END"
+    firsts = [f"min(CASE WHEN {win(t)} THEN k.k END) AS win_{n}" for n, t in enumerate(TARGETS)] + [f"min(CASE WHEN {loss(t)} THEN k.k END) AS loss_{n}" for n, t in enumerate(STOPS)]
+    lasts = [f"max_by({move}, CASE WHEN k.k <= {h} THEN k.k END) AS move_{h}, max(CASE WHEN k.k <= {h} THEN k.k END) AS last_{h}" for h in HORIZONS]
+    return f"""SELECT e.symbol, e.rule, e.i, {', '.join(firsts + lasts)} FROM entries e JOIN numbered p ON p.symbol = e.symbol AND p.i = e.i + 1 CROSS JOIN {d.series(1, max(HORIZONS), 'k')} k
+JOIN numbered j ON j.symbol = e.symbol AND j.i = e.i + 1 + k.k WHERE p.close > 0 GROUP BY e.symbol, e.rule, e.i"""
+
+
+@relation("paths")
 def grid(d):
-    """Statistics for 27 sets of target, stop and horizon."""
-    sets = "(SELECT e.*, tp, sl, h FROM entries e CROSS JOIN (VALUES (3e-2), (5e-2), (8e-2)) AS a(tp) CROSS JOIN (VALUES (2e-2), (3e-2), (5e-2)) AS b(sl) CROSS JOIN (VALUES (5), (10), (20)) AS c(h))"
-    return evaluated(d, "symbol, rule, tp, sl, h", "(" + barrier(d, sets, "numbered", "symbol, rule, tp, sl, h", "tp", "sl", "h", 20) + ") t")
+    """Statistics for 27 sets of target, stop and horizon, each from the paths of the entries."""
+    sets = ", ".join(f"({a}, {b}, {h}, {t}e0, {s}e0)" for a, t in enumerate(TARGETS) for b, s in enumerate(STOPS) for h in HORIZONS)
+    pick = lambda name, key, values: f"CASE {key} " + " ".join(f"WHEN {v} THEN {name}_{v}" for v in values) + " END"
+    rows = f"SELECT symbol, rule, tp, sl, h, {pick('win', 'a', range(3))} AS w, {pick('loss', 'b', range(3))} AS l, {pick('move', 'h', HORIZONS)} AS move, {pick('last', 'h', HORIZONS)} AS last_k FROM paths CROSS JOIN (VALUES {sets}) AS g(a, b, h, tp, sl)"
+    within = "SELECT symbol, rule, tp, sl, h, move, last_k, CASE WHEN w <= h THEN w END AS w, CASE WHEN l <= h THEN l END AS l FROM (" + rows + ") r"
+    trades = f"SELECT symbol, rule, tp, sl, h, CASE WHEN w IS NOT NULL AND (l IS NULL OR w <= l) THEN tp WHEN l IS NOT NULL THEN -sl ELSE move END - {COST}e0 AS ret, coalesce(least(coalesce(w, l), coalesce(l, w)), last_k) AS held FROM ({within}) q"
+    return evaluated(d, "symbol, rule, tp, sl, h", f"({trades}) t")
 
 
 @relation("grid", "consistency", covers="WIN-15, SRT-02")

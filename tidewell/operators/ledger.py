@@ -57,16 +57,31 @@ def next_prices(d):
   FROM (SELECT event, symbol, day, CAST(NULL AS DOUBLE) AS close, CAST(NULL AS DATE) AS bar_day FROM journal UNION ALL SELECT -1, symbol, day, close, day FROM bars) u) x WHERE event >= 0"""
 
 
+@relation("journal", "bars")
+def located(d):
+    """Each trade with the number i of the last bar up to its day (null before the first): the union of both, read once."""
+    over = "PARTITION BY symbol ORDER BY day, event ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    both = f"SELECT event, symbol, day, side, qty, mechanism, price, CAST(NULL AS BIGINT) AS i FROM journal UNION ALL SELECT -1, symbol, day, NULL, NULL, NULL, NULL, CAST(row_number() OVER ({W}) - 1 AS BIGINT) FROM bars"
+    return f"SELECT * FROM (SELECT event, symbol, day, side, qty, mechanism, price, {d.last('i', over)} AS i FROM ({both}) u) x WHERE event >= 0"
+
+
 @relation("priced")
 def matched(d):
-    """Pairs of buys and sells by first in, first out. Sells beyond what is held are lost, not borrowed from later buys."""
-    return f"""
-SELECT b.symbol, b.event AS buy_event, s.event AS sell_event, b.day AS buy_day, s.day AS sell_day, coalesce(s.mechanism, 'unlabelled') AS mechanism, least(b.hi, s.hi) - greatest(b.lo, s.lo) AS qty, coalesce(b.price, b.asof_close) AS buy_px, coalesce(s.price, s.asof_close) AS sell_px, b.price IS NULL OR s.price IS NULL AS approx
-FROM (SELECT *, cum - qty AS lo, cum AS hi FROM (SELECT *, sum(qty) OVER ({E_}) AS cum FROM priced WHERE side = 'buy') q) b
-JOIN (SELECT *, lag(eff, 1, 0) OVER ({E_}) AS lo, eff AS hi FROM (
-    SELECT * , sold - greatest(0, -min(net) OVER ({E_} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS eff FROM (
-      SELECT *, sum(CASE WHEN side = 'sell' THEN qty ELSE 0 END) OVER ({E_}) AS sold, sum(CASE WHEN side = 'sell' THEN -qty ELSE qty END) OVER ({E_}) AS net FROM priced) n) m WHERE side = 'sell') s
-ON s.symbol = b.symbol AND s.lo < b.hi AND b.lo < s.hi"""
+    """Pairs of buys and sells by first in, first out. Sells beyond what is held are lost, not borrowed from later buys.
+
+    Both sides cut the axis of cumulative quantity; between two cuts stand the next buy and the next sell from
+    there on. One window forward and one backward over the cuts, no join of all pairs of a symbol.
+    """
+    upto = f"({E_} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    bought = f"SELECT symbol, event, sum(qty) OVER {upto} AS hi FROM priced WHERE side = 'buy'"
+    running = f"SELECT symbol, event, side, sum(CASE WHEN side = 'sell' THEN qty ELSE 0 END) OVER {upto} AS sold, sum(CASE WHEN side = 'sell' THEN -qty ELSE qty END) OVER {upto} AS net FROM priced"
+    covered = f"SELECT symbol, event, side, sold - greatest(0, -min(net) OVER {upto}) AS hi FROM ({running}) r"
+    sold = f"SELECT symbol, event, hi FROM (SELECT symbol, event, hi, lag(hi, 1, 0) OVER ({E_}) AS lo FROM ({covered}) c WHERE side = 'sell') s WHERE hi > lo"
+    cuts = f"SELECT symbol, hi, max(b) AS b, max(s) AS s FROM (SELECT symbol, hi, event AS b, CAST(NULL AS BIGINT) AS s FROM ({bought}) x UNION ALL SELECT symbol, hi, NULL, event FROM ({sold}) y) u GROUP BY symbol, hi"
+    back = "PARTITION BY symbol ORDER BY hi DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    spans = f"SELECT symbol, hi - lag(hi, 1, 0) OVER (PARTITION BY symbol ORDER BY hi) AS qty, {d.last('b', back)} AS b, {d.last('s', back)} AS s FROM ({cuts}) c"
+    return f"""SELECT m.symbol, m.b AS buy_event, m.s AS sell_event, b.day AS buy_day, s.day AS sell_day, coalesce(s.mechanism, 'unlabelled') AS mechanism, m.qty, coalesce(b.price, b.asof_close) AS buy_px, coalesce(s.price, s.asof_close) AS sell_px, b.price IS NULL OR s.price IS NULL AS approx
+FROM ({spans}) m JOIN priced b ON b.symbol = m.symbol AND b.event = m.b JOIN priced s ON s.symbol = m.symbol AND s.event = m.s WHERE m.qty > 0"""
 
 
 @relation("matched", covers="JOI-08, D7")
@@ -101,12 +116,13 @@ def trade_benchmark(d):
 FROM (SELECT m.symbol, sell_px / buy_px - 1 AS r, y.close / x.close - 1 AS b FROM matched m JOIN bench_close x ON x.day = m.buy_day JOIN bench_close y ON y.day = m.sell_day) q GROUP BY symbol HAVING count(*) >= 5"""
 
 
-@relation("bars", "journal", covers="AGG-09")
+@relation("located", "numbered", covers="AGG-09")
 def chasing(d):
     """Where in the range of the last 21 rows the close of a buy's day is: mean, and share from 0.8 on."""
     f = rows(21)
+    ranges = f"SELECT symbol, i, close, min(close) OVER {f} AS lo, max(close) OVER {f} AS hi, count(*) OVER {f} AS k FROM numbered"
     return f"""SELECT CAST(count(*) AS BIGINT) AS n, {d.r('avg(p)')} AS avg_pct, {d.r('avg(CASE WHEN p >= 0.8 THEN 1e0 ELSE 0e0 END)')} AS share_top FROM (
-  SELECT (b.close - b.lo) / (b.hi - b.lo) AS p FROM journal j JOIN (SELECT symbol, day, close, lead(day) OVER ({W}) AS next_, min(close) OVER {f} AS lo, max(close) OVER {f} AS hi, count(*) OVER {f} AS n FROM bars) b ON b.symbol = j.symbol AND b.day <= j.day AND (b.next_ > j.day OR b.next_ IS NULL) WHERE j.side = 'buy' AND b.n >= 15 AND b.hi > b.lo) x HAVING count(*) >= 5"""
+  SELECT (b.close - b.lo) / (b.hi - b.lo) AS p FROM located j JOIN ({ranges}) b ON b.symbol = j.symbol AND b.i = j.i WHERE j.side = 'buy' AND b.k >= 15 AND b.hi > b.lo) x HAVING count(*) >= 5"""
 
 
 @relation("journal", "matched", covers="AGG-10, STR-16 (weeks)")

@@ -97,10 +97,10 @@ def filled_pair(d):
     return f"SELECT day, {d.last('a', over)} AS a, {d.last('b', over)} AS b FROM (SELECT coalesce(x.day, y.day) AS day, x.close AS a, y.close AS b FROM {one('min')} x FULL OUTER JOIN {one('max')} y ON y.day = x.day) q"
 
 
-@relation("journal", "bars", covers="JOI-07")
+@relation("located", "numbered", covers="JOI-07")
 def reactions(d):
     """The last close up to an event's day and the first after it."""
-    return f"SELECT e.event, {d.r('b.close', 4)} AS before, {d.r('b.next_close', 4)} AS after, {d.r('b.next_close / b.close - 1')} AS move FROM journal e JOIN (SELECT symbol, day, close, lead(day) OVER ({W}) AS next_, lead(close) OVER ({W}) AS next_close FROM bars) b ON b.symbol = e.symbol AND b.day <= e.day AND (b.next_ > e.day OR b.next_ IS NULL)"
+    return f"SELECT e.event, {d.r('b.close', 4)} AS before, {d.r('b.next_close', 4)} AS after, {d.r('b.next_close / b.close - 1')} AS move FROM located e JOIN (SELECT symbol, i, close, lead(close) OVER ({W}) AS next_close FROM numbered) b ON b.symbol = e.symbol AND b.i = e.i"
 
 
 @relation("backtest_all", covers="SNK-05")

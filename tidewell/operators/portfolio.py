@@ -37,10 +37,13 @@ def least_variance(cov: np.ndarray, mean: np.ndarray | None = None, tilt: float
     n, step = len(cov), 1 / max(np.linalg.eigvalsh(cov)[-1], 1e-12)
     w = ahead = np.full(n, 1 / n)
     pace = 1.0
-    for _ in range(rounds):
+    for k in range(rounds):
         new = to_simplex(ahead - step * (cov @ ahead - (tilt * mean if mean is not None else 0)))
         after = (1 + np.sqrt(1 + 4 * pace**2)) / 2
+        moved = np.abs(new - w).max()
         ahead, w, pace = new + (pace - 1) / after * (new - w), new, after
+        if k > 10 and moved < 1e-12:
+            break
     return w
 
 
@@ -48,9 +51,29 @@ def frontier(mean: np.ndarray, cov: np.ndarray, points: int = 20) -> list[np.nda
     return [least_variance(cov, mean, t) for t in [0.0, *np.geomspace(1e-3, 10, points - 1)]]
 
 
-def best_sharpe(mean: np.ndarray, cov: np.ndarray, rf: float = 0.0) -> np.ndarray:
-    """The frontier's weights with the highest excess return to deviation."""
-    return max(frontier(mean, cov, 60), key=lambda w: (mean @ w - rf / 252) / max(np.sqrt(w @ cov @ w), 1e-12))
+def best_sharpe(mean: np.ndarray, cov: np.ndarray, rf: float = 0.0, rounds: int = 20_000, tol: float = 1e-10) -> np.ndarray:
+    """Long-only weights with the highest excess return to deviation, as one convex problem.
+
+    The direction that minimises y'Cy / 2 - m'y for y >= 0 has it, as the ratio doesn't depend on the length
+    of y. Without an asset that earns more than rf the least variance is taken.
+    """
+    m = mean - rf / 252
+    if not (m > 0).any():
+        return least_variance(cov)
+    scale = max(np.abs(m).max(), 1e-12)
+    step = 1 / max(np.linalg.eigvalsh(cov)[-1], 1e-12)
+    y = ahead = np.maximum(m, 0) / scale / max(np.trace(cov), 1e-12)
+    pace = 1.0
+    for _ in range(rounds):
+        new = np.maximum(0, ahead - step * (cov @ ahead - m / scale))
+        if ((ahead - new) * (new - y)).sum() > 0:  # overshot: start the pace anew
+            pace = 1.0
+        after = (1 + np.sqrt(1 + 4 * pace**2)) / 2
+        moved = np.abs(new - y).max()
+        ahead, y, pace = new + (pace - 1) / after * (new - y), new, after
+        if moved <= tol * max(np.abs(y).max(), 1e-300):
+            break
+    return y / y.sum()
 
 
 def equal_risk(cov: np.ndarray, tol: float = 1e-10, rounds: int = 2000) -> np.ndarray:
@@ -118,6 +141,41 @@ def weights(returns: DataFrame) -> DataFrame:
     return returns.sparkSession.createDataFrame(rows, "symbol string, " + ", ".join(f"{k} double" for k in table))
 
 
+def efficient_frontier(returns: DataFrame, points: int = 20) -> DataFrame:
+    """point, expected return and deviation a year, and the largest weight of each portfolio of the frontier, from least variance on."""
+    names, mean, cov = covariance_matrix(returns)
+    rows = [(k, round(float(mean @ w) * 252, 6), round(float(np.sqrt(w @ cov @ w * 252)), 6), round(float(w.max()), 6)) for k, w in enumerate(frontier(mean, cov, points))]
+    return returns.sparkSession.createDataFrame(rows, "point long, expected double, deviation double, largest double")
+
+
+def shrinkage(returns: DataFrame) -> DataFrame:
+    """s, t, cov: the Ledoit-Wolf covariance of symbols over the days on which all have a return.
+
+    Spark makes the sums: of products for the sample covariance and of squared products for its variance. The
+    driver gets one row a pair of at most MOST symbols.
+    """
+    names = [r[0] for r in returns.select("symbol").distinct().orderBy("symbol").limit(MOST + 1).collect()]
+    if len(names) > MOST:
+        raise ValueError(f"more than {MOST} symbols: solve by group")
+    days = returns.groupBy("day").agg(F.count("*").alias("k")).where(F.col("k") == len(names)).select("day")
+    rows = returns.join(days, "day", "left_semi")
+    mean = rows.groupBy("symbol").agg(F.avg("r").alias("m"))
+    x = rows.join(F.broadcast(mean), "symbol").select("symbol", "day", (F.col("r") - F.col("m")).alias("x"))
+    a, b = x.alias("a"), x.alias("b")
+    product = F.col("a.x") * F.col("b.x")
+    pairs = a.join(b, F.col("a.day") == F.col("b.day")).groupBy(F.col("a.symbol").alias("s"), F.col("b.symbol").alias("t")).agg(F.avg(product).alias("c"), F.avg(product * product).alias("q"), F.count("*").alias("n")).collect()
+    at, p = {s: k for k, s in enumerate(names)}, len(names)
+    cov, square, n = np.zeros((p, p)), np.zeros((p, p)), 0
+    for r in pairs:
+        cov[at[r["s"]], at[r["t"]]], square[at[r["s"]], at[r["t"]]], n = r["c"], r["q"], r["n"]
+    level = np.trace(cov) / max(p, 1)
+    far = ((cov - level * np.eye(p)) ** 2).sum() / max(p, 1)
+    noise = min(far, (square - cov**2).sum() / max(p, 1) / max(n, 1))
+    keep = 1 - (noise / far if far else 0)
+    out = keep * cov + (1 - keep) * level * np.eye(p)
+    return returns.sparkSession.createDataFrame([(s, t, round(float(out[i, j]), 10)) for i, s in enumerate(names) for j, t in enumerate(names)], "s string, t string, cov double")
+
+
 def monte_carlo(returns: DataFrame, days: int = 10, draws: int = 20_000, value: float = 1e6, seed: int = 7) -> DataFrame:
     """Quantiles of the gain of an equally weighted portfolio over days: normal draws by Spark through a Cholesky factor."""
     spark = returns.sparkSession

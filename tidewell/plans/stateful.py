@@ -31,10 +31,22 @@ def signal_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query("portfolio_weights")
 def portfolio_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MOD-05, MOD-06, MOD-07, AGG-31: weights by method."""
+    """MOD-05, MOD-06, MOD-07: weights by method."""
     return portfolio.weights(run(spark, sf_dir, "returns"))
 
 
+@registry.query("efficient_frontier")
+def efficient_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MOD-06: the long-only frontier."""
+    return portfolio.efficient_frontier(run(spark, sf_dir, "returns"))
+
+
+@registry.query("ledoit_wolf")
+def ledoit_wolf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-31: covariance shrunk towards a multiple of the identity."""
+    return portfolio.shrinkage(run(spark, sf_dir, "returns"))
+
+
 @registry.query("monte_carlo")
 def monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MOD-09."""
