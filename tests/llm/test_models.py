@@ -16,9 +16,9 @@ from tidewell.llm import embed_dedup, quality, secrets, toxicity
 TRAIN = [words(60, 900 + k, 40) for k in range(12)]
 
 
-def plain_model(texts):
+def plain_model(texts, ids):
     """Interpolated modified Kneser-Ney over character 5-grams by dictionaries, written from the definition."""
-    code = lambda c: ord(c) % quality.CODES + 3
+    code = lambda c: int(ids[ord(c)])
     raw = Counter()
     for t in texts:
         x = [quality.BEGIN] * 4 + [code(c) for c in t] + [quality.END]
@@ -54,10 +54,12 @@ def plain_model(texts):
 @pytest.mark.parametrize("head", [quality.HEAD, 200])
 def test_scores_equal_the_definition(spark, head):
     """With all n-grams broadcast, and with most of them joined by key."""
-    of = quality.model(spark.createDataFrame([(t,) for t in TRAIN], "text string"))
+    trusted = spark.createDataFrame([(t,) for t in TRAIN], "text string")
+    ids = quality.alphabet(trusted)
+    of = quality.model(trusted, ids)
     texts = [TRAIN[0], words(30, 905, 40), "QQQ é \U0001f600", "a", words(50, 5)]
-    got = quality.scored(spark.createDataFrame(list(enumerate(texts)), "key long, text string"), of, head).collect()
-    nats = plain_model(TRAIN)
+    got = quality.scored(spark.createDataFrame(list(enumerate(texts)), "key long, text string"), of, ids, head).collect()
+    nats = plain_model(TRAIN, ids)
     for r in got:
         text = texts[r.key]
         assert r.n == len(text) + 1
@@ -67,14 +69,26 @@ def test_scores_equal_the_definition(spark, head):
 def test_long_texts_go_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(quality, "CHUNK", 50)
     text = words(60, 3)
-    one = quality.grams(text)
+    ids = (np.arange(0x110000) % 4000).astype(np.int16)
+    one = quality.grams(text, ids)
     pieces = []
     for at in range(0, len(text), 50):
-        g = quality.grams(text[max(0, at - 4) : at + 50])
+        g = quality.grams(text[max(0, at - 4) : at + 50], ids)
         pieces.append(g[4 if at else 0 : None if at + 50 >= len(text) else -1])
     assert np.array_equal(one, np.concatenate(pieces))
 
 
+def test_frequent_characters_have_an_id_each(spark):
+    """More than fit: the rarest share ids, no frequent one shares its own."""
+    points = [chr(0x4E00 + k) for k in range(quality.FREQUENT + 50)]
+    text = "".join(c * (3 if k < quality.FREQUENT else 1) for k, c in enumerate(points))
+    ids = quality.alphabet(spark.createDataFrame([(text,), (None,), ("",)], "text string"))
+    own = [int(ids[ord(c)]) for c in points[: quality.FREQUENT]]
+    assert len(set(own)) == quality.FREQUENT and min(own) == quality.FIRST and max(own) < 1 << quality.BITS
+    rest = {int(ids[ord(c)]) for c in points[quality.FREQUENT :]} | {int(ids[ord("a")])}
+    assert rest <= set(range(3, quality.FIRST)) and len(rest) > 10
+
+
 def test_quality_rejects_junk_and_keeps_clean(spark):
     good = [(k, words(80, k % 7 + 200, 60), "en", "a", 1) for k in range(120)]
     junk = [(1000 + k, "!! $$$ ###".join(words(30, k).upper().split()), "en", "a", 1) for k in range(10)]

@@ -1,6 +1,7 @@
 """Quality by an interpolated modified Kneser-Ney model of character 5-grams.
 
-The words of a corpus are mostly rare, so the tokens are characters: 12 bits each, five to a 60-bit key.
+The words of a corpus are mostly rare, so the tokens are characters: 12 bits each, five to a 60-bit key. The
+most frequent code points of the trusted text have an id each; the others share a few by a hash.
 Counts of all trusted text are summed by key, and the lower orders are continuation counts of the next
 higher one. Each n-gram that training has seen gets two values: total, the log-probability of its last
 character with all backing off done, and step, what it adds to the total of its suffix. A document's
@@ -25,7 +26,9 @@ from pyspark.sql import Window as W
 from tidewell.llm.common import checked_broadcast, cut, forget, packed, read, row_key, small_batches
 
 ORDER, BITS = 5, 12
-BEGIN, END, CODES = 1, 2, (1 << BITS) - 3
+BEGIN, END = 1, 2
+#: Ids that all code points but the frequent ones share, the first id of those, and ids they may have.
+SHARED, FIRST, FREQUENT = 61, 64, (1 << BITS) - 64
 #: n-grams that are broadcast at most (12 bytes each), and trusted documents of which one is held out.
 HEAD, HELD_OUT = 1_000_000, 8
 #: Quantile of held-out texts that is the limit, what is added to it, and texts that a length class must have.
@@ -33,9 +36,29 @@ QUANTILE, SLACK, CLASS_TEXTS = 0.998, 1.02, 100
 CHUNK = 2_000_000
 
 
-def grams(text: str) -> np.ndarray:
-    """The key of the n-gram that ends at each character and at the end; code points share ids modulo CODES."""
-    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) % CODES + 3
+def alphabet(texts: DataFrame) -> np.ndarray:
+    """The id of every code point: one each for the most frequent of texts (ties: the smaller first), as many as there are ids."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0x110000, dtype=np.int64)
+        for b in batches:
+            for t in b.column(0):
+                if t.is_valid:
+                    at, n = np.unique(np.frombuffer(t.as_py().encode("utf-32-le", "surrogatepass"), "<u4"), return_counts=True)
+                    total[at] += n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["point", "n"])
+
+    top = texts.select("text").mapInArrow(count, "point long, n long").groupBy("point").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").limit(FREQUENT)
+    ids = (np.arange(0x110000, dtype=np.int64) * 0x9E3779B1 % (1 << 32) % SHARED + FIRST - SHARED).astype(np.int16)
+    points = [r["point"] for r in top.select("point").toLocalIterator()]
+    ids[points] = FIRST + np.arange(len(points))
+    return ids
+
+
+def grams(text: str, ids: np.ndarray) -> np.ndarray:
+    """The key of the n-gram that ends at each character and at the end. ids: what alphabet() returns."""
+    x = ids[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.int64)
     x = np.concatenate([np.full(ORDER - 1, BEGIN), x, [END]])
     key = np.zeros(len(x) - ORDER + 1, dtype=np.int64)
     for k in range(ORDER):
@@ -43,8 +66,9 @@ def grams(text: str) -> np.ndarray:
     return key
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
+def gram_counts(texts: DataFrame, ids: np.ndarray) -> DataFrame:
     """key, c over all rows of texts: text. A task sums up each chunk before it sends anything."""
+    sent = texts.sparkSession.sparkContext.broadcast(ids)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -59,7 +83,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
             for t in b.column(0):
                 if t.is_valid and (text := t.as_py()):
                     for at in range(0, len(text), CHUNK):  # a very long text goes in pieces that overlap
-                        g = grams(text[max(0, at - ORDER + 1) : at + CHUNK])
+                        g = grams(text[max(0, at - ORDER + 1) : at + CHUNK], sent.value)
                         g = g[ORDER - 1 if at else 0 : None if at + CHUNK >= len(text) else -1]
                         held.append(g)
                         size += len(g)
@@ -81,9 +105,9 @@ def _discounts(n: list[int]) -> list[float]:
     return [min(max(k + 1 - (k + 2) * y * n[k + 1] / n[k], 0.05), k + 1 - 0.05) if n[k] else (k + 1) / 2 for k in range(3)]
 
 
-def model(texts: DataFrame) -> DataFrame:
+def model(texts: DataFrame, ids: np.ndarray) -> DataFrame:
     """n, key, c, total, step of each n-gram of texts, for n of 1 to ORDER. n = 1, key = 0: an unseen character; n = 0: what a text has from its begin."""
-    orders = {ORDER: cut(gram_counts(texts))}
+    orders = {ORDER: cut(gram_counts(texts, ids))}
     for n in range(ORDER - 1, 0, -1):
         orders[n] = cut(orders[n + 1].groupBy(F.col("key").bitwiseAND((1 << BITS * n) - 1).alias("key")).agg(F.count("*").alias("c")))
     of, below, begin = {}, None, 0.0
@@ -155,7 +179,7 @@ class Head:
         return {"keys": self.keys, "totals": self.totals}
 
 
-def scored(docs: DataFrame, of: DataFrame, head_rows: int = HEAD) -> DataFrame:
+def scored(docs: DataFrame, of: DataFrame, ids: np.ndarray, head_rows: int = HEAD) -> DataFrame:
     """docs' columns but text, with n (characters and the end) and nats (their negative log-probability by the model of).
 
     of: what model() returns. The head_rows most frequent n-grams are broadcast; where the model has more,
@@ -176,6 +200,7 @@ def scored(docs: DataFrame, of: DataFrame, head_rows: int = HEAD) -> DataFrame:
         least = least or 1001
     in_head = (F.col("c") >= least) | (F.col("n") <= 1)
     head = of.where(in_head).select((_tag(F.col("n")) + F.col("key")).alias("k"), F.col("total").cast("float").alias("total")).toArrow()
+    letters = spark.sparkContext.broadcast(ids)
     sent = spark.sparkContext.broadcast(Head(head["k"].to_numpy(), head["total"].to_numpy()))
     begin = float(head["total"].to_numpy()[head["k"].to_numpy() == 0].sum())
     tails = total_rows > head.num_rows
@@ -189,7 +214,7 @@ def scored(docs: DataFrame, of: DataFrame, head_rows: int = HEAD) -> DataFrame:
             for t in b.column(b.schema.get_field_index("text")):
                 text, n, nats, tail = t.as_py() or "", 0, 0.0, []
                 for at in range(0, len(text), CHUNK):
-                    q = grams(text[max(0, at - ORDER + 1) : at + CHUNK])
+                    q = grams(text[max(0, at - ORDER + 1) : at + CHUNK], letters.value)
                     q = q[ORDER - 1 if at else 0 : None if at + CHUNK >= len(text) else -1]
                     n += len(q)
                     for order in range(ORDER, 0, -1):
@@ -257,9 +282,11 @@ def judged(docs: DataFrame, trusted: DataFrame, head_rows: int = HEAD) -> DataFr
     trusted = cut(trusted.select("key").distinct())
     rows = trusted.count()
     is_held = F.pmod(F.xxhash64("key", F.lit("held out")), F.lit(HELD_OUT)) == 0
-    good = docs.join(checked_broadcast(trusted, rows), "key", "left_semi")
-    of = cut(model(good.where(~is_held)))
-    scores = cut(scored(docs.select("key", "lang", "text"), of, head_rows).withColumn("loss", F.when(F.col("n") > 1, F.col("nats") / F.col("n"))))
+    good = cut(docs.join(checked_broadcast(trusted, rows), "key", "left_semi").where(~is_held).select("text"))
+    ids = alphabet(good)
+    of = cut(model(good, ids))
+    scores = cut(scored(docs.select("key", "lang", "text"), of, ids, head_rows).withColumn("loss", F.when(F.col("n") > 1, F.col("nats") / F.col("n"))))
+    forget(good)
     scores = scores.withColumn("class", length_class(F.col("n")))
     held = scores.where(is_held & F.col("loss").isNotNull()).join(checked_broadcast(trusted, rows), "key", "left_semi")
     # languages times five classes of lengths, each a few bytes
