@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -75,9 +76,11 @@ def test_a_large_group_is_split_and_stays_whole(spark, monkeypatch):
     assert {r.node for r in got} == set(range(len(fps))) and {r.component for r in got} == {0}
 
 
-def test_components_of_chains_and_loops(spark):
+@pytest.mark.parametrize("one_task", [None, 0])
+def test_components_of_chains_and_loops(spark, one_task):
+    """In one task, and by rounds."""
     chain = [(k, k + 1) for k in range(200)] + [(500, 501), (501, 500), (501, 501), (None, 3)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(chain, "u long, v long"), one_task=one_task).collect()}
     assert got == {**{k: 0 for k in range(201)}, 500: 500, 501: 500}
 
 
@@ -153,3 +156,12 @@ def test_rows_of_one_id_are_judged_by_their_texts(spark):
 def test_empty_table(spark):
     assert simhash.near_duplicates(docs(spark).where("false")).count() == 0
     assert keep_one(docs(spark).where(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("one_task", [None, 0])
+def test_components_of_a_hot_node(spark, one_task):
+    """A node with most of the links, beyond what makes it hot, and no links at all."""
+    links = [(7, 1000 + k) for k in range(1500)] + [(1000, 3), (9000, 9001)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long"), one_task=one_task).collect()}
+    assert got == {3: 3, 7: 3, **{1000 + k: 3 for k in range(1500)}, 9000: 9000, 9001: 9000}
+    assert components(spark.createDataFrame([], "u long, v long"), one_task=one_task).count() == 0
