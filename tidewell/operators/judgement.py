@@ -302,7 +302,7 @@ def manual_plan(d, account=100_000, risk=0.01):
     return f"SELECT event, symbol, CAST(floor({account * risk}e0 / nullif(price - stop, 0)) AS BIGINT) AS shares, {d.r(rr, 4)} AS reward_to_risk, {d.r(f'1 / (1 + {rr})', 4)} AS break_even FROM (SELECT event, symbol, price, price * 0.96e0 AS stop, price * 1.09e0 AS target FROM journal WHERE side = 'buy' AND price > 0) x"
 
 
-@relation("bars", "theses", covers="STR-07")
+@relation("bars", covers="STR-07 (rule)")
 def legacy_orders(d, enter=0.5, leave=0.0, slots=8):
     """Orders of the plain rule by day: what is held and scores below the limit goes; the best that score enough come in, up to so many a day. The score is the month's return times ten."""
     scored = f"SELECT symbol, day, close, 10 * (close / lag(close, 21) OVER ({W}) - 1) AS score FROM bars"

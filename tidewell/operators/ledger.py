@@ -146,9 +146,9 @@ def holding_days(d):
 
 @relation("journal", "priced", covers="AGG-13, STR-05, JOI-19")
 def scoreboard(d):
-    """Decisions by source: settled after ten rows, hits in their direction, mean return in their direction; the rest stay pending."""
+    """Decisions by source, the first of each symbol, day and source: settled after ten rows, hits in their direction, mean return in their direction; the rest stay pending."""
     r = "CASE WHEN side = 'buy' THEN 1 ELSE -1 END * (close_10 / asof_close - 1)"
-    return f"SELECT coalesce(mechanism, 'unlabelled') AS source, CAST(count(close_10) AS BIGINT) AS n, CAST(sum(CASE WHEN {r} > 0 THEN 1 ELSE 0 END) AS BIGINT) AS hits, {d.r(f'avg({r})')} AS mean, CAST(count(*) - count(close_10) AS BIGINT) AS pending FROM priced GROUP BY coalesce(mechanism, 'unlabelled')"
+    return f"SELECT coalesce(mechanism, 'unlabelled') AS source, CAST(count(close_10) AS BIGINT) AS n, CAST(sum(CASE WHEN {r} > 0 THEN 1 ELSE 0 END) AS BIGINT) AS hits, {d.r(f'avg({r})')} AS mean, CAST(count(*) - count(close_10) AS BIGINT) AS pending FROM (SELECT *, row_number() OVER (PARTITION BY symbol, day, coalesce(mechanism, 'unlabelled') ORDER BY event) AS k FROM priced) x WHERE k = 1 GROUP BY coalesce(mechanism, 'unlabelled')"
 
 
 @relation("journal", "bars", covers="AGG-22, AGG-44")

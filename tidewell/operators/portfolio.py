@@ -22,7 +22,16 @@ def covariance_matrix(returns: DataFrame) -> tuple[list[str], np.ndarray, np.nda
     for r in rows:
         cov[at[r["s"]], at[r["t"]]] = cov[at[r["t"]], at[r["s"]]] = r["c"] or 0.0
     mean = {r["symbol"]: r["m"] for r in returns.groupBy("symbol").agg(F.avg("r").alias("m")).collect()}
-    return names, np.array([mean[n] for n in names]), cov
+    return names, np.array([mean[n] for n in names]), definite(cov)
+
+
+def definite(cov: np.ndarray) -> np.ndarray:
+    """cov with what makes its variances negative in some direction taken out: pairs need not have the same days."""
+    if not len(cov):
+        return cov
+    values, vectors = np.linalg.eigh((cov + cov.T) / 2)
+    least = 1e-8 * max(values[-1], 1e-12)
+    return cov if values[0] >= least else (vectors * np.maximum(values, least)) @ vectors.T
 
 
 def to_simplex(v: np.ndarray) -> np.ndarray:

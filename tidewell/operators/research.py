@@ -84,6 +84,12 @@ def periods_per_year(d):
     return f"SELECT symbol, CAST(CASE WHEN {gap} >= 25 THEN 12 WHEN {gap} BETWEEN 5 AND 9 THEN 52 ELSE 252 END AS BIGINT) AS periods FROM (SELECT symbol, {d.days('day', 'lag(day) OVER (PARTITION BY symbol ORDER BY day)')} AS gap FROM bars) x GROUP BY symbol"
 
 
+@relation("periods_per_year", covers="PRJ-07")
+def period_risk_free(d, annual=0.04):
+    """The annual risk-free rate as a rate of each symbol's period."""
+    return f"SELECT symbol, periods, {d.r(f'power(1 + {annual}e0, 1e0 / periods) - 1', 9)} AS rate FROM periods_per_year"
+
+
 @relation("fundamentals", covers="AGG-21")
 def comparables(d):
     """Quantiles of positive multiples and, from two on, the value that their medians imply."""

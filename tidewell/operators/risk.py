@@ -157,7 +157,7 @@ def scenario_pnl(d, value=100000):
   FROM metrics m JOIN universe u ON u.symbol = m.symbol CROSS JOIN (SELECT industry AS hit, concat('crash_', industry) AS scenario, -0.3e0 AS deep, -0.05e0 AS mild FROM (SELECT DISTINCT industry FROM universe) i) s) x GROUP BY scenario"""
 
 
-@relation("portfolio", covers="MOD-11 (replay), PRJ-07, PRJ-11")
+@relation("portfolio", covers="MOD-11 (replay), PRJ-11")
 def historical_replay(d):
     """The return from the first to the last value of each year; the first day's own return isn't part of it."""
     return f"SELECT year, {d.r('exp(sum(CASE WHEN k > 1 THEN ln(1 + r) END)) - 1')} AS ret, {d.r('min(nav)')} AS lowest FROM (SELECT {d.part('year', 'day')} AS year, r, row_number() OVER (PARTITION BY {d.part('year', 'day')} ORDER BY day) AS k, exp(sum(ln(1 + r)) OVER (PARTITION BY {d.part('year', 'day')} ORDER BY day)) AS nav FROM portfolio) x GROUP BY year"

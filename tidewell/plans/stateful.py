@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidewell import registry
 from tidewell.operators import portfolio
 from tidewell.plans.compose import run
-from tidewell.streaming import alerts, engine
+from tidewell.streaming import alerts, books, engine
 
 
 @registry.query("trading_replay")
 def trading_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-06, STR-07, STR-08, SRT-08: the engine's orders by account."""
+    """STR-06, SRT-08: the engine's orders by account."""
     return engine.replay(engine.scored_rounds(run(spark, sf_dir, "bars")))
 
 
@@ -43,8 +44,11 @@ def efficient_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query("ledoit_wolf")
 def ledoit_wolf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-31: covariance shrunk towards a multiple of the identity."""
-    return portfolio.shrinkage(run(spark, sf_dir, "returns"))
+    """AGG-31: covariance of monthly returns shrunk towards a multiple of the identity."""
+    month = F.trunc("day", "MONTH").alias("day")
+    last = run(spark, sf_dir, "bars").groupBy("symbol", month).agg(F.max_by("close", "day").alias("close"))
+    returns = last.withColumn("r", F.col("close") / F.lag("close").over(W.partitionBy("symbol").orderBy("day")) - 1)
+    return portfolio.shrinkage(returns.where("r is not null").select("symbol", "day", "r"))
 
 
 @registry.query("monte_carlo")
@@ -71,7 +75,7 @@ UNION ALL SELECT j.symbol, j.k, CASE WHEN side = 'buy' THEN held + qty WHEN qty
 SELECT symbol, round(max_by(held, k), 4) AS held, round(max_by(cost, k) / nullif(max_by(held, k), 0), 2) AS avg_cost, round(max_by(gain, k), 1) AS realized, max(rejected) AS rejected FROM r GROUP BY symbol""",
 )
 def average_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-39, STR-04: positions at average cost by an ordered fold over each symbol's trades; a sell beyond what is held is rejected."""
+    """WIN-39: positions at average cost by an ordered fold over each symbol's trades; a sell beyond what is held is rejected."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     rows = o.select((F.col("o_custkey") % 25).alias("symbol"), F.struct(F.col("o_orderkey").alias("event"), (F.col("o_orderstatus") == "F").alias("sell"), (1 + F.col("o_orderkey") % 20).cast("double").alias("qty"), (F.col("o_totalprice") / 100).alias("price")).alias("t"))
     fold = """aggregate(ts, named_struct('held', 0D, 'cost', 0D, 'gain', 0D, 'rejected', 0L), (a, t) -> named_struct(
@@ -106,3 +110,24 @@ def deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = run(spark, sf_dir, "momentum_confound").first()
     p = portfolio.deflated_sharpe(r["sharpe"], r["n"], r["skew"], r["kurt"], 20, 1 / r["n"] ** 0.5)
     return spark.createDataFrame([(r["n"], round(p, 6))], "n long, probability double")
+
+
+@registry.query("thesis_store")
+def thesis_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-04: the theses of each owner after their operations, here made up from orders."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    kinds = F.array(*[F.lit(k) for k in ("long", "short", "pillar", "risk", "catalyst", "target", "stop", "conviction", "note", "close")])
+    k = F.col("o_orderkey") % 10
+    word = F.when(k == 7, F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("none")), (F.col("o_orderkey") % 3 + 1).cast("int"))).otherwise(F.col("o_orderpriority"))
+    ops = o.select((F.col("o_custkey") % 200).alias("owner"), F.col("o_orderkey").alias("seq"), F.col("o_orderdate").cast("date").alias("day"), F.concat(F.lit("s"), F.col("o_custkey") % 37).alias("symbol"), F.element_at(kinds, (k + 1).cast("int")).alias("op"), word.alias("word"), (F.col("o_totalprice") / 1000).alias("value"))
+    return books.theses(ops)
+
+
+@registry.query("shadow_books")
+def shadow_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-08: paper books that follow the plain rule's orders, one a group of symbols, closing what is no longer quoted."""
+    bars = run(spark, sf_dir, "bars").select("symbol", "day", F.col("close").alias("price"))
+    orders = run(spark, sf_dir, "legacy_orders").select("symbol", "day", "side", "score")
+    joined = bars.join(orders, ["symbol", "day"], "left")
+    rounds = joined.select((F.pmod(F.hash("symbol"), F.lit(8))).cast("long").alias("book"), F.datediff("day", F.lit("1990-01-01").cast("date")).cast("long").alias("round"), "day", "symbol", "price", "side", F.when(F.col("side") == "buy", 50.0).otherwise(1e6).alias("qty"), (-F.col("score")).alias("place"))
+    return books.books(rounds)
