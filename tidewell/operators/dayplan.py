@@ -76,17 +76,19 @@ def intraday_metrics(d):
 
 def tickets(rows: str, account: float = 100_000.0, risk: float = 0.01) -> str:
     """SELECT of rows (with orb_high, orb_low, stop_m, rr) and their ticket: action, setup, confidence, zone, stop, target, shares."""
+    cents = lambda x: f"(floor(({x}) * 100 + 0.5000001e0) / 100e0)"  # noqa: E731  half a cent up, whatever an engine's last digit
     setup = "CASE WHEN last_ < vwap THEN NULL WHEN last_ > orb_high THEN 'orb' ELSE 'vwap' END"
     conf = f"(CASE bias WHEN 'bullish' THEN 2 ELSE 1 END + CASE WHEN rvol >= {RVOL_STRONG} THEN 1 ELSE 0 END + CASE WHEN gap >= 1 THEN 1 WHEN gap <= -1.5 THEN -1 ELSE 0 END + CASE setup WHEN 'orb' THEN 1 ELSE 0 END)"
-    low = "CASE setup WHEN 'orb' THEN last_ ELSE round(vwap, 2) END"
-    high = "CASE WHEN setup = 'orb' THEN round(last_ + 0.25e0 * atr, 2) WHEN round(least(last_, vwap + 0.3e0 * atr), 2) < lo THEN round(lo + 0.1e0 * atr, 2) ELSE round(least(last_, vwap + 0.3e0 * atr), 2) END"
-    stop = "CASE setup WHEN 'orb' THEN round(greatest(orb_low, last_ - stop_m * atr), 2) ELSE round(vwap - stop_m * atr, 2) END"
+    low = f"CASE setup WHEN 'orb' THEN last_ ELSE {cents('vwap')} END"
+    near = cents("least(last_, vwap + 0.3e0 * atr)")
+    high = f"CASE WHEN setup = 'orb' THEN {cents('last_ + 0.25e0 * atr')} WHEN {near} < lo THEN {cents('lo + 0.1e0 * atr')} ELSE {near} END"
+    stop = f"CASE setup WHEN 'orb' THEN {cents('greatest(orb_low, last_ - stop_m * atr)')} ELSE {cents('vwap - stop_m * atr')} END"
     shares = f"greatest(0, floor(least(round({account * risk}e0 / (atr * stop_m), 2), {account * risk}e0 / per_share, floor({account * MAX_NOTIONAL}e0 / mid))))"
     a = f"SELECT *, {setup} AS setup FROM ({rows}) t0 WHERE bias <> 'bearish' AND atr > 0 AND last_ > 0"
     b = f"SELECT *, {conf} AS conf, {low} AS lo, {stop} AS stop FROM ({a}) t1 WHERE setup IS NOT NULL"
     c = f"SELECT *, {high} AS hi FROM ({b}) t2 WHERE conf >= 2"
     e = f"SELECT *, (lo + hi) / 2 AS mid, (lo + hi) / 2 - stop AS per_share FROM ({c}) t3"
-    return f"""SELECT *, round(mid + rr * per_share, 2) AS target, CASE bias WHEN 'bullish' THEN 'buy' ELSE 'trial' END AS action, CAST({shares} AS BIGINT) AS shares, round(lo, 2) AS entry_lo, round(hi, 2) AS entry_hi FROM ({e}) t4 WHERE per_share > 0"""
+    return f"""SELECT *, {cents('mid + rr * per_share')} AS target, CASE bias WHEN 'bullish' THEN 'buy' ELSE 'trial' END AS action, CAST({shares} AS BIGINT) AS shares, {cents('lo')} AS entry_lo, {cents('hi')} AS entry_hi FROM ({e}) t4 WHERE per_share > 0"""
 
 
 @relation("plan_points", covers="MOD-23")
@@ -121,7 +123,8 @@ def plan_trades(d):
 
 @relation("plan_trades", covers="STR-14")
 def session_replay(d):
-    return f"SELECT symbol, session, setup, CAST(conf AS BIGINT) AS conf, filled, {d.r('fill', 4)} AS fill, {d.r('exit_', 4)} AS exit, kind, {d.r('r', 3)} AS r, r > 0 AS win FROM plan_trades"
+    at = lambda x, unit: f"floor({x} * {unit} + 0.5000001e0) / {unit}e0"
+    return f"SELECT symbol, session, setup, CAST(conf AS BIGINT) AS conf, filled, {at('fill', 10000)} AS fill, {at('exit_', 10000)} AS exit, kind, {at('r', 1000)} AS r, r > 0 AS win FROM plan_trades"
 
 
 def totals(d) -> str:

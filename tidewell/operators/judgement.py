@@ -76,9 +76,9 @@ def weather_parts(d):
 def weather(d):
     """The weighted components of each day; a missing one counts 50, and with fewer than three there is no score."""
     have = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c in WEATHER)
-    score = " + ".join(f"{w} * coalesce({c}, 50e0)" for c, w in WEATHER.items())
+    thousandths = " + ".join(f"{round(w * 100)} * CAST(round(coalesce({c}, 50e0) * 10) AS BIGINT)" for c, w in WEATHER.items())  # whole: parts have one decimal
     parts = ", ".join(WEATHER)
-    return f"SELECT day, {parts}, CASE WHEN {have} >= 3 THEN {d.r(score, 1)} END AS score FROM weather_parts"
+    return f"SELECT day, {parts}, CASE WHEN {have} >= 3 THEN {d.whole(f'{thousandths} + 50', '100')} / 10e0 END AS score FROM weather_parts"
 
 
 @relation("chain", "bars")
