@@ -148,6 +148,12 @@ def test_large_clusters_go_in_blocks(spark):
     assert {i: got.get(i, i) for i, _ in rows} == closure([i for i, _ in rows], pairs)
 
 
+def test_a_hot_group_of_copies_leaves_one(spark):
+    """More rows in one group than what makes it hot."""
+    rows = [(k, words(50, 1), "en", "a", 1) for k in range(1300)] + [(5000 + k, words(50, 2 + k % 7), "en", "a", 1) for k in range(40)]
+    assert sorted(r.doc_id for r in keep_one(docs(spark, rows)).collect()) == [0, *range(5000, 5007)]
+
+
 def test_rows_of_one_id_are_judged_by_their_texts(spark):
     rows = [(1, words(50, 1), "en", "a", 1), (1, words(50, 2), "en", "a", 1), (1, words(50, 2), "en", "a", 1), (2, words(50, 2), "en", "a", 1)]
     assert sorted(r.text for r in keep_one(docs(spark, rows)).collect()) == sorted([words(50, 1), words(50, 2)])
