@@ -6,6 +6,7 @@ from tidewell.llm.decontamination import op6_decontam, op6_sql
 from tidewell.llm.embed_dedup import OP4_SQL, op4_embed_dedup
 from tidewell.llm.line_dedup import op9_line_dedup, op9_sql
 from tidewell.llm.mixing import op7_mix, op7_sql
+from tidewell.llm.periodic_runs import op13_periodic_runs
 from tidewell.llm.pii import op1_pii
 from tidewell.llm.quality import op2_quality
 from tidewell.llm.secrets import op3_secrets
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_shard": op10_shard,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES = {"op4_embed_dedup": OP4_SQL, "op6_decontam": op6_sql(), "op7_mix": op7_sql(), "op9_line_dedup": op9_sql(), "op10_shard": op10_sql()}
