@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidewell.llm.decontamination import op6_decontam, op6_sql
+from tidewell.llm.edit_fingerprints import op12_fingerprints
 from tidewell.llm.embed_dedup import OP4_SQL, op4_embed_dedup
 from tidewell.llm.line_dedup import op9_line_dedup, op9_sql
 from tidewell.llm.mixing import op7_mix, op7_sql
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_shard": op10_shard,
+    "op12_fingerprints": op12_fingerprints,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
