@@ -14,6 +14,7 @@ from tidewell.llm.secrets import op3_secrets
 from tidewell.llm.sharding import op10_shard, op10_sql
 from tidewell.llm.simhash import op5_simhash
 from tidewell.llm.toxicity import op8_toxicity
+from tidewell.llm.whitening import op11_whiten
 
 QUERIES = {
     "op1_pii": op1_pii,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_shard": op10_shard,
+    "op11_whiten": op11_whiten,
     "op12_fingerprints": op12_fingerprints,
     "op13_periodic_runs": op13_periodic_runs,
 }
