@@ -105,11 +105,12 @@ def way_out(p: Position, px: float, score: float, today: str, tight: bool, rules
     return "", 0
 
 
-def play(a: Account, today: str, quotes: list[dict], regime: str | None, rules: Rules = Rules()) -> list[dict]:
-    """One round: quotes (symbol, score, price, unit) to orders; a is changed in place, orders fill at the price."""
+def play(a: Account, today: str, quotes: list[dict], regime: str | None, rules: Rules = Rules(), equity: float | None = None) -> list[dict]:
+    """One round: quotes (symbol, score, price, unit) to orders; a is changed in place, orders fill at the price. equity: as the caller marks it."""
     by = {q["symbol"]: q for q in quotes}
     price = lambda s: by[s]["price"] if s in by and by[s]["price"] else None
-    equity = a.cash + sum(p.qty * (price(s) or p.entry) for s, p in a.positions.items())
+    if equity is None:
+        equity = a.cash + sum(p.qty * (price(s) or p.entry) for s, p in a.positions.items())
     a.top = max(a.top, equity)
     if a.halted and today < a.halted:
         mode = "halted"
