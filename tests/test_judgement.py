@@ -181,27 +181,6 @@ def test_momentum_confound_equals_least_squares(spark):
     assert got.survived == (a2 > 0 and t2 > 1)
 
 
-def test_market_calendar(spark):
-    days = [date(2020, 1, 1) + timedelta(days=k) for k in range(366 * 6)]
-    got = {r.day: r.status for r in apply(spark, "open_days", {"bench_close": spark.createDataFrame([(x, 1.0) for x in days], "day date, close double")}).collect()}
-
-    def nth(y, m, k, weekday):
-        first = date(y, m, 1)
-        return first + timedelta(days=(weekday - first.weekday()) % 7 + 7 * (k - 1))
-
-    def observed(x):
-        return x - timedelta(days=1) if x.weekday() == 5 else x + timedelta(days=1) if x.weekday() == 6 else x
-
-    closed = set()
-    for y in range(2020, 2027):
-        may = date(y, 5, 31) - timedelta(days=date(y, 5, 31).weekday())
-        thanks = nth(y, 11, 4, 3)
-        closed |= {observed(date(y, 1, 1)), nth(y, 1, 3, 0), nth(y, 2, 3, 0), may - timedelta(days=2), may, observed(date(y, 6, 19)), observed(date(y, 7, 4)), nth(y, 9, 1, 0), thanks, thanks + timedelta(days=1), observed(date(y, 12, 25))}
-    closed = {x for x in closed if x.month != 12 or x.day < 31}  # a year knows its own holidays only
-    for x in days:
-        assert got[x] == ("weekend" if x.weekday() >= 5 else "holiday" if x in closed else "open"), x
-
-
 def test_kupiec_and_brackets(spark):
     p = spark.createDataFrame([(date(2024, 1, 1) + timedelta(days=k), -0.05 if k % 12 == 0 else 0.01) for k in range(240)], "day date, r double")
     v = p.selectExpr("day", "-0.02D as var_")

@@ -82,6 +82,31 @@ def test_plain_rule_equals_a_loop():
         assert [(o["symbol"], o["side"], o["qty"]) for o in paper.plain(quotes, held, equity, cash, lim)] == want
 
 
+def test_budgeted_orders_of_many_rounds_equal_the_rule(spark):
+    """The fold over tables against the rule, round by round."""
+    from tidewell.operators import budget
+
+    rng, lim, scored, held, accounts, want = random.Random(11), paper.Limits(slots=4), [], [], [], []
+    for r in range(120):
+        account, equity, cash = f"a{r % 3}", rng.choice([0.0, 10_000.0, 100_000.0]), rng.choice([500.0, 20_000.0])
+        quotes = {s: {"symbol": s, "price": rng.choice([0.0, None, 5.0, 40.0, 333.0]), "score": rng.choice([-0.9, -0.2, 0.1, 0.5, 0.6, 0.9, None]), "unit": rng.choice([None, 0.0, 1.0, 12.5]), "barred": rng.choice([None, False, False, True]), "scale": rng.choice([None, 0.0, 0.4, 2.0, -1.0, float("nan")])} for s in rng.sample("ABCDEFGHIJ", rng.randint(1, 10))}
+        book = {s: rng.choice([0.0, 3.0, 20.0]) for s in rng.sample("ABCDEFGHIJ", rng.randint(0, 5))}
+        scored += [(account, r, s, q["score"], q["price"], q["unit"], q["barred"], q["scale"]) for s, q in quotes.items()]
+        held += [(account, r, s, q) for s, q in book.items()]
+        accounts.append((account, r, equity, cash))
+        want += [(account, r, o["symbol"], o["side"], o["qty"]) for o in paper.plain(quotes, book, equity, cash, lim)]
+    got = budget.orders(
+        spark.createDataFrame(scored, "account string, round int, symbol string, score double, price double, unit double, barred boolean, scale double"),
+        spark.createDataFrame(held, "account string, round int, symbol string, qty double"),
+        spark.createDataFrame(accounts, "account string, round int, equity double, cash double"), lim,
+    ).collect()
+    assert sorted((r.account, r.round, r.symbol, r.side, r.qty) for r in got) == sorted(want) and len(want) > 50
+    places = {}
+    for r in sorted((r for r in got if r.side == "buy"), key=lambda r: (r.account, r.round, r.place)):
+        places.setdefault((r.account, r.round), []).append(r.place)
+    assert all(p == list(range(len(p))) for p in places.values())
+
+
 def book_rows():
     rng, rows = random.Random(3), []
     for book in "XYZ":

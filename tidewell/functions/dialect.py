@@ -82,6 +82,33 @@ class Spark:
         t = f"(1 / (1 + 0.3275911e0 * ({x})))"
         return f"({t} * (0.254829592e0 + {t} * (-0.284496736e0 + {t} * (1.421413741e0 + {t} * (-1.453152027e0 + {t} * 1.061405429e0)))) * exp(-({x}) * ({x})))"
 
+    def normal_cdf(self, x: str) -> str:
+        """The share of a standard normal below x, to 1e-7."""
+        half = self.erfc(f"abs({x}) / sqrt(2e0)") + " / 2"
+        return f"CASE WHEN {x} >= 0 THEN 1 - {half} ELSE {half} END"
+
+    def normal_inv(self, p: str) -> str:
+        """The x below which a standard normal has the share p, to 1e-8 of x (a published rational approximation with fixed coefficients); null outside of (0, 1)."""
+        a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+        b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+        c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+        e = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+
+        def poly(k: tuple[float, ...], x: str) -> str:
+            return f"{k[0]:.15e}" if len(k) == 1 else f"({poly(k[:-1], x)} * {x} + {k[-1]:.15e})"
+
+        def tail(p: str) -> str:
+            q = f"sqrt(-2 * ln({p}))"
+            return f"{poly(c, q)} / {poly(e, q)}"
+
+        middle = f"(({p}) - 0.5e0)"
+        square = f"({middle} * {middle})"
+        return f"CASE WHEN {p} <= 0 OR {p} >= 1 THEN NULL WHEN {p} < 0.02425e0 THEN {tail(f'({p})')} WHEN {p} > 0.97575e0 THEN -{tail(f'(1 - ({p}))')} ELSE {poly(a, square)} * {middle} / {poly(b, square)} END"
+
+    def digest(self, text: str) -> str:
+        """A whole number of 48 bits that is mixed from text, the same in every engine."""
+        return f"CAST(conv(substr(md5({text}), 1, 12), 16, 10) AS BIGINT)"
+
     def g1(self, x: str) -> str:
         """Skewness as pandas has it."""
         return f"skewness({x}) * sqrt(CAST(count({x}) AS DOUBLE) * (count({x}) - 1)) / nullif(count({x}) - 2, 0)"
@@ -149,6 +176,9 @@ class Duck(Spark):
     def split(self, x: str, by: str, k: int) -> str:
         return f"string_split({x}, '{by}')[{k}]"
 
+    def digest(self, text: str) -> str:
+        return f"CAST('0x' || substr(md5({text}), 1, 12) AS BIGINT)"
+
     def g1(self, x: str) -> str:
         return f"skewness({x})"
 

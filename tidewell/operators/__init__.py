@@ -1,6 +1,6 @@
 """Operators by subject; importing this registers all of them."""
 
 from tidewell.sources import relations  # isort: skip  the operators need these
-from tidewell.operators import backtest, dayplan, flows, indicators, judgement, ledger, misc, research, risk
+from tidewell.operators import backtest, calendar, dayplan, drift, flows, indicators, judgement, ledger, misc, research, risk
 
-__all__ = ["backtest", "dayplan", "flows", "indicators", "judgement", "ledger", "misc", "relations", "research", "risk"]
+__all__ = ["backtest", "calendar", "dayplan", "drift", "flows", "indicators", "judgement", "ledger", "misc", "relations", "research", "risk"]

@@ -89,11 +89,16 @@ def health(d):
     return f"SELECT symbol, day, CAST(count(*) AS BIGINT) AS runs, {d.r('max(value)', 4)} AS longest, max(gap) AS most_gap FROM (SELECT event_type AS symbol, CAST(ts AS DATE) AS day, value, {gap} AS gap FROM events) x GROUP BY symbol, day"
 
 
-@relation("events", covers="SRC-08, STR-15")
-def latest_prices(d):
-    """The last value by type within ten minutes of the newest event; older ones are stale."""
-    ten = "INTERVAL '10' MINUTE"
-    return f"SELECT event_type AS symbol, max_by(value, event_id) AS price, CAST(count(*) AS BIGINT) AS n FROM events CROSS JOIN (SELECT max(ts) AS now_ FROM events) m WHERE ts >= now_ - {ten} * 60 GROUP BY event_type"
+def _latest_by_hand() -> str:
+    return """SELECT event_type AS symbol, max(ts) AS ts, arg_max(value, event_id) FILTER (ts = newest) AS price FROM (SELECT *, max(ts) OVER (PARTITION BY event_type) AS newest, max(ts) OVER () AS now_ FROM events) e
+WHERE epoch_us(now_) - epoch_us(newest) <= 600000000 GROUP BY event_type"""
+
+
+@relation("events", covers="SRC-08, STR-15", oracle=_latest_by_hand)
+def latest_prices(d, minutes=10):
+    """Each symbol's newest trade, if it isn't more than so many minutes older than the newest of all: a symbol whose last trade is stale has no price. Of trades at one moment the last counts."""
+    last = "SELECT event_type AS symbol, ts, value AS price, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE value IS NOT NULL AND ts IS NOT NULL"
+    return f"SELECT symbol, ts, price FROM ({last}) x CROSS JOIN (SELECT max(ts) AS now_ FROM events) m WHERE k = 1 AND ts >= now_ - INTERVAL '{minutes}' MINUTE"
 
 
 @relation("events", covers="FIL-02, STR-02")

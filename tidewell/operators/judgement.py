@@ -244,20 +244,6 @@ def scorecard(d, base=600, odds=20, pdo=50):
     return f"SELECT c_custkey AS id, {d.r(f'{base} + {pdo} / ln(2e0) * (ln({odds}e0) - ln((1 - {p}) / {p}))', 4)} AS points FROM customer"
 
 
-@relation("bench_close", covers="FIL-12")
-def open_days(d):
-    """Whether the market is open: weekends, and holidays by rule; those with a fixed date move to the nearest weekday."""
-    year = d.part("year", "day")
-    of = lambda y, month, n: f"make_date(CAST({y} AS INT), {month}, {n})"
-    sunday = lambda x: d.days(d.sunday(x), x)  # noqa: E731  days to the Sunday of the week: Monday 6, Saturday 1, Sunday 0
-    nth = lambda month, n, monday: f"{d.plus(of(year, month, 1), f'({sunday(of(year, month, 1))} + {monday}) % 7 + {7 * (n - 1)}')}"  # noqa: E731  monday: 1 for Monday, 4 for Thursday
-    memorial = d.plus(of(year, 5, 31), f"-(6 - {sunday(of(year, 5, 31))})")
-    observed = lambda x: f"CASE {sunday(x)} WHEN 1 THEN {d.plus(x, -1)} WHEN 0 THEN {d.plus(x, 1)} ELSE {x} END"
-    thanks = nth(11, 4, 4)
-    days = [observed(of(year, 1, 1)), nth(1, 3, 1), nth(2, 3, 1), d.plus(memorial, -2), memorial, observed(of(year, 6, 19)), observed(of(year, 7, 4)), nth(9, 1, 1), thanks, d.plus(thanks, 1), observed(of(year, 12, 25))]
-    return f"SELECT day, CASE WHEN {sunday('day')} <= 1 THEN 'weekend' WHEN day IN ({', '.join(days)}) THEN 'holiday' ELSE 'open' END AS status FROM bench_close"
-
-
 @relation("journal", "bars")
 def theses(d):
     """symbol, direction, status, updated, stop, target: one thesis a symbol, from its first trade and its last."""

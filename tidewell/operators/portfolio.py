@@ -231,12 +231,3 @@ def xirr_by_symbol(flows: DataFrame) -> DataFrame:
 
     summed = flows.groupBy("symbol", "day").agg(F.sum("amount").alias("amount"))
     return summed.groupBy("symbol").applyInPandas(lambda key, pdf: one(pdf).assign(symbol=key[0])[["symbol", "rate"]], "symbol string, rate double")
-
-
-def deflated_sharpe(sharpe: float, n: int, skew: float, kurt: float, trials: int, spread: float) -> float:
-    """The probability that a Sharpe ratio beats the best of so many trials by chance."""
-    from statistics import NormalDist
-
-    z, gamma = NormalDist().inv_cdf, 0.5772156649015329
-    best = spread * ((1 - gamma) * z(1 - 1 / max(trials, 2)) + gamma * z(1 - 1 / (max(trials, 2) * np.e)))
-    return NormalDist().cdf((sharpe - best) * np.sqrt(n - 1) / np.sqrt(max(1e-12, 1 - skew * sharpe + (kurt - 1) / 4 * sharpe**2)))

@@ -117,15 +117,6 @@ def relative_rows(d):
     return "SELECT v, CAST(row_number() OVER (ORDER BY day) - 1 AS BIGINT) AS i, CAST(count(*) OVER () AS BIGINT) AS n, avg(v) OVER () AS m FROM (SELECT day, ln(b / lag(b) OVER (ORDER BY day)) - ln(m / lag(m) OVER (ORDER BY day)) AS v FROM aligned) q WHERE v IS NOT NULL"
 
 
-@relation("relative_rows", covers="MOD-12")
-def block_bootstrap(d, draws=200, block=21, seed=7):
-    """The share of circular block resamples of the demeaned relative returns whose mean is at least the observed one. Starts come from a linear congruence, so every engine draws the same."""
-    start = f"((b * 7919 + k * 104729 + {seed} * 1299709) * 48271 % 2147483647) % n"
-    rows = f"SELECT b, ({start} + o) % n AS i FROM (SELECT DISTINCT n FROM relative_rows) s CROSS JOIN {d.series(1, draws, 'b')} r CROSS JOIN {d.series(0, 200, 'k')} c CROSS JOIN {d.series(0, block - 1, 'o')} f WHERE k * {block} + o < n"
-    means = f"SELECT b, max(x.n) AS n, max(x.m) AS obs, avg(x.v - x.m) AS mean FROM ({rows}) p JOIN relative_rows x ON x.i = p.i GROUP BY b"
-    return f"SELECT n, {d.r('obs', 9)} AS observed, {d.r(f'greatest(avg(CASE WHEN mean >= obs THEN 1e0 ELSE 0e0 END), 1e0 / {draws})', 4)} AS p FROM ({means}) y GROUP BY n, obs"
-
-
 @relation("block_bootstrap", "date_robustness", "late_entry", "cost_survival", "event_car", "regime_split", "momentum_confound", "excess", covers="MOD-16")
 def thesis_tests(d, least=252):
     """All tests of one thesis as rows: observations, the figure that decides, and whether it survived (null: too few to tell; least is for the tests on daily returns)."""

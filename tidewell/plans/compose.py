@@ -31,15 +31,18 @@ class Relation:
 RELATIONS: dict[str, Relation] = {}
 
 
-def relation(*needs: str, covers: str = ""):
-    """Register a function(dialect, **parameters) -> SELECT under its own name. covers: operators it provides; it then is a query too."""
+def relation(*needs: str, covers: str = "", oracle: Callable[[], str] | None = None):
+    """Register a function(dialect, **parameters) -> SELECT under its own name. covers: operators it provides; it then is a query too.
+
+    oracle: SQL of its own for DuckDB, where the operator's text shouldn't be the one to hold it against.
+    """
 
     def put(f: Callable[..., str]) -> Callable[..., str]:
         if f.__name__ in RELATIONS or f.__name__ in TABLES:
             raise ValueError(f"{f.__name__} is registered twice")
         RELATIONS[f.__name__] = Relation(f.__name__, f, needs, covers)
         if covers:
-            registry.query(f.__name__, lambda: compose(f.__name__, DUCK))(lambda spark, sf_dir, name=f.__name__: run(spark, sf_dir, name))
+            registry.query(f.__name__, oracle or (lambda: compose(f.__name__, DUCK)))(lambda spark, sf_dir, name=f.__name__: run(spark, sf_dir, name))
         return f
 
     return put
@@ -64,6 +67,11 @@ def compose(name: str, dialect: Spark, given: dict[str, str] | None = None, **pa
     return f"WITH {', '.join(parts)} {body}" if parts else body
 
 
+def source(*names: str) -> str:
+    """The start of a hand-written oracle: these relations as common table expressions of DuckDB, after which others may follow."""
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({compose(n, DUCK)})" for n in names)
+
+
 def views(spark: SparkSession, sf_dir: str, tables: list[str]) -> None:
     for t in tables:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)

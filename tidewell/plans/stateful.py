@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewell import registry
-from tidewell.operators import portfolio
-from tidewell.plans.compose import run
-from tidewell.streaming import alerts, books, engine
+from tidewell.operators import budget, portfolio
+from tidewell.plans.compose import DUCK, compose, run
+from tidewell.streaming import alerts, books, engine, judgements, keyed, paper
 
 
 @registry.query("trading_replay")
@@ -104,14 +104,6 @@ def regime_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.groupBy().agg(F.sort_array(F.collect_list(F.struct("day", "score"))).alias("d")).select(F.inline(F.expr(step)))
 
 
-@registry.query("deflated_sharpe")
-def deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MOD-15: the probability that the basket's relative Sharpe ratio beats the best of 20 trials by chance."""
-    r = run(spark, sf_dir, "momentum_confound").first()
-    p = portfolio.deflated_sharpe(r["sharpe"], r["n"], r["skew"], r["kurt"], 20, 1 / r["n"] ** 0.5)
-    return spark.createDataFrame([(r["n"], round(p, 6))], "n long, probability double")
-
-
 @registry.query("thesis_store")
 def thesis_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-04: the theses of each owner after their operations, here made up from orders."""
@@ -123,11 +115,94 @@ def thesis_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.theses(ops)
 
 
+def _account(symbol: str) -> str:
+    """Which of five accounts a brand belongs to, in either engine's SQL."""
+    return f"concat('A', CAST(CAST(right({symbol}, 1) AS INT) % 5 AS STRING))"
+
+
+def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """book, ts, kind, symbol, price, score, unit, barred, scale, qty, regime: each bar as a quote of its brand's book, scored by the month's return."""
+    rows = engine.scored_rounds(run(spark, sf_dir, "bars"))
+    return rows.select(
+        F.expr(_account("symbol")).alias("book"), F.col("day").cast("timestamp").alias("ts"), F.lit("quote").alias("kind"), "symbol", "price", "score", "unit",
+        (F.dayofmonth("day") == 13).alias("barred"), F.when(F.dayofmonth("day") > 20, 0.5).alias("scale"), F.lit(None).cast("double").alias("qty"), "regime",
+    )
+
+
+def _newest(rows: DataFrame) -> int:
+    """The latest moment of a table, in microseconds."""
+    return rows.agg(F.max(F.unix_micros("ts"))).first()[0] or 0
+
+
 @registry.query("shadow_books")
 def shadow_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-08: paper books that follow the plain rule's orders, one a group of symbols, closing what is no longer quoted."""
-    bars = run(spark, sf_dir, "bars").select("symbol", "day", F.col("close").alias("price"))
-    orders = run(spark, sf_dir, "legacy_orders").select("symbol", "day", "side", "score")
-    joined = bars.join(orders, ["symbol", "day"], "left")
-    rounds = joined.select((F.pmod(F.hash("symbol"), F.lit(8))).cast("long").alias("book"), F.datediff("day", F.lit("1990-01-01").cast("date")).cast("long").alias("round"), "day", "symbol", "price", "side", F.when(F.col("side") == "buy", 50.0).otherwise(1e6).alias("qty"), (-F.col("score")).alias("place"))
-    return books.books(rounds)
+    """STR-08: the same quotes run by the plain rule and by the layered engine: a round's cash, equity and orders of each book and rule."""
+    rows = quotes(spark, sf_dir)
+    upto = _newest(rows)
+    books_ = [keyed.replay(rows, ["book"], paper.PaperBook(rule), upto) for rule in ("plain", "engine")]
+    return books_[0].unionByName(books_[1]).select("book", "rule", "day", "cash", "equity", "positions", "forced", F.to_json("orders").alias("orders"))
+
+
+@registry.query("mirror_books")
+def mirror_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-08: books that begin with what a person holds, here each brand's first two buys, and are run by the engine from there."""
+    rows = quotes(spark, sf_dir)
+    began = rows.groupBy("book").agg(F.min("ts").alias("ts"))
+    rank = F.row_number().over(W.partitionBy("symbol").orderBy("day", "event"))
+    buys = run(spark, sf_dir, "journal").where("side = 'buy' and price > 0").withColumn("k", rank).where("k <= 2")
+    none = {c: F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns}
+    held = buys.withColumn("book", F.expr(_account("symbol"))).join(began, "book").select(*[{"book": F.col("book"), "ts": F.col("ts"), "kind": F.lit("holding").alias("kind"), "symbol": F.col("symbol"), "price": F.col("price"), "qty": F.col("qty").cast("double").alias("qty")}.get(c, none[c]) for c in rows.columns])
+    cash = began.select(*[{"book": F.col("book"), "ts": F.col("ts"), "kind": F.lit("cash").alias("kind"), "price": F.lit(25_000.0).alias("price")}.get(c, none[c]) for c in rows.columns])
+    out = keyed.replay(rows.unionByName(held).unionByName(cash), ["book"], paper.PaperBook("engine"), _newest(rows))
+    return out.select("book", "day", "cash", "equity", "positions", "forced", F.to_json("orders").alias("orders"))
+
+
+@registry.query("rearmed_triggers")
+def rearmed_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-03: the levels of theses that fire over all prices, armed again by each edit; edits are made up from orders, four owners."""
+    o = run(spark, sf_dir, "journal").where("price is not null")
+    kinds = F.array(*[F.lit(k) for k in ("long", "stop", "target", "short", "stop", "target", "close", "long", "note")])
+    near = F.when(F.col("event") % 2 == 0, F.col("price") * 0.9).otherwise(F.col("price") * 1.15)
+    edits = o.select(F.concat(F.lit("o"), F.col("event") % 4).alias("owner"), F.col("day").cast("timestamp").alias("ts"), "symbol", F.element_at(kinds, (F.col("event") % 9 + 1).cast("int")).alias("op"), F.col("event").cast("long").alias("seq"), F.col("mechanism").alias("word"), F.round(near, 2).alias("value"))
+    watched = edits.select("owner", "symbol").distinct()
+    # a day's prices come after its edits: they have no place among them
+    prices = run(spark, sf_dir, "bars").join(watched, "symbol").select("owner", (F.col("day").cast("timestamp") + F.expr("INTERVAL 16 HOURS")).alias("ts"), "symbol", F.lit("price").alias("op"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("word"), F.col("close").alias("value"))
+    out = keyed.replay(edits.unionByName(prices), ["owner", "symbol"], judgements.Triggers())
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@registry.query("pick_outcomes")
+def pick_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-05: picks made up from orders, settled by the bars of their symbols after their horizon, dropped where no price came, crowded out where there are too many."""
+    o = run(spark, sf_dir, "journal").where("price is not null")
+    source = F.when(F.col("event") % 3 == 0, "committee").when(F.col("event") % 3 == 1, "day_plan").otherwise("quant")
+    name = F.when(F.col("event") % 29 == 0, F.concat(F.lit("gone "), "symbol")).otherwise(F.col("symbol"))
+    picks = o.select(F.concat(F.lit("o"), F.col("event") % 5).alias("owner"), F.col("day").cast("timestamp").alias("ts"), F.lit("pick").alias("op"), name.alias("symbol"), ((F.col("event") % 21 - 10) / 10).alias("score"), "price", source.alias("source"), F.when(F.col("event") % 3 == 1, 1).cast("int").alias("horizon"))
+    watched = picks.select("owner", "symbol").distinct()
+    prices = run(spark, sf_dir, "bars").join(watched, "symbol").select("owner", F.col("day").cast("timestamp").alias("ts"), F.lit("price").alias("op"), "symbol", F.lit(None).cast("double").alias("score"), F.col("close").alias("price"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("horizon"))
+    rows = picks.unionByName(prices)
+    return keyed.replay(rows, ["owner"], judgements.Picks(), _newest(rows))
+
+
+@registry.query(
+    "budgeted_orders",
+    lambda: f"""WITH RECURSIVE bars AS ({compose("bars", DUCK)}),
+b AS (SELECT symbol, day, close, lag(close, 20) OVER w AS before FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY day)),
+s AS (SELECT 'A' || CAST(CAST(right(symbol, 1) AS INT) % 5 AS VARCHAR) AS account, day, symbol, close AS price, round(greatest(-1e0, least(1e0, (close / before - 1) * 12)), 6) AS score, round(close * 0.03e0, 6) AS unit,
+  day(day) = 13 AS barred, CASE WHEN day(day) > 20 THEN 0.5e0 ELSE 1e0 END AS scale FROM b WHERE before IS NOT NULL),
+h AS (SELECT *, CASE WHEN lag(score, 5) OVER (PARTITION BY symbol ORDER BY day) >= 0.5 THEN 10e0 + day(day) % 7 END AS held FROM s),
+f AS (SELECT account, day, count(*) FILTER (held IS NOT NULL AND score > -0.2) AS stay FROM h GROUP BY account, day),
+c AS (SELECT *, row_number() OVER (PARTITION BY account, day ORDER BY score DESC, symbol) AS k FROM h WHERE (held IS NULL OR score <= -0.2) AND NOT barred AND score >= 0.5),
+r AS (SELECT account, day, CAST(0 AS BIGINT) AS k, 15000e0 + 1000 * (dayofyear(day) % 20) AS cash, 3 - stay AS room, CAST(NULL AS VARCHAR) AS symbol, CAST(0 AS BIGINT) AS qty, CAST(-1 AS BIGINT) AS place FROM f
+  UNION ALL SELECT account, day, k, cash - q * price, room - CASE WHEN q >= 1 THEN 1 ELSE 0 END, sym, q, place + CASE WHEN q >= 1 THEN 1 ELSE 0 END
+  FROM (SELECT r.account, r.day, c.k, r.cash, r.room, r.place, c.symbol AS sym, c.price, CASE WHEN r.room > 0 THEN CAST(floor(least(1000e0 / c.unit, 15000e0 / c.price, r.cash / c.price) * c.scale) AS BIGINT) ELSE 0 END AS q FROM r JOIN c ON c.account = r.account AND c.day = r.day AND c.k = r.k + 1) z)
+SELECT account, day, CAST(place AS INT) AS place, symbol, 'buy' AS side, CAST(qty AS DOUBLE) AS qty FROM r WHERE qty >= 1
+UNION ALL SELECT account, day, NULL, symbol, 'sell', held FROM h WHERE held IS NOT NULL AND score <= -0.2""",
+)
+def budgeted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-07: the plain rule's orders with slots, cap and buying power, for each account and day; what was strong five bars ago is held."""
+    q = quotes(spark, sf_dir)
+    scored = q.select(F.col("book").alias("account"), F.col("ts").cast("date").alias("round"), "symbol", "score", "price", "unit", "barred", "scale")
+    held = scored.withColumn("before", F.lag("score", 5).over(W.partitionBy("symbol").orderBy("round"))).where("before >= 0.5").select("account", "round", "symbol", (10.0 + F.dayofmonth("round") % 7).alias("qty"))
+    accounts = scored.select("account", "round").distinct().select("account", "round", F.lit(100_000.0).alias("equity"), (15_000.0 + 1000 * (F.dayofyear("round") % 20)).alias("cash"))
+    return budget.orders(scored, held, accounts, paper.Limits(slots=3)).withColumnRenamed("round", "day")
