@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from tidewell import registry
 from tidewell.operators import budget, portfolio
+from tidewell.plans import texts  # noqa: F401  its queries register themselves
 from tidewell.plans.compose import DUCK, compose, run
 from tidewell.streaming import alerts, books, engine, judgements, keyed, paper
 
