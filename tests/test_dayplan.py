@@ -30,6 +30,7 @@ def market(spark):
             rows.append((r.symbol, r.day, k + 1, px[k], max(px[k : k + 2]) * (1 + wide[0]), min(px[k : k + 2]) * (1 - wide[1]), px[k + 1], float(rng.integers(0, 120))))
     intra = pd.DataFrame(rows, columns=["symbol", "session", "k", "open", "high", "low", "close", "volume"])
     intra["k"] = intra["k"].astype("int64")
+    intra["minute"], intra["step"] = (intra["k"] - 1) * 30.0, 30.0
     return daily, intra, {"bars": spark.createDataFrame(daily), "bars_intra": spark.createDataFrame(intra)}
 
 
@@ -162,3 +163,71 @@ def test_stats_calibration_and_search_equal_a_loop(spark, market):
         assert r.best == ((r.orb_minutes, r.stop_atr, r.target_rr) == best)
         if r.recommended:
             assert r.best and p[2][1] >= 5 and p[2][3] >= parts[30, 1.5, 2.0][2][3] + 0.05
+
+
+def test_bars_of_any_length_give_one_opening_range(spark, market):
+    """The same market in bars of 5 and of 30 minutes, over the days on which clocks change, from moments of UTC."""
+    from datetime import datetime, timedelta
+    from zoneinfo import ZoneInfo
+
+    zone, utc, rng = ZoneInfo("America/New_York"), ZoneInfo("UTC"), np.random.default_rng(12)
+    days = [datetime(2024, m, d) for m, d in ((3, 8), (3, 11), (7, 1), (11, 1), (11, 4))]
+    fine, coarse = [], []
+    for day in days:
+        px = 100 * np.exp(np.cumsum(rng.normal(0, 0.004, 391)))
+        for step, out in ((5, fine), (30, coarse)):
+            for k in range(0, 390, step):
+                ts = (day + timedelta(minutes=570 + k)).replace(tzinfo=zone).astimezone(utc).replace(tzinfo=None)
+                part = px[k : k + step + 1]
+                out.append(("A", ts, float(part[0]), float(part.max()), float(part.min()), float(part[-1]), float(step)))
+    assert [min(r[1].hour for r in fine if r[1].date() == d.date()) for d in days] == [14, 13, 13, 13, 14]  # the opening in UTC
+    schema = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
+    known = spark.createDataFrame([("A", d.date(), 78, 100.0, 2.0, 390.0, "bullish") for d in days], "symbol string, session date, n int, prev_close double, atr double, vol20 double, bias string")
+    seen = {}
+    for name, rows in (("fine", fine), ("coarse", coarse)):
+        intra = apply(spark, "bars_intra", {"bars_ts": spark.createDataFrame(rows[::-1], schema)})
+        step = 5 if name == "fine" else 30
+        got = intra.collect()
+        assert {r.session for r in got} == {d.date() for d in days} and {r.step for r in got} == {float(step)}
+        assert all(r.minute == (r.k - 1) * step for r in got)
+        points = apply(spark, "plan_points", {"bars_intra": intra, "sessions_known": known}).collect()
+        seen[name] = {(r.session, round(m)): r for r in points for m in [r.k * step]}
+    for day in days:
+        a, b = seen["fine"][day.date(), 390], seen["coarse"][day.date(), 390]
+        for m in (30,):
+            assert (a[f"orb_high_{m}"], a[f"orb_low_{m}"]) == (b[f"orb_high_{m}"], b[f"orb_low_{m}"])
+        assert a.orb_high_15 <= a.orb_high_30 <= a.orb_high_45 and a.rvol == pytest.approx(b.rvol) == pytest.approx(1.0)
+        assert seen["fine"][day.date(), 60].rvol == pytest.approx(1.0) and seen["coarse"][day.date(), 60].rvol == pytest.approx(1.0)
+    taipei = apply(spark, "bars_intra", {"bars_ts": spark.createDataFrame([("T", datetime(2024, 5, 2, 1), 1.0, 1.0, 1.0, 1.0, 1.0), ("T", datetime(2024, 5, 1, 23), 1.0, 1.0, 1.0, 1.0, 1.0)], schema)}, zone="Asia/Taipei").collect()
+    assert {r.session.isoformat() for r in taipei} == {"2024-05-02"} and [r.step for r in taipei] == [120.0, 120.0]
+
+
+def test_answers_of_tickets(spark):
+    """Each answer by hand: earnings, trend, data, price, calibration, confidence, stop."""
+    from datetime import date
+
+    day = date(2024, 5, 6)
+    row = lambda s, **x: {"symbol": s, "session": day, "k": 4, "n": 13, "last_": 101.0, "vwap": 100.0, "orb_high_30": 105.0, "orb_low_30": 99.0, "atr": 2.0, "bias": "bullish", "gap": 0.0, "rvol": 1.0} | x
+    rows = [
+        row("buy"), row("trial", bias="neutral", rvol=2.0), row("earn0"), row("earn1", bias="bearish"), row("earn2"), row("bear", bias="bearish"), row("nodata", atr=0.0), row("noatr", atr=None), row("below", last_=99.0),
+        row("break", orb_high_30=100.5), row("weak", bias="neutral"), row("less", bias="neutral", orb_high_30=100.5), row("stop", orb_high_30=100.5, orb_low_30=102.0, rvol=2.0), row("old", session=date(2024, 5, 3)), row("off", k=5),
+    ]
+    columns = "symbol string, session date, k int, n int, last_ double, vwap double, orb_high_30 double, orb_low_30 double, atr double, bias string, gap double, rvol double"
+    points = spark.createDataFrame([tuple(r[c.split()[0]] for c in columns.split(", ")) for r in [*rows, row("old")]], columns)
+    earnings = spark.createDataFrame([("earn0", day), ("earn1", date(2024, 5, 7)), ("earn2", date(2024, 5, 8)), ("buy", date(2024, 5, 5))], "symbol string, day date")
+
+    def answers(setups):
+        calibrated = spark.createDataFrame(setups, "setup string, enabled boolean, conf_delta long")
+        return {r.symbol: r for r in apply(spark, "ticket_answers", {"plan_points": points, "earnings_days": earnings, "applied_calibration": calibrated}).collect()}
+
+    got = answers([("vwap", True, 0)])
+    why = {s: (r.action, r.why, r.confidence) for s, r in got.items()}
+    assert why == {
+        "buy": ("buy", "ok", 2), "trial": ("trial", "ok", 2), "earn0": ("avoid", "earnings", 0), "earn1": ("avoid", "earnings", 0), "earn2": ("buy", "ok", 2), "bear": ("avoid", "bearish", 0), "nodata": ("watch", "no data", 0), "noatr": ("watch", "no data", 0),
+        "below": ("watch", "below vwap", 0), "break": ("buy", "ok", 3), "weak": ("watch", "confidence", 1), "less": ("trial", "ok", 2), "stop": ("watch", "stop", 0), "old": ("buy", "ok", 2),
+    }
+    b = got["buy"]
+    assert (b.setup, b.entry_lo, b.entry_hi, b.stop, b.target) == ("vwap", 100.0, 100.6, 97.0, 106.9) and b.shares == int(min(1000 / 3.0, 1000 / 3.3, 30_000 / 100.3))
+    assert got["weak"].shares is None and got["weak"].stop is None and got["break"].setup == "orb"
+    got = answers([("vwap", False, 0), ("orb", True, -1)])
+    assert {s: (got[s].action, got[s].why, got[s].confidence) for s in ("buy", "break", "less")} == {"buy": ("watch", "setup off", 2), "break": ("buy", "ok", 2), "less": ("watch", "confidence", 1)}

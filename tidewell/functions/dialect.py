@@ -66,6 +66,18 @@ class Spark:
     def hour(self, ts: str) -> str:
         return f"date_trunc('HOUR', {ts})"
 
+    def local(self, ts: str, zone: str) -> str:
+        """The time on the clocks of a zone at a moment of UTC, both without a zone."""
+        return f"convert_timezone('UTC', '{zone}', CAST({ts} AS TIMESTAMP_NTZ))"
+
+    def utc(self, ts: str, zone: str) -> str:
+        """The moment of UTC at which the clocks of a zone show a time."""
+        return f"convert_timezone('{zone}', 'UTC', CAST({ts} AS TIMESTAMP_NTZ))"
+
+    def after(self, ts: str, minutes: str) -> str:
+        """So many whole minutes after a time or the beginning of a day."""
+        return f"(CAST({ts} AS TIMESTAMP_NTZ) + make_dt_interval(0, 0, CAST({minutes} AS INT)))"
+
     def bround(self, x: str, n: int) -> str:
         """Rounded half to even."""
         return f"bround({x}, {n})"
@@ -170,6 +182,15 @@ class Duck(Spark):
     def hour(self, ts: str) -> str:
         return f"date_trunc('hour', {ts})"
 
+    def local(self, ts: str, zone: str) -> str:
+        return f"timezone('{zone}', timezone('UTC', CAST({ts} AS TIMESTAMP)))"
+
+    def utc(self, ts: str, zone: str) -> str:
+        return f"timezone('UTC', timezone('{zone}', CAST({ts} AS TIMESTAMP)))"
+
+    def after(self, ts: str, minutes: str) -> str:
+        return f"(CAST({ts} AS TIMESTAMP) + to_minutes(CAST({minutes} AS BIGINT)))"
+
     def bround(self, x: str, n: int) -> str:
         return f"round_even({x}, {n})"
 

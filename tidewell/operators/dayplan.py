@@ -12,7 +12,7 @@ from tidewell.plans.compose import relation
 # Fixed values of the rules.
 STEP, LEAST_BARS, LEAST_DAYS = 3, 8, 60
 RVOL_STRONG, STOP_ATR, TARGET_RR, MAX_NOTIONAL, COST = 1.5, 1.5, 2.0, 0.30, 0.001
-ORB_MINUTES, SESSION_MINUTES, BAR_MINUTES = 30, 390, 30
+ORB_MINUTES, SESSION_MINUTES, OPENS, ZONE = 30, 390, 9 * 60 + 30, "America/New_York"
 GRID_ORB, GRID_STOP, GRID_TARGET = (15, 30, 45), (1.0, 1.5, 2.0), (1.5, 2.0, 2.5)
 MIN_TRADES, VALID_TRADES, HOLDOUT_TRADES = 5, 10, 5
 
@@ -20,14 +20,28 @@ S = "PARTITION BY symbol, session ORDER BY k"
 
 
 @relation("bars")
-def bars_intra(d):
-    """symbol, session, k (from 1), open, high, low, close, volume: thirteen bars a day on a path from its open to its close."""
+def bars_ts(d, zone=ZONE):
+    """symbol, ts (UTC, without a zone), open, high, low, close, volume: thirteen bars a day on a path from its open to its close, from the market's opening on."""
     n = d.days("day", "DATE '1990-01-01'")
     at = lambda k: f"(open + (close - open) * ({k}) / 13e0 + close * 0.004e0 * (({n} * 7 + ({k}) * 5) % 11 - 5) * ({k}) * (13 - ({k})) / 42e0)"
-    return f"""SELECT symbol, day AS session, k, o AS open, greatest(o, c) * (1 + 0.0005e0 * (({n} + k) % 4)) AS high, least(o, c) * (1 - 0.0005e0 * (({n} + 2 * k) % 5)) AS low, c AS close, volume / 13 * (1 + ({n} + 3 * k) % 7) / 2 AS volume
+    ts = d.utc(d.after("day", f"{OPENS} + {SESSION_MINUTES // 13} * (k - 1)"), zone)
+    return f"""SELECT symbol, {ts} AS ts, o AS open, greatest(o, c) * (1 + 0.0005e0 * (({n} + k) % 4)) AS high, least(o, c) * (1 - 0.0005e0 * (({n} + 2 * k) % 5)) AS low, c AS close, volume / 13 * (1 + ({n} + 3 * k) % 7) / 2 AS volume
 FROM (SELECT b.symbol, b.day, s.k, b.volume, {at('s.k - 1')} AS o, {at('s.k')} AS c FROM bars b CROSS JOIN {d.series(1, 13, 'k')} s) x"""
 
 
+@relation("bars_ts")
+def bars_intra(d, zone=ZONE):
+    """symbol, session, k (from 1), minute, step, open, high, low, close, volume: bars by trading day of the market's own clocks.
+
+    minute is what has passed since the session's first bar, step the minutes from it to the second one (5 if
+    there is none): bars of any length, in any zone, over changes of the clocks. Bars without a close are none.
+    """
+    rows = f"SELECT symbol, CAST({d.local('ts', zone)} AS DATE) AS session, ts, open, high, low, close, volume FROM bars_ts WHERE close IS NOT NULL"
+    w = "PARTITION BY symbol, session ORDER BY ts"
+    since = f"SELECT *, CAST(row_number() OVER ({w}) AS BIGINT) AS k, {d.seconds('ts', f'min(ts) OVER (PARTITION BY symbol, session)')} / 60e0 AS minute FROM ({rows}) x"
+    return f"SELECT symbol, session, k, minute, coalesce(nullif(max(CASE WHEN k = 2 THEN minute END) OVER (PARTITION BY symbol, session), 0e0), 5e0) AS step, open, high, low, close, volume FROM ({since}) y"
+
+
 @relation("averages", "macd_lines", "rsi_parts")
 def daily_facts(d):
     """By symbol and day: means, RSI, MACD histogram, true range, volume, the score of the trend and its bias."""
@@ -52,19 +66,14 @@ def sessions_known(d):
     return f"""SELECT x.symbol, x.day AS session, x.n, f.close AS prev_close, f.atr, f.vol20, f.bias FROM (SELECT symbol, day, is_day, n, {last} AS i FROM ({both}) b) x JOIN daily_facts f ON f.symbol = x.symbol AND f.i = x.i WHERE x.is_day = 0 AND f.i >= {LEAST_DAYS - 1}"""
 
 
-def first_bars(minutes: int) -> int:
-    """Bars of the opening range."""
-    return max(1, round(minutes / BAR_MINUTES))
-
-
 @relation("bars_intra", "sessions_known")
 def plan_points(d):
     """What is known at each bar: last price, volume-weighted price, opening ranges, gap and relative volume."""
-    opening = ", ".join(f"max(CASE WHEN k <= {first_bars(m)} THEN high END) OVER ({S}) AS orb_high_{m}, min(CASE WHEN k <= {first_bars(m)} THEN low END) OVER ({S}) AS orb_low_{m}" for m in GRID_ORB)
-    flow = f"SELECT symbol, session, k, close AS last_, {opening}, sum(volume) OVER ({S}) AS cum, sum((high + low + close) / 3 * volume) OVER ({S}) AS paid, first_value(open) OVER ({S}) AS open_ FROM bars_intra"
+    opening = ", ".join(f"max(CASE WHEN k = 1 OR minute < {m} THEN high END) OVER ({S}) AS orb_high_{m}, min(CASE WHEN k = 1 OR minute < {m} THEN low END) OVER ({S}) AS orb_low_{m}" for m in GRID_ORB)
+    flow = f"SELECT symbol, session, k, minute + step AS passed, close AS last_, {opening}, sum(volume) OVER ({S}) AS cum, sum((high + low + close) / 3 * volume) OVER ({S}) AS paid, first_value(open) OVER ({S}) AS open_ FROM bars_intra"
     orbs = ", ".join(f"orb_high_{m}, orb_low_{m}" for m in GRID_ORB)
     return f"""SELECT b.symbol, b.session, k, n, last_, CASE WHEN cum > 0 THEN paid / cum ELSE last_ END AS vwap, {orbs}, atr, bias, CASE WHEN prev_close > 0 THEN (open_ / prev_close - 1) * 100 ELSE 0e0 END AS gap,
-  CASE WHEN vol20 > 0 THEN cum / (vol20 * least(1e0, k * {BAR_MINUTES}e0 / {SESSION_MINUTES})) ELSE 0e0 END AS rvol FROM ({flow}) b JOIN sessions_known s ON s.symbol = b.symbol AND s.session = b.session"""
+  CASE WHEN vol20 > 0 THEN cum / (vol20 * least(1e0, passed / greatest({SESSION_MINUTES}e0, passed / k))) ELSE 0e0 END AS rvol FROM ({flow}) b JOIN sessions_known s ON s.symbol = b.symbol AND s.session = b.session"""
 
 
 @relation("plan_points", covers="WIN-31, STR-13")
@@ -74,21 +83,29 @@ def intraday_metrics(d):
     return f"SELECT symbol, session, {d.r('last_')} AS last_price, {d.r('vwap')} AS vwap, {d.r(f'orb_high_{m}')} AS orb_high, {d.r(f'orb_low_{m}')} AS orb_low, {d.r('gap')} AS gap_pct, {d.r('rvol')} AS rvol, {d.r('atr')} AS atr, last_ >= vwap AS above_vwap FROM plan_points WHERE k = n"
 
 
-def tickets(rows: str, account: float = 100_000.0, risk: float = 0.01) -> str:
-    """SELECT of rows (with orb_high, orb_low, stop_m, rr) and their ticket: action, setup, confidence, zone, stop, target, shares."""
+def judged(rows: str, account: float = 100_000.0, risk: float = 0.01) -> str:
+    """SELECT of rows (with orb_high, orb_low, stop_m, rr) and what a ticket would be: setup, conf, entry_lo, entry_hi, stop, target, per_share, shares.
+
+    setup is null below the volume-weighted price, and what follows from it too.
+    """
     cents = lambda x: f"(floor(({x}) * 100 + 0.5000001e0) / 100e0)"  # noqa: E731  half a cent up, whatever an engine's last digit
     setup = "CASE WHEN last_ < vwap THEN NULL WHEN last_ > orb_high THEN 'orb' ELSE 'vwap' END"
     conf = f"(CASE bias WHEN 'bullish' THEN 2 ELSE 1 END + CASE WHEN rvol >= {RVOL_STRONG} THEN 1 ELSE 0 END + CASE WHEN gap >= 1 THEN 1 WHEN gap <= -1.5 THEN -1 ELSE 0 END + CASE setup WHEN 'orb' THEN 1 ELSE 0 END)"
-    low = f"CASE setup WHEN 'orb' THEN last_ ELSE {cents('vwap')} END"
+    low = f"CASE setup WHEN 'orb' THEN last_ WHEN 'vwap' THEN {cents('vwap')} END"
     near = cents("least(last_, vwap + 0.3e0 * atr)")
     high = f"CASE WHEN setup = 'orb' THEN {cents('last_ + 0.25e0 * atr')} WHEN {near} < lo THEN {cents('lo + 0.1e0 * atr')} ELSE {near} END"
-    stop = f"CASE setup WHEN 'orb' THEN {cents('greatest(orb_low, last_ - stop_m * atr)')} ELSE {cents('vwap - stop_m * atr')} END"
-    shares = f"greatest(0, floor(least(round({account * risk}e0 / (atr * stop_m), 2), {account * risk}e0 / per_share, floor({account * MAX_NOTIONAL}e0 / mid))))"
-    a = f"SELECT *, {setup} AS setup FROM ({rows}) t0 WHERE bias <> 'bearish' AND atr > 0 AND last_ > 0"
-    b = f"SELECT *, {conf} AS conf, {low} AS lo, {stop} AS stop FROM ({a}) t1 WHERE setup IS NOT NULL"
-    c = f"SELECT *, {high} AS hi FROM ({b}) t2 WHERE conf >= 2"
+    stop = f"CASE setup WHEN 'orb' THEN {cents('greatest(orb_low, last_ - stop_m * atr)')} WHEN 'vwap' THEN {cents('vwap - stop_m * atr')} END"
+    shares = f"greatest(0, floor(least(round({account * risk}e0 / nullif(atr * stop_m, 0e0), 2), {account * risk}e0 / nullif(per_share, 0e0), floor({account * MAX_NOTIONAL}e0 / nullif(mid, 0e0)))))"
+    a = f"SELECT *, {setup} AS setup FROM ({rows}) t0"
+    b = f"SELECT *, {conf} AS conf, {low} AS lo, {stop} AS stop FROM ({a}) t1"
+    c = f"SELECT *, {high} AS hi FROM ({b}) t2"
     e = f"SELECT *, (lo + hi) / 2 AS mid, (lo + hi) / 2 - stop AS per_share FROM ({c}) t3"
-    return f"""SELECT *, {cents('mid + rr * per_share')} AS target, CASE bias WHEN 'bullish' THEN 'buy' ELSE 'trial' END AS action, CAST({shares} AS BIGINT) AS shares, {cents('lo')} AS entry_lo, {cents('hi')} AS entry_hi FROM ({e}) t4 WHERE per_share > 0"""
+    return f"SELECT *, {cents('mid + rr * per_share')} AS target, CAST({shares} AS BIGINT) AS shares, {cents('lo')} AS entry_lo, {cents('hi')} AS entry_hi FROM ({e}) t4"
+
+
+def tickets(rows: str) -> str:
+    """SELECT of the rows that make a ticket, with action and what judged() tells."""
+    return f"SELECT *, CASE bias WHEN 'bullish' THEN 'buy' ELSE 'trial' END AS action FROM ({judged(rows)}) t5 WHERE bias <> 'bearish' AND atr > 0 AND last_ > 0 AND setup IS NOT NULL AND conf >= 2 AND per_share > 0"
 
 
 @relation("plan_points", covers="MOD-23")
@@ -138,10 +155,9 @@ def plan_stats(d):
     return " UNION ALL ".join(f"SELECT {of} AS of_, {key} AS key_, {totals(d)} FROM plan_trades{group}" for of, key, group in (("'all'", "'all'", ""), ("'setup'", "setup", " GROUP BY setup"), ("'confidence'", bucket, f" GROUP BY {bucket}")))
 
 
-@relation("plan_trades", covers="MOD-24")
-def plan_calibration(d):
-    """By setup, from ten sessions on: off if it loses in the first 60% of sessions and in the rest, a confidence less if it only loses in the rest."""
-    by_day = "SELECT setup, session, count(r) AS c, sum(r) AS s, dense_rank() OVER (ORDER BY session) AS p FROM plan_trades GROUP BY setup, session"
+def calibration(d, trades: str) -> str:
+    """SELECT of setup and how it did in the first 60% of the sessions of trades and in the rest, whether it stays enabled, and what its confidence loses."""
+    by_day = f"SELECT setup, session, count(r) AS c, sum(r) AS s, dense_rank() OVER (ORDER BY session) AS p FROM {trades} GROUP BY setup, session"
     parts = f"SELECT setup, c, s, p <= greatest(1, floor(m * 0.6e0)) AS train FROM (SELECT *, max(p) OVER () AS m FROM ({by_day}) x) y WHERE m >= 10"
     part = lambda name, c: f"sum(CASE WHEN {c} THEN c ELSE 0 END) AS n_{name}, sum(CASE WHEN {c} THEN s END) / nullif(sum(CASE WHEN {c} THEN c END), 0) AS r_{name}"
     enough = f"n_train >= {MIN_TRADES} AND n_valid >= {max(2, MIN_TRADES // 2)}"
@@ -149,6 +165,47 @@ def plan_calibration(d):
   CAST(CASE WHEN {enough} AND r_train > 0 AND r_valid < 0 THEN -1 ELSE 0 END AS BIGINT) AS conf_delta FROM (SELECT setup, {part('train', 'train')}, {part('valid', 'NOT train')} FROM ({parts}) z GROUP BY setup) q"""
 
 
+@relation("plan_trades", covers="MOD-24")
+def plan_calibration(d):
+    """By setup, from ten sessions on: off if it loses in the first 60% of sessions and in the rest, a confidence less if it only loses in the rest."""
+    return calibration(d, "plan_trades")
+
+
+@relation("plan_trades", "plan_points")
+def applied_calibration(d):
+    """setup, enabled, conf_delta from the sessions before each symbol's newest one: what a ticket of today may know."""
+    before = "(SELECT t.* FROM plan_trades t JOIN (SELECT symbol, max(session) AS newest FROM plan_points GROUP BY symbol) n ON n.symbol = t.symbol AND t.session < n.newest)"
+    return calibration(d, f"{before} tb")
+
+
+@relation("orders", "bars")
+def earnings_days(d):
+    """symbol, day on which a company reports, here those of some orders."""
+    return "SELECT DISTINCT s.symbol, CAST(o_orderdate AS DATE) AS day FROM orders o JOIN (SELECT symbol, CAST(row_number() OVER (ORDER BY symbol) - 1 AS BIGINT) AS k FROM (SELECT DISTINCT symbol FROM bars) q) s ON s.k = o.o_custkey % 25 WHERE o_orderkey % 10 = 0"
+
+
+@relation("plan_points", "applied_calibration", "earnings_days", covers="MOD-23, MOD-24 (answers)")
+def ticket_answers(d):
+    """What each evaluation of a symbol's newest session answers: buy, trial, watch or avoid, and why.
+
+    Earnings today or tomorrow are avoided whatever else holds, then a bearish day. Watched are prices that
+    make no sense or lie below the volume-weighted price, setups that the calibration has switched off,
+    confidence under 2 after what the calibration takes from it, and stops at or above the entry. Only buys
+    and trials have levels and shares; a confidence of 0 stands where it was not reached.
+    """
+    m = ORB_MINUTES
+    newest = "SELECT symbol, max(session) AS session FROM plan_points GROUP BY symbol"
+    points = f"SELECT p.*, orb_high_{m} AS orb_high, orb_low_{m} AS orb_low, {STOP_ATR}e0 AS stop_m, {TARGET_RR}e0 AS rr FROM plan_points p JOIN ({newest}) n ON n.symbol = p.symbol AND n.session = p.session WHERE k > {STEP} AND (k - 1) % {STEP} = 0"
+    near = f"SELECT p.symbol, p.session, min({d.days('e.day', 'p.session')}) AS ahead FROM ({newest}) p JOIN earnings_days e ON e.symbol = p.symbol AND e.day >= p.session GROUP BY p.symbol, p.session"
+    vetoed = f"SELECT j.*, c.enabled, coalesce(c.conf_delta, 0) AS delta, g.ahead FROM ({judged(points)}) j LEFT JOIN ({near}) g ON g.symbol = j.symbol AND g.session = j.session LEFT JOIN applied_calibration c ON c.setup = j.setup"
+    why = "CASE WHEN ahead <= 1 THEN 'earnings' WHEN bias = 'bearish' THEN 'bearish' WHEN NOT coalesce(atr > 0 AND last_ > 0, false) THEN 'no data' WHEN setup IS NULL THEN 'below vwap' WHEN NOT coalesce(enabled, true) THEN 'setup off' WHEN conf + delta < 2 THEN 'confidence' WHEN NOT coalesce(per_share > 0, false) THEN 'stop' ELSE 'ok' END"
+    known = "why IN ('setup off', 'confidence', 'ok')"
+    level = lambda x: f"CASE WHEN why = 'ok' THEN {d.r(x, 2)} END"
+    return f"""SELECT symbol, session, CAST(k AS BIGINT) AS k, CASE WHEN why IN ('earnings', 'bearish') THEN 'avoid' WHEN why <> 'ok' THEN 'watch' WHEN bias = 'bullish' THEN 'buy' ELSE 'trial' END AS action, why,
+  CASE WHEN {known} OR why = 'stop' THEN setup END AS setup, CAST(CASE WHEN why = 'setup off' THEN conf WHEN {known} THEN conf + delta ELSE 0 END AS BIGINT) AS confidence, {level('entry_lo')} AS entry_lo, {level('entry_hi')} AS entry_hi,
+  {level('stop')} AS stop, {level('target')} AS target, CASE WHEN why = 'ok' THEN shares END AS shares FROM (SELECT *, {why} AS why FROM ({vetoed}) v) w"""
+
+
 COMBOS = [(m, s, t) for m in GRID_ORB for s in GRID_STOP for t in GRID_TARGET]
 
 
