@@ -255,6 +255,24 @@ def test_base_spans_against_plain_patterns(spark):
         assert {x.n for x in got[k].base} <= {x.n for x in got[k]["all"]}
 
 
+@pytest.mark.parametrize("n", [0, 1, 64, 65, 4096, 4097, 40_000])
+def test_running_sums_by_blocks(spark, n):
+    got = spark.range(1).selectExpr(pii._running(f"transform(slice(sequence(0, {n}), 2, {n}), k -> cast(k % 7 as int))") + " AS x").first().x
+    want, total = [], 0
+    for k in range(1, n + 1):
+        want.append(total)
+        total += k % 7
+    assert got == want
+
+
+def test_very_many_matches_in_one_text(spark):
+    """The places of 60,000 addresses; a fold that copied what it holds would take hours."""
+    n = 30_000
+    df = spark.createDataFrame([(1, "10.0.0.1 a@b.co " * n), (2, "x" * 1000)], "doc_id long, text string")
+    got = {r.doc_id: r.base for r in pii.spans(df).collect()}
+    assert [r.n for r in got[1][:2]] == ["ip:0:8", "email:9:15"] and got[1][-1].n == f"email:{16 * n - 7}:{16 * n - 1}" and len(got[1]) == 2 * n and got[2] == []
+
+
 def test_personal_data_bears_all_cases(spark):
     got = pii.spans(wide(spark)).collect()
     assert len(got) == len(ROWS)

@@ -44,20 +44,35 @@ CUES = {
 AGAINST = ["version", "isbn", "issn", "order", "page", "figure", "section", "serial", "doi", "release"]
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL of body with a value under a name, made once however often body names it."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _running(v: str, level: int = 2, block: int = 64) -> str:
+    """SQL of the sums before each number of an array: in blocks, whose totals are added up the same way, so that no fold copies more than a block."""
+    fold = lambda x: f"aggregate({x}, array(0), (a{level}, n{level}) -> array_append(a{level}, element_at(a{level}, -1) + n{level}))"
+    if not level:
+        return _let(v, "v0", f"slice({fold('v0')}, 1, size(v0))")
+    k = f"{level}"
+    blocks = f"transform(sequence(0, greatest(0, size(v{k}) - 1) div {block}), c{k} -> {fold(f'slice(v{k}, c{k} * {block} + 1, {block})')})"
+    totals = f"transform(b{k}, t{k} -> element_at(t{k}, -1))"
+    joined = f"flatten(transform(b{k}, (w{k}, i{k}) -> transform(slice(w{k}, 1, size(w{k}) - 1), y{k} -> y{k} + o{k}[i{k}])))"
+    return _let(v, f"v{k}", _let(blocks, f"b{k}", _let(_running(totals, level - 1, block), f"o{k}", joined)))
+
+
 def _found(text: str, pattern: str, ok: str) -> str:
     """SQL for array<struct<s, e, t, before>>: matches x.t of a pattern in text that are ok, by code point, with the text before each.
 
     The pieces between matches and the matches themselves add up to the text, which gives the places. A match
-    that is not ok only moves the place on: the work is in proportion to the text.
+    that is not ok only moves the place on: the work is in proportion to the text and its matches.
     """
     p = "r'" + pattern.replace("'", "\\'") + "'"
-    empty = "cast(array() as array<struct<s:int,e:int,t:string,before:string>>)"
-    return f"""aggregate(
-        zip_with(slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))), regexp_extract_all({text}, {p}, 0), (p, t) -> struct(p, t)),
-        struct(0 as upto, {empty} as found),
-        (a, x) -> struct(a.upto + length(x.p) + length(x.t) as upto,
-                         if({ok}, array_append(a.found, struct(a.upto + length(x.p) as s, a.upto + length(x.p) + length(x.t) as e, x.t as t, right(x.p, {CONTEXT}) as before)), a.found) as found),
-        a -> a.found)"""
+    lengths = "zip_with(m.p, m.h, (p, h) -> length(p) + length(h))"
+    each = f"""filter(zip_with(zip_with(m.p, m.h, (p, h) -> struct(p as p, h as t)), {_running(lengths)}, (x, at) ->
+        struct(at + length(x.p) as s, at + length(x.p) + length(x.t) as e, x.t as t, right(x.p, {CONTEXT}) as before)), x -> {ok})"""
+    cut_ = _let(f"regexp_extract_all({text}, {p}, 0)", "h0", f"struct(h0 as h, slice(split({text}, {p}, -1), 1, size(h0)) as p)")
+    return _let(cut_, "m", each)
 
 
 def _digits(t: str) -> str:
