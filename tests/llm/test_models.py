@@ -228,6 +228,14 @@ def test_dense_group_of_low_rank_loses_no_link(spark, dim, spread):
     assert [got[k].component_id for k in range(len(e))] == root.tolist()
 
 
+def test_repeated_names_link_nothing(spark):
+    """Different vectors that share a vec_id, and vectors without one: links come from the vectors alone."""
+    rows = [(3, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 0.05]), (5, [0.05, 1.0]), (None, [-1.0, 0.0]), (None, [-1.0, 0.0]), (None, [-1.0, 0.02]), (9, [0.0, -1.0]), (None, [0.0, -1.0])]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got if r.vec_id is not None) == [(3, 1, 3, True), (3, 1, 3, True), (4, 1, 3, False), (5, 1, 3, False), (9, 1, 9, True)]
+    assert sorted((r.n_links, r.component_id or 0, r.kept) for r in got if r.vec_id is None) == [(1, 9, False), (2, 0, False), (2, 0, False), (2, 0, False)]
+
+
 def test_no_embeddings(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embed_dedup.near_duplicates(empty).count() == 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut, read
+from tidewell.llm.common import cut, join_hot, read
 from tidewell.llm.components import components, local_roots
 
 #: Vectors on which centroids and codes are fitted at most, vectors of a block, subspaces and codes of each.
@@ -167,25 +167,26 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     non-finite components link with nothing: their component is themselves. Vectors of different lengths are
     not linked; each length that occurs is searched by itself. Copies are compared once: a class stands for
     all rows with its components (by 128 bits of hash), and each row counts the others of its class. A row
-    without vec_id counts as a vector; its component is that of its class. Rows that repeat a vec_id count
-    each.
+    without vec_id counts as a vector; its component is the smallest vec_id reachable, null if there is none.
+    Rows that repeat a vec_id count each, and are linked by their vectors only.
     """
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"  # as the rows have it: exact
     e = F.transform("embedding", lambda v: v.cast("double"))
     good = F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("e", lambda v: v != 0)
     rows = vectors.select("vec_id", e.alias("e")).withColumn("good", F.coalesce(good, F.lit(False)))
     rows = rows.select("vec_id", F.when(F.col("good"), F.col("e")).alias("e")).withColumn("h1", F.xxhash64("e")).withColumn("h2", F.xxhash64(F.lit(1), "e"))
-    named = F.coalesce("rep", F.shiftrightunsigned("h1", 2) + F.lit(1 << 62))  # only rows without vec_id
-    by_class = rows.where("e is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("e").alias("e"))
-    classes = cut(by_class.withColumn("rep", named).withColumn("dim", F.size("e")))
+    by_class = rows.where("e is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("e").alias("e"))
+    classes = cut(by_class.withColumn("rep", F.xxhash64("h1", "h2")).withColumn("dim", F.size("e")))  # a class's name has nothing to do with vec_id, which may repeat
     sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).toLocalIterator()}  # one row a length
     if not sizes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = reduce(DataFrame.union, [_found(classes.where(F.col("dim") == dim), n, dim, least, kind) for dim, n in sorted(sizes.items())])
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
     of = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    linked = classes.select("h1", "h2", "copies", "rep").join(links, "rep", "left").join(of, F.col("rep") == F.col("node"), "left")
-    linked = linked.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    found_of = classes.select("h1", "h2", "copies", "rep", "least").join(links, "rep", "left").join(of, F.col("rep") == F.col("node"), "left")
+    named = cut(found_of.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"), "least"))
+    smallest = named.groupBy("c").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    linked = join_hot(named, smallest, "c", named.count()).select("h1", "h2", "n_links", "component_id")
     out = rows.select("vec_id", "h1", "h2", F.col("e").isNotNull().alias("valid")).join(linked, ["h1", "h2"], "left").withColumn("linked", F.col("valid") & F.col("n_links").isNotNull())
     component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.when(F.col("linked"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
