@@ -136,7 +136,7 @@ def rule_edge(d):
 
 
 #: Which part of the composite score each rule calibrates.
-PARTS = {"rsi_below_30": "rsi", "rsi_above_70_short": "rsi", "macd_golden": "macd", "macd_death_short": "macd", "ma20_50_golden": "trend", "golden_above_ma200": "trend", "lower_band": "bollinger", "upper_band": "bollinger", "triple_confirmation": "momentum"}
+PARTS = {"rsi_below_30": "rsi", "rsi_above_70_short": "rsi", "macd_golden": "macd", "macd_death_short": "macd", "ma20_50_golden": "trend", "golden_above_ma200": "trend", "lower_band": "bollinger", "upper_band": "bollinger", "triple_confirmation": "trend"}
 
 
 @relation("edges", covers="WIN-16")

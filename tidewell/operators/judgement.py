@@ -155,11 +155,11 @@ def account_overlay(d):
     return f"SELECT day, coalesce(stocks < 25 AND crypto < 25, false) AS both_fear, coalesce(stocks > 75 AND crypto > 75, false) AS both_greed, CASE WHEN stocks > 75 AND crypto > 75 THEN {OVERLAY['greed_size']}e0 ELSE 1e0 END AS size FROM fear_greed"
 
 
-@relation("metrics", "composite_score", "atr_rows", "scoreboard")
+@relation("metrics", "composite_score", "atr_rows", "scoreboard", "market_regime")
 def risk_facts(d):
-    """symbol, regime, ann_vol, score, hit_rate, decisions, position (by true range, as a share): what hard rules look at."""
+    """symbol, regime (of the market), ann_vol, score, hit_rate, decisions, position (by true range, as a share): what hard rules look at."""
     hits = "SELECT sum(hits) / CAST(nullif(sum(n), 0) AS DOUBLE) AS hit_rate, sum(n) AS decisions FROM scoreboard"
-    return f"SELECT m.symbol, CASE WHEN m.return_1m < -0.05 THEN 'risk_off' WHEN m.return_1m > 0.05 THEN 'risk_on' ELSE 'neutral' END AS regime, m.ann_vol, c.score, h.hit_rate, h.decisions, 0.01e0 * t.close / nullif(1.5 * t.atr, 0) AS position FROM metrics m JOIN composite_score c ON c.symbol = m.symbol JOIN atr_rows t ON t.symbol = m.symbol AND t.i = t.n - 1 CROSS JOIN ({hits}) h"
+    return f"SELECT m.symbol, r.regime, m.ann_vol, c.score, h.hit_rate, h.decisions, 0.01e0 * t.close / nullif(1.5 * t.atr, 0) AS position FROM metrics m JOIN composite_score c ON c.symbol = m.symbol JOIN atr_rows t ON t.symbol = m.symbol AND t.i = t.n - 1 CROSS JOIN ({hits}) h CROSS JOIN market_regime r"
 
 
 @relation("risk_facts", covers="FIL-08")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from tidewell import registry
 from tidewell.operators import budget, portfolio
 from tidewell.plans import texts  # noqa: F401  its queries register themselves
-from tidewell.plans.compose import DUCK, compose, run
+from tidewell.plans.compose import DUCK, compose, run, source
 from tidewell.streaming import alerts, books, engine, judgements, keyed, paper
 
 
@@ -105,6 +105,19 @@ def regime_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.groupBy().agg(F.sort_array(F.collect_list(F.struct("day", "score"))).alias("d")).select(F.inline(F.expr(step)))
 
 
+@registry.query(
+    "weather_regime",
+    lambda: f"""{source("weather")}, c AS (SELECT day, score, row_number() OVER (ORDER BY day) AS k FROM weather WHERE score IS NOT NULL),
+r AS (SELECT day, k, score, CASE WHEN score >= 60 THEN 'risk_on' WHEN score <= 40 THEN 'risk_off' ELSE 'neutral' END AS regime FROM c WHERE k = 1
+UNION ALL SELECT c.day, c.k, c.score, CASE WHEN c.score >= CASE WHEN regime = 'risk_on' THEN 55 ELSE 60 END THEN 'risk_on' WHEN c.score <= CASE WHEN regime = 'risk_off' THEN 45 ELSE 40 END THEN 'risk_off' ELSE 'neutral' END FROM r JOIN c ON c.k = r.k + 1)
+SELECT 'market' AS market, day, score, regime FROM r""",
+)
+def weather_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-09: the regime of the market's weather, left only five beyond the limit it was entered by; the same fold follows a stream."""
+    rows = run(spark, sf_dir, "weather").select(F.lit("market").alias("market"), F.col("day").cast("timestamp").alias("ts"), "score")
+    return keyed.replay(rows, ["market"], judgements.Regime())
+
+
 @registry.query("thesis_store")
 def thesis_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-04: the theses of each owner after their operations, here made up from orders."""

@@ -86,6 +86,29 @@ def fear_greed(docs: DataFrame) -> DataFrame:
     return rows.select(at(0)["value"].try_cast("double").alias("score"), at(0)["value_classification"].alias("rating"), at(7)["value"].try_cast("double").alias("week_ago"))
 
 
+def fear_greed_graph(docs: DataFrame) -> DataFrame:
+    """score, rating and the values of the close, week, month and year before from JSON `value` with fear_and_greed; a document without a score has no row."""
+    names = {"previous_close": "prev_close", "previous_1_week": "week_ago", "previous_1_month": "month_ago", "previous_1_year": "year_ago"}
+    schema = "fear_and_greed struct<score:string,rating:string," + ",".join(f"{n}:string" for n in names) + ">"
+    g = docs.select(F.from_json("value", schema).alias("j")).select("j.fear_and_greed.*")
+    rows = g.select(F.round(F.col("score").try_cast("double"), 1).alias("score"), F.coalesce("rating", F.lit("")).alias("rating"), *[F.col(n).try_cast("double").alias(a) for n, a in names.items()])
+    return rows.where("score is not null")
+
+
+def fear_greed_lines(files: DataFrame) -> DataFrame:
+    """source, score, rating, prev_close, week_ago of the last line of each file: source, n (of the line), value (date,score,rating).
+
+    Lines that begin with no year or have no score are skipped; a week before is five lines before.
+    """
+    p = F.split(F.regexp_replace("value", "\r", ""), ",")
+    at = lambda k: F.trim(F.get(p, F.lit(k)))
+    rows = files.select("source", "n", at(0).alias("day"), at(1).try_cast("double").alias("score"), F.coalesce(at(2), F.lit("")).alias("rating")).where(F.col("day").rlike("^[0-9]{4}") & F.col("score").isNotNull())
+    w = Window.partitionBy("source").orderBy("n")
+    known = rows.select("source", "n", "score", "rating", F.lag("score").over(w).alias("prev_close"), F.lag("score", 5).over(w).alias("week_ago"))
+    last = known.groupBy("source").agg(F.max_by(F.struct("score", "rating", "prev_close", "week_ago"), "n").alias("x"))
+    return last.select("source", F.round("x.score", 1).alias("score"), "x.rating", "x.prev_close", F.round("x.week_ago", 1).alias("week_ago"))
+
+
 def statement_row(rows: DataFrame, wanted: list[str]) -> DataFrame:
     """The values of the row whose label fits best: the same without blanks and case before one that contains it, in the order wanted."""
     plain = F.lower(F.regexp_replace("label", r"\s", ""))

@@ -61,6 +61,24 @@ class Triggers(Fold):
                     yield START + timedelta(microseconds=at), kind, level, float(price), state["status"], state["fired"]
 
 
+class Regime(Fold):
+    """The regime of a score from 0 to 100, by key. Rows: score; null ones change nothing and have no row.
+
+    Risk is on from 60 and off up to 40; a regime is left only five beyond the limit it was entered by.
+    """
+
+    out = "day date, score double, regime string"
+    order = ("score",)
+
+    def step(self, state: dict, at: int, rows: list[dict]) -> Iterator[tuple]:
+        score = rows[-1]["score"]
+        if score is not None:
+            before = state.get("regime")
+            on, off = 60 - 5 * (before == "risk_on"), 40 + 5 * (before == "risk_off")
+            state["regime"] = "risk_on" if score >= on else "risk_off" if score <= off else "neutral"
+            yield EPOCH + timedelta(days=at // DAY), float(score), state["regime"]
+
+
 class Picks(Fold):
     """Picks of an owner and how they came out. Rows: op (pick or price), symbol, score, price, source, horizon.
 
