@@ -85,6 +85,10 @@ class Spark:
     def number(self, x: str) -> str:
         return f"try_cast({x} AS DOUBLE)"
 
+    def date(self, x: str) -> str:
+        """The day that a text tells; null if it is none."""
+        return f"try_cast({x} AS DATE)"
+
     def split(self, x: str, by: str, k: int) -> str:
         """The k-th part of x, from 1."""
         return f"try_element_at(split({x}, '[{by}]'), {k})"
@@ -121,6 +125,11 @@ class Spark:
         """A whole number of 48 bits that is mixed from text, the same in every engine."""
         return f"CAST(conv(substr(md5({text}), 1, 12), 16, 10) AS BIGINT)"
 
+    def corr(self, x: str, y: str) -> str:
+        """The correlation of pairs without a null; null where one of the two doesn't vary."""
+        both = [f"CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN {v} END" for v in (x, y)]
+        return f"covar_samp({x}, {y}) / nullif(stddev_samp({both[0]}) * stddev_samp({both[1]}), 0)"
+
     def g1(self, x: str) -> str:
         """Skewness as pandas has it."""
         return f"skewness({x}) * sqrt(CAST(count({x}) AS DOUBLE) * (count({x}) - 1)) / nullif(count({x}) - 2, 0)"

@@ -31,14 +31,10 @@ def easter(d, years: str) -> str:
     return f"SELECT year, make_date(CAST(year AS INT), CAST({w('n', '31')} AS INT), CAST(n % 31 + 1 AS INT)) AS easter FROM ({day}) y4"
 
 
-@relation("bench_close")
-def holidays(d):
-    """year, name, day of every holiday of the years of the days at hand, and of the years next to them.
-
-    A fixed day moves to the nearest weekday, but New Year's isn't taken on the Friday that ends a year.
-    """
+def holiday_rows(d, days: str) -> str:
+    """SELECT of year, name, day: the holidays of the years of SELECT day, and of the years next to them."""
     year = d.part("year", "day")
-    years = f"SELECT DISTINCT year FROM (SELECT {year} AS year FROM bench_close UNION ALL SELECT {year} - 1 FROM bench_close UNION ALL SELECT {year} + 1 FROM bench_close) x"
+    years = f"SELECT DISTINCT year + o AS year FROM (SELECT DISTINCT {year} AS year FROM ({days}) x0) x CROSS JOIN {d.series(-1, 1, 'o')} y"
     table = ", ".join(f"('{name}', '{kind}', {month}, {n}, {since}, {until})" for name, kind, month, n, since, until in HOLIDAYS)
     start = "make_date(CAST(year AS INT), CAST(greatest(month, 1) AS INT), 1)"
     left = lambda x: d.days(d.sunday(x), x)  # noqa: E731  days to the Sunday that ends its week: Monday 6, Thursday 3, Saturday 1
@@ -53,6 +49,15 @@ def holidays(d):
     return f"SELECT year, name, day FROM ({every}) q WHERE NOT (name = 'new year' AND {d.part('year', 'day')} < year)"
 
 
+@relation("bench_close")
+def holidays(d):
+    """year, name, day of every holiday of the years of the days at hand, and of the years next to them.
+
+    A fixed day moves to the nearest weekday, but New Year's isn't taken on the Friday that ends a year.
+    """
+    return holiday_rows(d, "SELECT day FROM bench_close")
+
+
 @relation("bench_close", "holidays", covers="FIL-12")
 def open_days(d):
     """Whether the market is open on each day, and the holiday it is closed for. The short day after Thanksgiving counts as a holiday."""

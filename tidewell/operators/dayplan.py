@@ -180,8 +180,8 @@ def applied_calibration(d):
 
 @relation("orders", "bars")
 def earnings_days(d):
-    """symbol, day on which a company reports, here those of some orders."""
-    return "SELECT DISTINCT s.symbol, CAST(o_orderdate AS DATE) AS day FROM orders o JOIN (SELECT symbol, CAST(row_number() OVER (ORDER BY symbol) - 1 AS BIGINT) AS k FROM (SELECT DISTINCT symbol FROM bars) q) s ON s.k = o.o_custkey % 25 WHERE o_orderkey % 10 = 0"
+    """symbol, day on which a company reports, here a third of a year after some orders."""
+    return f"SELECT DISTINCT s.symbol, {d.plus('CAST(o_orderdate AS DATE)', 120)} AS day FROM orders o JOIN (SELECT symbol, CAST(row_number() OVER (ORDER BY symbol) - 1 AS BIGINT) AS k FROM (SELECT DISTINCT symbol FROM bars) q) s ON s.k = o.o_custkey % 25 WHERE o_orderkey % 10 = 0"
 
 
 @relation("plan_points", "applied_calibration", "earnings_days", covers="MOD-23, MOD-24 (answers)")

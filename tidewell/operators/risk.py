@@ -22,7 +22,7 @@ def tear_sheet(d, rf=0.0):
     """Moments (bias-corrected), 5th percentile, alpha, beta and correlation with the benchmark, excess Sharpe, information ratio, Treynor."""
     beta = "covar_samp(r, b) / nullif(var_samp(b), 0)"
     return f"""SELECT symbol, CAST(count(*) AS BIGINT) AS n, {d.r('avg(r) * 252')} AS mean, {d.r('stddev_samp(r) * sqrt(252e0)')} AS vol, {d.r(d.g1('r'), 4)} AS skew, {d.r(d.g2('r'), 4)} AS kurt, {d.r(d.pct('r', 0.05))} AS p5,
-  {d.r(beta, 5)} AS beta, {d.r(f'(avg(r) - ({beta}) * avg(b)) * 252', 5)} AS alpha, {d.r('corr(r, b)', 5)} AS corr_, {d.r(f'(avg(r) * 252 - {rf}) / nullif(stddev_samp(r) * sqrt(252e0), 0)', 5)} AS sharpe, {d.r('avg(r - b) / nullif(stddev_samp(r - b), 0) * sqrt(252e0)', 5)} AS info_ratio, {d.r(f'(avg(r) * 252 - {rf}) / nullif({beta}, 0)', 1)} AS treynor
+  {d.r(beta, 5)} AS beta, {d.r(f'(avg(r) - ({beta}) * avg(b)) * 252', 5)} AS alpha, {d.r(d.corr('r', 'b'), 5)} AS corr_, {d.r(f'(avg(r) * 252 - {rf}) / nullif(stddev_samp(r) * sqrt(252e0), 0)', 5)} AS sharpe, {d.r('avg(r - b) / nullif(stddev_samp(r - b), 0) * sqrt(252e0)', 5)} AS info_ratio, {d.r(f'(avg(r) * 252 - {rf}) / nullif({beta}, 0)', 1)} AS treynor
 FROM paired GROUP BY symbol"""
 
 
@@ -49,7 +49,7 @@ def pairs(d):
 
 @relation("pairs", covers="AGG-31, AGG-33")
 def covariance(d):
-    return f"SELECT s1, s2, CAST(count(*) AS BIGINT) AS n, {d.r('covar_samp(r1, r2)', 9)} AS cov, {d.r('corr(r1, r2)')} AS corr_ FROM pairs WHERE s1 <= s2 GROUP BY s1, s2"
+    return f"SELECT s1, s2, CAST(count(*) AS BIGINT) AS n, {d.r('covar_samp(r1, r2)', 9)} AS cov, {d.r(d.corr('r1', 'r2'))} AS corr_ FROM pairs WHERE s1 <= s2 GROUP BY s1, s2"
 
 
 @relation("returns", "pairs", covers="AGG-31 (EWMA)")
@@ -132,7 +132,7 @@ def screener(d):
 def correlation_guard(d, limit=0.05):
     """Candidates too close to one of the first five symbols, which are held: 30 days in common at least."""
     return f"""SELECT s1 AS candidate, CAST(max(n) AS BIGINT) AS n, {d.r('max(c)')} AS highest FROM (
-  SELECT s1, s2, count(*) AS n, corr(r1, r2) AS c FROM pairs WHERE s1 <> s2 AND s2 IN (SELECT s FROM (SELECT s1 AS s, row_number() OVER (ORDER BY s1) AS k FROM (SELECT DISTINCT s1 FROM pairs) a) b WHERE k <= 5) GROUP BY s1, s2 HAVING count(*) >= 30) x
+  SELECT s1, s2, count(*) AS n, {d.corr('r1', 'r2')} AS c FROM pairs WHERE s1 <> s2 AND s2 IN (SELECT s FROM (SELECT s1 AS s, row_number() OVER (ORDER BY s1) AS k FROM (SELECT DISTINCT s1 FROM pairs) a) b WHERE k <= 5) GROUP BY s1, s2 HAVING count(*) >= 30) x
 GROUP BY s1 HAVING max(c) >= {limit}"""
 
 

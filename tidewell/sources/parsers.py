@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell import operators  # noqa: F401  apply() needs them
+from tidewell.plans.compose import apply
+
 LEDGER = T.StructType([T.StructField("day", T.DateType()), T.StructField("symbol", T.StringType()), T.StructField("side", T.StringType()), T.StructField("qty", T.DoubleType()), T.StructField("price", T.DoubleType()), T.StructField("fee", T.DoubleType())])
 
 
@@ -118,6 +121,15 @@ def statement_row(rows: DataFrame, wanted: list[str]) -> DataFrame:
     return fit.join(fit.agg(F.min(F.struct("rank", "label")).alias("best")), F.struct("rank", "label") == F.col("best")).drop("rank", "best")
 
 
+def ledger_upload(spark: SparkSession, path: str) -> DataFrame:
+    """line, day, symbol, side, qty, price, fee, reject of each row of a file with the columns date, ticker, side, qty, price, fee: what is wrong with a row is told in reject."""
+    names = {"date": "day", "ticker": "symbol", "side": "side", "qty": "qty", "price": "price", "fee": "fee"}
+    rows = spark.read.csv(path, header=True, enforceSchema=False)
+    have = {c.strip().lower(): c for c in rows.columns}
+    texts = [F.col(f"`{have[n]}`").cast("string").alias(a) if n in have else F.lit(None).cast("string").alias(a) for n, a in names.items()]
+    return apply(spark, "checked_trades", {"raw_trades": rows.select(F.monotonically_increasing_id().alias("line"), *texts)})
+
+
 def ledger_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=LEDGER, mode="PERMISSIVE")
 
