@@ -7,6 +7,8 @@ import math
 from tidewell.plans.compose import relation
 
 W = "PARTITION BY symbol ORDER BY day"
+#: Rows of a block of an exponential mean at most.
+BLOCK = 620
 
 
 def rows(n: int, last: int = 0) -> str:
@@ -23,11 +25,11 @@ def ewm(x: str, i: str, alpha: float, over: str, adjust: bool) -> str:
     """Exponential mean of x from row i = 0 of its partition on, in closed form by blocks of rows. over: PARTITION BY and ORDER BY.
 
     In a block powers stay in the range of a double; what the block before it leaves is added. Earlier ones
-    weigh less than 1e-60 by then.
+    weigh less than 1e-19 by then. All means that take ten rows or more share their blocks, and so their sorts.
     """
     part, order = over.split(" ORDER BY ")
     keep = f"({1 - alpha!r}e0)"
-    size = math.ceil(60 * math.log(10) / -math.log(1 - alpha))
+    size = min(BLOCK, math.ceil(60 * math.log(10) / -math.log(1 - alpha)))
     block, k = f"CAST(floor(({i}) / {size}e0) AS BIGINT)", f"(({i}) % {size})"
     here = f"power({keep}, {k}) * sum({x} * power({keep}, -{k})) OVER ({part}, {block} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     before = f"power({keep}, {k} + 1) * coalesce(sum({x} * power({keep}, {size - 1} - {k})) OVER ({part} ORDER BY {block} RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING), 0)"
