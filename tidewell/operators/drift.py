@@ -60,13 +60,13 @@ FROM (SELECT *, CAST(length(symbol) % 2 AS BIGINT) AS owner FROM ({sums}) s) y""
 
 
 def _deflated_by_hand() -> str:
-    """Each trial joined to those before it, the normal by its density summed in small steps and its inverse by halving."""
-    return f"""{source("trial_rows")}, grid AS (SELECT x, sum(exp(-x * x / 2) / sqrt(2 * pi()) * 1e-4) OVER (ORDER BY x) AS p FROM (SELECT (k - 80000) * 1e-4 + 5e-5 AS x FROM range(0, 160000) q(k))),
+    """Each trial joined to those before it, the normal by its density summed in small steps."""
+    return f"""{source("trial_rows")}, grid AS (SELECT x + 5e-5 AS x, exp(-(x + 5e-5) * (x + 5e-5) / 2) / sqrt(2 * pi()) AS f, sum(exp(-x * x / 2) / sqrt(2 * pi()) * 1e-4) OVER (ORDER BY x) AS p FROM (SELECT (k - 80000) * 1e-4 + 5e-5 AS x FROM range(0, 160000) q(k))),
 e AS (SELECT a.owner, a.seq, a.statement, a.t, a.sr, a.skew, a.kurt, count(*) + a.extra AS n, CASE WHEN count(*) >= 2 THEN var_samp(round(b.sr, 4)) ELSE (1 + a.sr * a.sr / 2) / greatest(a.t, 2) END AS v
   FROM trial_rows a JOIN trial_rows b ON b.owner = a.owner AND b.seq BETWEEN a.seq - {CAP - 1} AND a.seq GROUP BY a.owner, a.seq, a.statement, a.t, a.sr, a.skew, a.kurt, a.extra),
-z AS (SELECT *, CASE WHEN n <= 1 THEN 0 ELSE sqrt(greatest(v, 1e-12)) * ((1 - {EULER}) * (SELECT x + 5e-5 FROM grid WHERE p >= 1 - 1.0 / n ORDER BY x LIMIT 1) + {EULER} * (SELECT x + 5e-5 FROM grid WHERE p >= 1 - 1 / (n * {math.e}) ORDER BY x LIMIT 1)) END AS star FROM e)
+z AS (SELECT *, CASE WHEN n <= 1 THEN 0 ELSE sqrt(greatest(v, 1e-12)) * ((1 - {EULER}) * (SELECT arg_min(x - (p - (1 - 1.0 / n)) / f, x) FROM grid WHERE p >= 1 - 1.0 / n) + {EULER} * (SELECT arg_min(x - (p - (1 - 1 / (n * {math.e}))) / f, x) FROM grid WHERE p >= 1 - 1 / (n * {math.e}))) END AS star FROM e)
 SELECT owner, seq, statement, t, n AS trials, round(sr, 4) AS sharpe, round(CASE WHEN t >= 30 THEN star END, 3) AS luckiest,
-  CASE WHEN t >= 30 AND 1 - skew * sr + (kurt - 1) / 4 * sr * sr > 0 THEN round((SELECT max(p) FROM grid WHERE x + 5e-5 <= (sr - star) * sqrt(t - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr)), 3) END AS probability FROM z"""
+  CASE WHEN t >= 30 AND 1 - skew * sr + (kurt - 1) / 4 * sr * sr > 0 THEN round((SELECT arg_max(p + (y.v - x) * f, x) FROM grid, (SELECT (sr - star) * sqrt(t - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) AS v) y WHERE x <= y.v), 3) END AS probability FROM z"""
 
 
 @relation("trial_rows", covers="MOD-15, STR-17", oracle=_deflated_by_hand)
