@@ -78,14 +78,10 @@ SELECT symbol, round(max_by(held, k), 4) AS held, round(max_by(cost, k) / nullif
 def average_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-39: positions at average cost by an ordered fold over each symbol's trades; a sell beyond what is held is rejected."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    rows = o.select((F.col("o_custkey") % 25).alias("symbol"), F.struct(F.col("o_orderkey").alias("event"), (F.col("o_orderstatus") == "F").alias("sell"), (1 + F.col("o_orderkey") % 20).cast("double").alias("qty"), (F.col("o_totalprice") / 100).alias("price")).alias("t"))
-    fold = """aggregate(ts, named_struct('held', 0D, 'cost', 0D, 'gain', 0D, 'rejected', 0L), (a, t) -> named_struct(
-      'held', case when not t.sell then a.held + t.qty when t.qty <= a.held then a.held - t.qty else a.held end,
-      'cost', case when not t.sell then a.cost + t.qty * t.price when t.qty < a.held then a.cost - t.qty * a.cost / a.held when t.qty = a.held then 0D else a.cost end,
-      'gain', case when t.sell and t.qty <= a.held then a.gain + t.qty * (t.price - a.cost / a.held) else a.gain end,
-      'rejected', case when t.sell and t.qty > a.held then a.rejected + 1L else a.rejected end))"""
-    folded = rows.groupBy("symbol").agg(F.sort_array(F.collect_list("t")).alias("ts")).select("symbol", F.expr(fold).alias("a"))
-    return folded.select("symbol", F.round("a.held", 4).alias("held"), F.round(F.col("a.cost") / F.nullif(F.col("a.held"), F.lit(0.0)), 2).alias("avg_cost"), F.round("a.gain", 1).alias("realized"), F.col("a.rejected").alias("rejected"))
+    side = F.when(F.col("o_orderstatus") == "F", "sell").otherwise("buy")
+    rows = o.select((F.col("o_custkey") % 25).alias("symbol"), F.timestamp_micros("o_orderkey").alias("ts"), side.alias("side"), (1 + F.col("o_orderkey") % 20).cast("double").alias("qty"), (F.col("o_totalprice") / 100).alias("price"))
+    folded = keyed.replay(rows, ["symbol"], books.AverageCost())  # an order's number is its moment
+    return folded.select("symbol", F.round("held", 4).alias("held"), F.round(F.col("cost") / F.nullif(F.col("held"), F.lit(0.0)), 2).alias("avg_cost"), F.round("gain", 1).alias("realized"), "rejected")
 
 
 @registry.query(
@@ -99,10 +95,8 @@ def regime_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-09: a regime by a score of 0 to 100, risk on from 60 and off from 40, that is left only five beyond its limit; one row a day, folded in order."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("ts").cast("date").alias("day")).agg(F.avg("value").alias("v"))
     score = e.crossJoin(e.agg(F.avg("v").alias("m"))).select("day", F.greatest(F.lit(0.0), F.least(F.lit(100.0), 50 + (F.col("v") - F.col("m")) * 4)).alias("score"))
-    step = """aggregate(d, cast(array() as array<struct<day:date,regime:string>>), (a, x) -> array_append(a, named_struct('day', x.day, 'regime',
-      case when x.score >= case when size(a) > 0 and element_at(a, -1).regime = 'risk_on' then 55 else 60 end then 'risk_on'
-           when x.score <= case when size(a) > 0 and element_at(a, -1).regime = 'risk_off' then 45 else 40 end then 'risk_off' else 'neutral' end)))"""
-    return score.groupBy().agg(F.sort_array(F.collect_list(F.struct("day", "score"))).alias("d")).select(F.inline(F.expr(step)))
+    rows = score.select(F.lit("market").alias("market"), F.col("day").cast("timestamp").alias("ts"), "score")
+    return keyed.replay(rows, ["market"], judgements.Regime()).select("day", "regime")
 
 
 @registry.query(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tidewell.streaming.keyed import Fold
+
 # Fixed values of the rules.
 MOST_THESES, MOST_ITEMS, MOST_NOTES, STALE_DAYS = 30, 8, 20, 5
 ITEMS = {"pillar": "pillars", "risk": "risks", "catalyst": "catalysts"}
@@ -71,6 +74,33 @@ def theses(ops: DataFrame) -> DataFrame:
     return ops.groupBy("owner").applyInPandas(fold, THESES)
 
 
+class AverageCost(Fold):
+    """A position at average cost. Rows: side, qty, price; a sale of more than is held is rejected and changes nothing."""
+
+    out = "held double, cost double, gain double, rejected long"
+    order = ("side", "qty", "price")
+
+    def start(self) -> dict:
+        return {"held": 0.0, "cost": 0.0, "gain": 0.0, "rejected": 0}
+
+    def step(self, state: dict, at: int, rows: list[dict]) -> Iterator[tuple]:
+        for r in rows:
+            held, qty, price = state["held"], r["qty"], r["price"]
+            if r["side"] == "buy":
+                state["held"], state["cost"] = held + qty, state["cost"] + qty * price
+            elif qty > held:
+                state["rejected"] += 1
+            else:
+                mean = state["cost"] / held
+                state["gain"] += qty * (price - mean)
+                state["held"] = held - qty
+                state["cost"] = state["cost"] - qty * mean if qty < held else 0.0
+        return iter(())
+
+    def finish(self, state: dict) -> Iterator[tuple]:
+        yield state["held"], state["cost"], state["gain"], state["rejected"]
+
+
 class Book:
     """Cash and positions at average price; what hasn't been quoted for STALE_DAYS is closed at its last price."""
 

@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.streaming.keyed import Fold, day_of
+from tidewell.streaming.keyed import replay as replay_keys
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -76,7 +79,7 @@ class Account:
         return Account(**raw)
 
     def dump(self) -> str:
-        return json.dumps(asdict(self), sort_keys=True)
+        return json.dumps(asdict(self))  # positions stay in the order in which they were opened
 
 
 def _on(day: str, n: int) -> str:
@@ -188,14 +191,26 @@ def rounds(a: Account, rows: pd.DataFrame) -> Iterator[dict]:
 ORDERS = "account string, day date, place int, symbol string, side string, qty double, mechanism string, cash double"
 
 
-def replay(scored: DataFrame) -> DataFrame:
-    """Orders of each account over scored: account, day, symbol, score, price, unit, regime. An account's days are one task's work."""
+class Trading(Fold):
+    """The engine as a fold: the state is the account, a moment a day's quotes (symbol, score, price, unit, regime)."""
+
+    out = ORDERS.removeprefix("account string, ")
+    order = ("symbol",)
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = list(rounds(Account(), pdf))
-        return pd.DataFrame([{"account": key[0], **o} for o in out], columns=["account", "day", "place", "symbol", "side", "qty", "mechanism", "cash"])
+    def start(self) -> dict:
+        return {"account": None}
 
-    return scored.groupBy("account").applyInPandas(fold, ORDERS)
+    def step(self, state: dict, at: int, rows: list[dict]) -> Iterator[tuple]:
+        a, day = Account.load(state["account"]), day_of(at)
+        orders = play(a, day.isoformat(), rows, rows[0]["regime"])
+        state["account"] = a.dump()
+        for k, o in enumerate(orders):
+            yield day, k, o["symbol"], o["side"], o["qty"], o["mechanism"], round(a.cash, 6)
+
+
+def replay(scored: DataFrame) -> DataFrame:
+    """Orders of each account over scored: account, day, symbol, score, price, unit, regime. An account's days are one task's work, met one by one."""
+    return replay_keys(scored.withColumn("ts", F.col("day").cast("timestamp")).drop("day"), ["account"], Trading())
 
 
 def replay_stream(scored: DataFrame) -> DataFrame:

@@ -56,6 +56,10 @@ class Fold:
         """Result rows of what was due at a moment; due() must then be later."""
         return iter(())
 
+    def finish(self, state: dict) -> Iterator[tuple]:
+        """Result rows of a key whose table has no more rows. A stream has no such end."""
+        return iter(())
+
 
 def advance(fold: Fold, state: dict, rows: list[dict], upto: int | None) -> Iterator[tuple]:
     """All that happens by the rows (in order, each with its moment at), then what is due up to a moment."""
@@ -104,6 +108,7 @@ def replay(df: DataFrame, keys: list[str], fold: Fold, upto: int | None = None)
             yield from flush()
             if key is not None:
                 yield from ((*key, *r) for r in advance(fold, state, [], upto))
+                yield from ((*key, *r) for r in fold.finish(state))
 
         for b in batches:
             for r in b.to_pylist():
