@@ -208,3 +208,17 @@ def test_replay_takes_empty_tables_and_null_keys(spark):
     rows = [(None, at(0), "pick", "A", 1.0, 1.0, None, None), ("o", None, "pick", "A", 1.0, 1.0, None, None)]
     assert keyed.replay(spark.createDataFrame(rows, PICKS), ["owner"], judgements.Picks(), 10**18).count() == 0
     assert keyed.day_of(micros(T0)) == date(2024, 3, 1)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Taipei", "America/New_York"])
+def test_days_do_not_depend_on_the_zone_of_the_session(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        day = date(2024, 3, 10)
+        rows = spark.sql("SELECT DATE '2024-03-10' AS day, 'm' AS market, 70D AS score")
+        at = rows.select(keyed.moment("day").alias("a"), keyed.moment("day", 16).alias("b")).selectExpr("unix_micros(a) AS a", "unix_micros(b) AS b").first()
+        assert (at.a, at.b) == (keyed.midnight(day), keyed.midnight(day) + 16 * 3_600_000_000)
+        assert keyed.replay(rows.withColumn("ts", keyed.moment("day")).drop("day"), ["market"], judgements.Regime()).first().day == day
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

@@ -95,7 +95,7 @@ def regime_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-09: a regime by a score of 0 to 100, risk on from 60 and off from 40, that is left only five beyond its limit; one row a day, folded in order."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("ts").cast("date").alias("day")).agg(F.avg("value").alias("v"))
     score = e.crossJoin(e.agg(F.avg("v").alias("m"))).select("day", F.greatest(F.lit(0.0), F.least(F.lit(100.0), 50 + (F.col("v") - F.col("m")) * 4)).alias("score"))
-    rows = score.select(F.lit("market").alias("market"), F.col("day").cast("timestamp").alias("ts"), "score")
+    rows = score.select(F.lit("market").alias("market"), keyed.moment("day").alias("ts"), "score")
     return keyed.replay(rows, ["market"], judgements.Regime()).select("day", "regime")
 
 
@@ -108,7 +108,7 @@ SELECT 'market' AS market, day, score, regime FROM r""",
 )
 def weather_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-09: the regime of the market's weather, left only five beyond the limit it was entered by; the same fold follows a stream."""
-    rows = run(spark, sf_dir, "weather").select(F.lit("market").alias("market"), F.col("day").cast("timestamp").alias("ts"), "score")
+    rows = run(spark, sf_dir, "weather").select(F.lit("market").alias("market"), keyed.moment("day").alias("ts"), "score")
     return keyed.replay(rows, ["market"], judgements.Regime())
 
 
@@ -132,7 +132,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book, ts, kind, symbol, price, score, unit, barred, scale, qty, regime: each bar as a quote of its brand's book, scored by the month's return."""
     rows = engine.scored_rounds(run(spark, sf_dir, "bars"))
     return rows.select(
-        F.expr(_account("symbol")).alias("book"), F.col("day").cast("timestamp").alias("ts"), F.lit("quote").alias("kind"), "symbol", "price", "score", "unit",
+        F.expr(_account("symbol")).alias("book"), keyed.moment("day").alias("ts"), F.lit("quote").alias("kind"), "symbol", "price", "score", "unit",
         (F.dayofmonth("day") == 13).alias("barred"), F.when(F.dayofmonth("day") > 20, 0.5).alias("scale"), F.lit(None).cast("double").alias("qty"), "regime",
     )
 
@@ -171,10 +171,10 @@ def rearmed_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = run(spark, sf_dir, "journal").where("price is not null")
     kinds = F.array(*[F.lit(k) for k in ("long", "stop", "target", "short", "stop", "target", "close", "long", "note")])
     near = F.when(F.col("event") % 2 == 0, F.col("price") * 0.9).otherwise(F.col("price") * 1.15)
-    edits = o.select(F.concat(F.lit("o"), F.col("event") % 4).alias("owner"), F.col("day").cast("timestamp").alias("ts"), "symbol", F.element_at(kinds, (F.col("event") % 9 + 1).cast("int")).alias("op"), F.col("event").cast("long").alias("seq"), F.col("mechanism").alias("word"), F.round(near, 2).alias("value"))
+    edits = o.select(F.concat(F.lit("o"), F.col("event") % 4).alias("owner"), keyed.moment("day").alias("ts"), "symbol", F.element_at(kinds, (F.col("event") % 9 + 1).cast("int")).alias("op"), F.col("event").cast("long").alias("seq"), F.col("mechanism").alias("word"), F.round(near, 2).alias("value"))
     watched = edits.select("owner", "symbol").distinct()
     # a day's prices come after its edits: they have no place among them
-    prices = run(spark, sf_dir, "bars").join(watched, "symbol").select("owner", (F.col("day").cast("timestamp") + F.expr("INTERVAL 16 HOURS")).alias("ts"), "symbol", F.lit("price").alias("op"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("word"), F.col("close").alias("value"))
+    prices = run(spark, sf_dir, "bars").join(watched, "symbol").select("owner", keyed.moment("day", 16).alias("ts"), "symbol", F.lit("price").alias("op"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("word"), F.col("close").alias("value"))
     out = keyed.replay(edits.unionByName(prices), ["owner", "symbol"], judgements.Triggers())
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
@@ -185,9 +185,9 @@ def pick_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = run(spark, sf_dir, "journal").where("price is not null")
     source = F.when(F.col("event") % 3 == 0, "committee").when(F.col("event") % 3 == 1, "day_plan").otherwise("quant")
     name = F.when(F.col("event") % 29 == 0, F.concat(F.lit("gone "), "symbol")).otherwise(F.col("symbol"))
-    picks = o.select(F.concat(F.lit("o"), F.col("event") % 5).alias("owner"), F.col("day").cast("timestamp").alias("ts"), F.lit("pick").alias("op"), name.alias("symbol"), ((F.col("event") % 21 - 10) / 10).alias("score"), "price", source.alias("source"), F.when(F.col("event") % 3 == 1, 1).cast("int").alias("horizon"))
+    picks = o.select(F.concat(F.lit("o"), F.col("event") % 5).alias("owner"), keyed.moment("day").alias("ts"), F.lit("pick").alias("op"), name.alias("symbol"), ((F.col("event") % 21 - 10) / 10).alias("score"), "price", source.alias("source"), F.when(F.col("event") % 3 == 1, 1).cast("int").alias("horizon"))
     watched = picks.select("owner", "symbol").distinct()
-    prices = run(spark, sf_dir, "bars").join(watched, "symbol").select("owner", F.col("day").cast("timestamp").alias("ts"), F.lit("price").alias("op"), "symbol", F.lit(None).cast("double").alias("score"), F.col("close").alias("price"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("horizon"))
+    prices = run(spark, sf_dir, "bars").join(watched, "symbol").select("owner", keyed.moment("day").alias("ts"), F.lit("price").alias("op"), "symbol", F.lit(None).cast("double").alias("score"), F.col("close").alias("price"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("horizon"))
     rows = picks.unionByName(prices)
     return keyed.replay(rows, ["owner"], judgements.Picks(), _newest(rows))
 
@@ -210,7 +210,7 @@ UNION ALL SELECT account, day, NULL, symbol, 'sell', held FROM h WHERE held IS N
 def budgeted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-07: the plain rule's orders with slots, cap and buying power, for each account and day; what was strong five bars ago is held."""
     q = quotes(spark, sf_dir)
-    scored = q.select(F.col("book").alias("account"), F.col("ts").cast("date").alias("round"), "symbol", "score", "price", "unit", "barred", "scale")
+    scored = q.select(F.col("book").alias("account"), F.date_from_unix_date(F.floor(F.unix_micros("ts") / keyed.DAY).cast("int")).alias("round"), "symbol", "score", "price", "unit", "barred", "scale")
     held = scored.withColumn("before", F.lag("score", 5).over(W.partitionBy("symbol").orderBy("round"))).where("before >= 0.5").select("account", "round", "symbol", (10.0 + F.dayofmonth("round") % 7).alias("qty"))
     accounts = scored.select("account", "round").distinct().select("account", "round", F.lit(100_000.0).alias("equity"), (15_000.0 + 1000 * (F.dayofyear("round") % 20)).alias("cash"))
     return budget.orders(scored, held, accounts, paper.Limits(slots=3)).withColumnRenamed("round", "day")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.streaming.keyed import Fold, day_of
+from tidewell.streaming.keyed import Fold, day_of, moment
 from tidewell.streaming.keyed import replay as replay_keys
 
 
@@ -210,7 +210,7 @@ class Trading(Fold):
 
 def replay(scored: DataFrame) -> DataFrame:
     """Orders of each account over scored: account, day, symbol, score, price, unit, regime. An account's days are one task's work, met one by one."""
-    return replay_keys(scored.withColumn("ts", F.col("day").cast("timestamp")).drop("day"), ["account"], Trading())
+    return replay_keys(scored.withColumn("ts", moment("day")).drop("day"), ["account"], Trading())
 
 
 def replay_stream(scored: DataFrame) -> DataFrame:

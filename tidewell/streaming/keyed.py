@@ -16,7 +16,7 @@ from datetime import date, timedelta
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -35,6 +35,11 @@ def midnight(day: date) -> int:
     return (day - EPOCH).days * DAY
 
 
+def moment(day: str, hours: int = 0) -> Column:
+    """The beginning of a day of UTC, or so many hours later, whatever the session's zone."""
+    return F.timestamp_micros(F.unix_date(day).cast("long") * DAY + hours * 3_600_000_000)
+
+
 class Fold:
     """State is whatever JSON can hold. out: the columns of a result row after those of the key; order: columns that order the rows of a moment."""
 
