@@ -108,3 +108,21 @@ def test_very_great_entries(spark):
 def test_query(spark, sf):
     valid = {r.vec_id: list(r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect() if r.embedding and all(v is not None and math.isfinite(v) for v in r.embedding)}
     check(wh.op11_whiten(spark, sf).collect(), valid)
+
+
+def test_passes_are_one_job_each_whatever_the_partitions(spark):
+    """Sums came to the driver by a job for each partition of the shuffle."""
+    vectors, jobs = table(spark, np.random.default_rng(6).normal(size=(30, 3)).tolist()), {}
+    sc, before = spark.sparkContext, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in (2, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            sc.setJobGroup(f"whitening {n}", "")
+            check(wh.whitened(vectors).collect(), dict(enumerate(r.embedding for r in vectors.sort("vec_id").collect())))
+            jobs[n] = len(sc.statusTracker().getJobIdsForGroup(f"whitening {n}"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert jobs[16] == jobs[2] > 0

@@ -100,7 +100,7 @@ def _summed(x: DataFrame, dim: int, of: Callable[[np.ndarray], np.ndarray], rows
 
     parts = x.select("x").mapInArrow(part, ", ".join(["i int", *(f"v{k} double" for k in range(width))]))
     out = np.zeros((rows, width))
-    for r in parts.groupBy("i").agg(*(F.sum(f"v{k}").alias(f"v{k}") for k in range(width))).toLocalIterator():
+    for r in parts.groupBy("i").agg(*(F.sum(f"v{k}").alias(f"v{k}") for k in range(width))).collect():  # one job; toLocalIterator() starts one a partition
         out[r[0]] = r[1:]
     return out
 
@@ -117,7 +117,7 @@ def _sums(x: DataFrame, dim: int) -> list[int]:
                 total = [a + int(s) for a, s in zip(total, exact.sum(axis=0))]
         yield pa.RecordBatch.from_pydict({"i": pa.array(range(dim), pa.int32()), "s": pa.array([str(t) for t in total])})
 
-    rows = x.select("x").mapInArrow(part, "i int, s string").groupBy("i").agg(F.sum(F.col("s").cast("decimal(38,0)")).alias("s")).toLocalIterator()
+    rows = x.select("x").mapInArrow(part, "i int, s string").groupBy("i").agg(F.sum(F.col("s").cast("decimal(38,0)")).alias("s")).collect()
     return [int(s) for _, s in sorted((r["i"], r["s"]) for r in rows)]
 
 
@@ -217,7 +217,7 @@ def whitened(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
     have none, count and are returned each. Entries beyond 2 ** 62 steps count as that.
     """
     table = cut(stepped(vectors))
-    sizes = {r["dim"]: r["n"] for r in table.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n")).toLocalIterator()}  # one row a length
+    sizes = {r["dim"]: r["n"] for r in table.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n")).collect()}  # one row a length
     parts = [(table.where(F.size("x") == dim), n, dim) for dim, n in sorted(sizes.items())]
     out = [fit(x, n, dim, components).rows(x) for x, n, dim in parts]
     return reduce(DataFrame.union, out) if out else table.sparkSession.createDataFrame([], f"vec_id {table.schema['vec_id'].dataType.simpleString()}, {WHITENED}")
