@@ -7,7 +7,8 @@ class Spark:
     name = "spark"
 
     def r(self, x: str, n: int = 6) -> str:
-        return f"round({x}, {n})"
+        """x to n decimals, halves away from zero, by the whole number nearest to x times 10 to the n as DuckDB has it; Spark's round() goes by the digits that x is written with."""
+        return f"(round(({x}) * 1e{n}, 0) / 1e{n})"
 
     def pct(self, x: str, p: float) -> str:
         """Exact percentile with linear interpolation."""
@@ -143,6 +144,9 @@ class Spark:
 class Duck(Spark):
     name = "duckdb"
 
+    def r(self, x: str, n: int = 6) -> str:
+        return f"round({x}, {n})"
+
     def pct(self, x: str, p: float) -> str:
         return f"quantile_cont({x}, {p})"
 
