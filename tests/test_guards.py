@@ -6,10 +6,11 @@ import random
 from datetime import date, datetime, timedelta
 from zoneinfo import ZoneInfo
 
+import duckdb
 import numpy as np
 import pytest
 
-from tidewell.plans.compose import apply
+from tidewell.plans.compose import DUCK, apply, compose
 from tidewell.sources import parsers, sinks
 
 RAW = "line long, day string, symbol string, side string, qty string, price string, fee string"
@@ -29,6 +30,14 @@ def test_each_row_of_a_ledger_is_told(spark, tmp_path):
     assert [(r.symbol, r.qty, r.fee, r.reject) for r in up] == [("B", 3.0, 0.0, None), ("B", None, 0.0, "qty"), (None, 1.0, 0.0, "symbol")]
 
 
+def test_cents_of_raw_trades_as_duckdb_rounds_them(spark):
+    orders = [(1000 * 41 * k, k, "F", 100 * (k % 400) + 0.5 + k, datetime(2024, 1, 1)) for k in range(400)]
+    df = spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz")
+    orders = df.toPandas()  # noqa: F841  DuckDB reads it
+    want = dict(duckdb.sql(f"SELECT line, CAST(price AS DOUBLE) FROM ({compose('checked_trades', DUCK)}) x").fetchall())
+    assert {r.line: r.price for r in apply(spark, "checked_trades", {"orders": df}).collect()} == want
+
+
 def test_entries_close_to_what_is_held(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=80)

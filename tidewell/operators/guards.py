@@ -18,7 +18,7 @@ def raw_trades(d):
     text = lambda x: f"CAST({x} AS {'STRING' if d.name == 'spark' else 'VARCHAR'})"
     m = lambda k, bad, good: f"CASE WHEN o_orderkey % 41 = {k} THEN {bad} ELSE {good} END"
     return f"""SELECT o_orderkey AS line, {m(1, "'soon'", text('CAST(o_orderdate AS DATE)'))} AS day, {m(2, "' '", f"concat(' s', {text('o_custkey % 25')})")} AS symbol, {m(3, "'hold'", "CASE WHEN o_orderstatus = 'F' THEN ' SELL' ELSE 'Buy ' END")} AS side,
-  {m(4, "'0'", m(5, "'ten'", text('1 + o_orderkey % 20')))} AS qty, {m(6, "'-1'", m(7, 'NULL', text('round(o_totalprice / 100, 2)')))} AS price, {m(8, "'free'", m(9, 'NULL', "'1.5'"))} AS fee FROM orders"""
+  {m(4, "'0'", m(5, "'ten'", text('1 + o_orderkey % 20')))} AS qty, {m(6, "'-1'", m(7, 'NULL', text(d.r('o_totalprice / 100', 2))))} AS price, {m(8, "'free'", m(9, 'NULL', "'1.5'"))} AS fee FROM orders"""
 
 
 @relation("raw_trades", covers="FIL-07, D5, SRC-45")

@@ -55,7 +55,7 @@ def journal(d):
     return f"""
 SELECT o.o_orderkey AS event, s.symbol, CAST(o.o_orderdate AS DATE) AS day, CASE WHEN o.o_orderstatus = 'F' THEN 'sell' ELSE 'buy' END AS side,
        1 + o.o_orderkey % 20 AS qty, CASE WHEN o.o_orderkey % 11 = 0 THEN NULL ELSE o.o_orderpriority END AS mechanism,
-       CASE WHEN o.o_orderkey % 13 = 0 THEN NULL ELSE round(90 + o.o_orderkey % 37 + o.o_totalprice / 100000, 2) END AS price
+       CASE WHEN o.o_orderkey % 13 = 0 THEN NULL ELSE {d.r('90 + o.o_orderkey % 37 + o.o_totalprice / 100000', 2)} END AS price
 FROM orders o JOIN (SELECT symbol, CAST(row_number() OVER (ORDER BY symbol) - 1 AS BIGINT) AS k FROM (SELECT DISTINCT symbol FROM bars) q) s ON s.k = o.o_custkey % 25"""
 
 
