@@ -309,3 +309,22 @@ def test_grid_equals_the_barrier_of_each_set(spark, bars):
                 for (s, rule), of in rets.items():
                     r = got[s, rule, tp, sl, h]
                     assert (r.trades, r.expectancy, r.avg_held) == pytest.approx((len(of), np.mean([x for x, _ in of]), np.mean([k for _, k in of])))
+
+
+def test_cooldown_holds_a_batch_of_a_key_at_most(spark):
+    """A key's rows came to Python as one group. Batches of 7 rows, times that repeat, a row without a time, a key that is null."""
+    t0 = datetime(2024, 1, 1)
+    hours = [(11 * k * k) % 400 // 2 for k in range(120)]
+    rows = [(s, "c", t0 + timedelta(hours=h)) for s in ("A", None) for h in hours] + [("A", "c", None), ("B", "c", None), ("B", "c", None)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        out = alerts.cooldown(spark.createDataFrame(rows, "symbol string, category string, ts timestamp").repartition(3))
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = [h for h, go in zip(sorted(hours), alerts.passed([t0 + timedelta(hours=h) for h in sorted(hours)], None, 24)[0]) if go]
+    for s in ("A", None):
+        assert sorted((r.ts - t0).total_seconds() / 3600 for r in got if r.symbol == s) == want
+    assert [r.ts for r in got if r.symbol == "B"] == [None]
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +23,26 @@ def passed(times: list[pd.Timestamp], last: pd.Timestamp | None, hours: float) -
 
 
 def cooldown(signals: DataFrame, hours: float = 24) -> DataFrame:
-    """The signals (symbol, category, ts) that go out, measured from the last one sent, by symbol and category."""
-
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        return pdf[passed(list(pdf["ts"]), None, hours)[0]][["symbol", "category", "ts"]]
-
-    return signals.select("symbol", "category", F.col("ts").cast("timestamp").alias("ts")).groupBy("symbol", "category").applyInPandas(fold, SENT)
+    """The signals (symbol, category, ts) that go out, measured from the last one sent, by symbol and category.
+
+    Rows are dealt out by key, sorted, and met in batches: a task holds a batch and the time of the last one sent.
+    """
+    quiet = round(hours * 3_600_000_000)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, started, last = None, False, None
+        for b in batches:
+            out = []
+            for *now, at in zip(*(c.to_pylist() for c in (b.column("symbol"), b.column("category"), b.column("at")))):
+                if now != key:
+                    key, started, last = now, False, None
+                go = not started or at is not None and last is not None and (at == last or at - last >= quiet)
+                started, last = True, at if go else last
+                out.append(go)
+            yield b.filter(pa.array(out, pa.bool_())).select(["symbol", "category", "ts"])
+
+    rows = signals.select("symbol", "category", F.col("ts").cast("timestamp").alias("ts")).withColumn("at", F.unix_micros("ts"))
+    return rows.repartition("symbol", "category").sortWithinPartitions("symbol", "category", F.asc_nulls_last("at")).mapInArrow(fold, SENT)
 
 
 def cooldown_stream(signals: DataFrame, hours: float = 24) -> DataFrame:
