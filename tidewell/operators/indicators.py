@@ -39,12 +39,17 @@ def ewm(x: str, i: str, alpha: float, over: str, adjust: bool) -> str:
     return f"({alpha!r}e0 * ({here} + {before}) + {far} * first_value({x}) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
 
 
+def mean(d, x: str, n: int) -> str:
+    """The mean of x over the last n rows to ten decimals, so that the order of its sum doesn't decide whether a price that equals it is above; null before there are n."""
+    return d.r(full(f"avg({x})", n, 0, x), 10)
+
+
 @relation("numbered")
 def averages(d):
     """Moving averages, Bollinger bands, the mean volume before the row, true range."""
     prior = f"lag(close) OVER ({W})"
     return f"""SELECT symbol, day, i, n, open, high, low, close, volume, {prior} AS prev,
-  {full('avg(close)', 20)} AS ma20, {full('avg(close)', 50)} AS ma50, {full('avg(close)', 200)} AS ma200, {full('stddev_samp(close)', 20)} AS sd20,
+  {mean(d, 'close', 20)} AS ma20, {mean(d, 'close', 50)} AS ma50, {mean(d, 'close', 200)} AS ma200, {full('stddev_samp(close)', 20)} AS sd20,
   {full('avg(volume)', 20, 1, 'volume')} AS vol20, greatest(high - low, abs(high - {prior}), abs(low - {prior})) AS tr,
   max(close) OVER {rows(252)} AS max252, min(close) OVER {rows(252)} AS min252, lag(close, 21) OVER ({W}) AS back21, lag(close, 22) OVER ({W}) AS back22, lag(close, 62) OVER ({W}) AS back62
 FROM numbered"""
@@ -101,13 +106,13 @@ def macd(d):
 
 @relation("averages")
 def atr_rows(d, n=14):
-    return f"SELECT symbol, day, i, n, close, ma50, {full('avg(tr)', n, 0, 'tr')} AS atr FROM averages"
+    return f"SELECT symbol, day, i, n, close, ma50, {mean(d, 'tr', n)} AS atr FROM averages"
 
 
 @relation("atr_rows", covers="WIN-05, WIN-06")
 def atr_zone(d):
     """Mean true range of 14 rows, and whether the close is within one of it below the 50-row mean, with stop and target."""
-    inside = "close <= ma50 AND close >= ma50 - atr"
+    inside = f"close <= ma50 AND close >= {d.r('ma50 - atr', 10)}"
     return f"""SELECT symbol, day, {d.r('atr')} AS atr, {inside} AS in_zone, {d.r('close - 1.5 * atr')} AS stop, {d.r('close + 2.5 * atr')} AS target FROM atr_rows WHERE atr IS NOT NULL AND ma50 IS NOT NULL"""
 
 
@@ -129,7 +134,7 @@ def weekly_bias(d):
     a, b, c = (2 / (n + 1) for n in (12, 26, 9))
     return f"""SELECT symbol, week, CASE WHEN n < 12 THEN NULL ELSE (CASE WHEN ma IS NULL THEN 0 WHEN close > ma THEN 1 ELSE -1 END) + (CASE WHEN line > sig THEN 1 ELSE -1 END) END AS bias
 FROM (SELECT *, {ewm('line', 'i', c, w, False)} AS sig FROM (
-  SELECT symbol, week, i, close, count(*) OVER (PARTITION BY symbol) AS n, CASE WHEN i >= 9 THEN avg(close) OVER ({w} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END AS ma, {ewm('close', 'i', a, w, False)} - {ewm('close', 'i', b, w, False)} AS line FROM weekly) x) y"""
+  SELECT symbol, week, i, close, count(*) OVER (PARTITION BY symbol) AS n, CASE WHEN i >= 9 THEN {d.r(f'avg(close) OVER ({w} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)', 10)} END AS ma, {ewm('close', 'i', a, w, False)} - {ewm('close', 'i', b, w, False)} AS line FROM weekly) x) y"""
 
 
 @relation("bars", "weekly_bias", covers="WIN-08, JOI-05")
